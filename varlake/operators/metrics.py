@@ -60,7 +60,7 @@ def smooth_metrics(
     span: int = SPAN,
 ) -> DataFrame:
     """Means over the last ``k`` batches, for the batches of every ``every``-th gradient step."""
-    smooth = moving_mean(df, [run], batch_idx, {c: f"smooth_{c}" for c in columns}, k, span)
+    smooth = moving_mean(df, [run], batch_idx, {f"smooth_{c}": c for c in columns}, k, span)
     stepped = smooth.withColumn("grad_step", gradient_step(batch_idx, k))
     return stepped.where(F.pmod("grad_step", F.lit(every)) == 0)
 

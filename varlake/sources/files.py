@@ -12,7 +12,7 @@ from varlake.fixed_values import SCOPES
 from varlake.functions.jsontext import STRICT, is_json
 from varlake.functions.messages import image_suffix
 from varlake.functions.text import parse_run_id
-from varlake.operators.segments import split_ids
+from varlake.operators.segments import split_ids, with_ordinal
 from varlake.schemas import EVAL_TEXT_WIRE
 
 
@@ -72,15 +72,14 @@ def read_json_map(spark: SparkSession, paths, kind: str = "STRING", strict: bool
 def read_variants(
     spark: SparkSession, paths, scopes=SCOPES, strict: bool = False, suites: list[str] | None = None
 ) -> DataFrame:
-    """(suite, scope, ord, instruction, pos, variant) from ``{scope}_{suite}.json`` files.
+    """(suite, scope, ord, instruction, pos, variant) from ``{scope}_{suite}.json`` files or folders.
 
     A scope without a file contributes nothing, or is an error if ``strict``.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    pattern = r"^([^_]+)_(.+)\.json$"
+    pattern = r"/([^/_]+)_([^/]+)\.json(?:/|$)"
     rows = read_json_map(spark, paths, "ARRAY<STRING>", strict).select(
-        F.regexp_extract(name, pattern, 2).alias("suite"),
-        F.regexp_extract(name, pattern, 1).alias("scope"),
+        F.regexp_extract("path", pattern, 2).alias("suite"),
+        F.regexp_extract("path", pattern, 1).alias("scope"),
         F.col("pos").alias("ord"),
         F.col("key").alias("instruction"),
         F.posexplode("value").alias("pos", "variant"),
@@ -128,6 +127,18 @@ def read_records(spark: SparkSession, paths, schema) -> DataFrame:
     return spark.read.schema(schema).options(**STRICT).option("multiLine", True).json(_paths(paths))
 
 
+def write_record_lists(df: DataFrame, path: str, order: str, chunk: int = 10_000) -> None:
+    """JSON lists of at most ``chunk`` consecutive records each, one file per list."""
+    rows = with_ordinal(df, order, "__o")
+    part = F.floor((F.col("__o") - 1) / chunk).cast("bigint").alias("chunk")
+    fields = [F.col(f"`{c}`") for c in df.columns]
+    lists = rows.groupBy(part).agg(
+        F.array_sort(F.collect_list(F.struct("__o", F.struct(*fields).alias("r"))))["r"].alias("e")
+    )
+    text = F.to_json("e", {"ignoreNullFields": "false"})
+    lists.select("chunk", text.alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
+
+
 def read_eval_texts(spark: SparkSession, paths) -> DataFrame:
     """(suite, scope, task, instruction, new_instruction) from ``suite/scope/instruction.json``.
 
