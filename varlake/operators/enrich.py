@@ -18,6 +18,9 @@ from varlake.fixed_values import CHUNK_SIZE
 from varlake.functions.jsontext import revision
 from varlake.session import BROADCAST_BYTES, broadcast_checked, cut_lineage
 
+# Rows handed back to the JVM at a time.
+OUTPUT_ROWS = 10_000
+
 
 def remaining(inputs: DataFrame, done: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Inputs whose key is not done yet; repeated inputs stay repeated.
@@ -83,6 +86,7 @@ def map_batches(
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            done: list[list] = []
             for start in range(0, len(pdf), chunk):
                 rows = pdf.iloc[start : start + chunk].to_dict("records")
                 try:
@@ -91,7 +95,11 @@ def map_batches(
                     if on_error == "fail":
                         raise
                     result = [{key: r[key], "error": f"{type(e).__name__}: {e}"} for r in rows]
-                yield pd.DataFrame([[r.get(n) for n in names] for r in result], columns=names, dtype=object)
+                done.extend([r.get(n) for n in names] for r in result)
+                if len(done) >= OUTPUT_ROWS:
+                    yield pd.DataFrame(done, columns=names, dtype=object)
+                    done = []
+            yield pd.DataFrame(done, columns=names, dtype=object)
 
     return df.mapInPandas(work, out)
 

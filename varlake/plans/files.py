@@ -80,14 +80,14 @@ def source_record_lists(spark, sf_dir):
 
 
 def _jsonl(spark, sf_dir) -> str:
-    """Files of 500 events each; an error with k = 7 leaves a broken line, one with k = 8 a null."""
+    """Files of 5,000 events each; an error with k = 7 leaves a broken line, one with k = 8 a null."""
     e = table(spark, sf_dir, "events")
     k = F.from_json("props", "k INT")["k"]
     line = F.to_json(F.struct("event_id", "user_id", "event_type"))
     bad = F.col("event_type") == "error"
     line = F.when(bad & (k == 7), F.concat(line, F.lit(" #"))).when(bad & (k == 8), F.lit("null")).otherwise(line)
     path = scratch_path(spark, "jsonl")
-    block = F.floor(F.col("event_id") / 500).cast("bigint").alias("block")
+    block = F.floor(F.col("event_id") / 5000).cast("bigint").alias("block")
     rows = e.select(block, "event_id", line.alias("value"))
     (
         rows.repartition("block").sortWithinPartitions("block", "event_id").select("block", "value")
@@ -97,7 +97,7 @@ def _jsonl(spark, sf_dir) -> str:
 
 
 _JSONL_SQL = """WITH e AS (
-  SELECT event_id, user_id, event_type, event_id // 500 AS block,
+  SELECT event_id, user_id, event_type, event_id // 5000 AS block,
          event_type = 'error' AND regexp_extract(props, '[0-9]+')::INT IN (7, 8) AS bad,
          CASE WHEN regexp_extract(props, '[0-9]+')::INT = 8 THEN 'null' ELSE
            '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"} #' END AS line
@@ -188,20 +188,27 @@ def episodes_parquet(spark, sf_dir):
 @query(_FLAT_SQL)
 def shard_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "shards")
-    write_episode_shards(_nested_episodes(spark, sf_dir), path)
+    write_episode_shards(_nested_episodes(spark, sf_dir), path, shards=spark.sparkContext.defaultParallelism)
     good, _ = read_episode_shards(spark, path)
     return _flat(good)
 
 
-@query("SELECT page_id, md5(base64(encode(html || chr(10)))) AS data_md5, octet_length(encode(html)) + 1 AS n FROM pages")
+@query(
+    """WITH f AS (SELECT page_id // 50 AS block, string_agg(html || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1)
+SELECT block, md5(base64(encode(content))) AS data_md5, octet_length(encode(content)) AS n FROM f"""
+)
 def image_scan(spark, sf_dir):
-    """Every page becomes a file of its own, read back as bytes."""
+    """Files of 50 pages each, read back as bytes."""
     path = scratch_path(spark, "images")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"))
-    pages.write.partitionBy("page_id").text(path)
+    block = F.floor(F.col("page_id") / 50).cast("bigint").alias("block")
+    pages = table(spark, sf_dir, "pages").select(block, "page_id", F.col("html").alias("value"))
+    (
+        pages.repartition("block").sortWithinPartitions("block", "page_id").select("block", "value")
+        .write.partitionBy("block").text(path)
+    )
     images = S.read_images(spark, path, "*.txt")
     return images.select(
-        F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"),
+        F.regexp_extract("path", r"block=(\d+)", 1).cast("bigint").alias("block"),
         F.md5(F.regexp_replace(F.base64("content"), r"\s", "")).alias("data_md5"),
         F.octet_length("content").cast("bigint").alias("n"),
     )

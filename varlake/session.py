@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions passed to ``mapInPandas`` and the shard data source are imported there.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='varlake-')}/{root.name}", "zip", root.parent, root.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never reused, so reruns cannot clash."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

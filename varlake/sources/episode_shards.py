@@ -59,52 +59,79 @@ _POLYNOMIAL = 0x82F63B78
 _MASK_DELTA = 0xA282EAD8
 
 
+_LANE = 16  # bytes that one lane reads
+
+
 @lru_cache(maxsize=1)
-def _table() -> np.ndarray:
+def _byte_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         t = np.where(t & 1, (t >> 1) ^ np.uint32(_POLYNOMIAL), t >> 1)
     return t.astype(np.uint32)
 
 
-def _advance(table, state, column):
-    return table[(state ^ column) & 0xFF] ^ (state >> 8)
+@lru_cache(maxsize=1)
+def _byte_list() -> list[int]:
+    return _byte_table().tolist()
+
+
+@lru_cache(maxsize=1)
+def _word_table() -> np.ndarray:
+    """What a register becomes after two bytes, by their value."""
+    t, words = _byte_table(), np.arange(1 << 16, dtype=np.uint32)
+    once = t[words & 0xFF] ^ (words >> 8)
+    return t[once & 0xFF] ^ (once >> 8)
+
+
+@lru_cache(maxsize=64)
+def _past(doublings: int) -> np.ndarray:
+    """Registers after ``_LANE << doublings`` zero bytes, by byte position and value."""
+    if doublings:
+        before = _past(doublings - 1)
+        return _move(before, before)
+    t = _byte_table()
+    state = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for _ in range(_LANE):
+        state = t[state & 0xFF] ^ (state >> 8)
+    return state
+
+
+def _move(tables: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return (
+        tables[0][state & 0xFF]
+        ^ tables[1][(state >> 8) & 0xFF]
+        ^ tables[2][(state >> 16) & 0xFF]
+        ^ tables[3][state >> 24]
+    )
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C; long inputs run as parallel lanes that are then joined.
+    """CRC-32C with all lanes of a message read at once and then joined pairwise.
 
-    The register is linear in its start value: 32 extra lanes of zero bytes, started on
-    the unit vectors, give the matrix that carries a register past one lane.
+    Zeros in front do not change a register that starts at zero, so the message is
+    padded there to a power of two of lanes, and its first four bytes take in the
+    usual all-ones start.
     """
-    table = _table()
-    raw = np.frombuffer(data, dtype=np.uint8)
-    lanes = int(len(raw) ** 0.5) if len(raw) >= 4096 else 0
-    reg, done = 0xFFFFFFFF, 0
-    if lanes:
-        length = len(raw) // lanes
-        done = lanes * length
-        columns = np.zeros((length, lanes + 32), dtype=np.uint32)
-        columns[:, :lanes] = raw[:done].reshape(lanes, length).T
-        state = np.zeros(lanes + 32, dtype=np.uint32)
-        state[0] = reg
-        state[lanes:] = np.uint32(1) << np.arange(32, dtype=np.uint32)
-        for column in columns:
-            state = _advance(table, state, column)
-        unit = [int(x) for x in state[lanes:]]
-        reg = int(state[0])
-        for part in state[1:lanes].tolist():
-            moved, bit = 0, 0
-            while reg:
-                if reg & 1:
-                    moved ^= unit[bit]
-                reg >>= 1
-                bit += 1
-            reg = moved ^ part
-    steps = table.tolist() if len(raw) - done else []
-    for byte in raw[done:].tolist():
-        reg = steps[(reg ^ byte) & 0xFF] ^ (reg >> 8)
-    return reg ^ 0xFFFFFFFF
+    n = len(data)
+    if n < 64:
+        reg, bytewise = 0xFFFFFFFF, _byte_list()
+        for byte in data:
+            reg = bytewise[(reg ^ byte) & 0xFF] ^ (reg >> 8)
+        return reg ^ 0xFFFFFFFF
+    lanes = 1 << max(0, -(-n // _LANE) - 1).bit_length()
+    padded = np.zeros(lanes * _LANE, dtype=np.uint8)
+    padded[-n:] = np.frombuffer(data, dtype=np.uint8)
+    padded[-n : len(padded) - n + 4] ^= 0xFF
+    words = padded.view("<u2").reshape(lanes, _LANE // 2).T.astype(np.uint32)
+    table = _word_table()
+    state = np.zeros(lanes, dtype=np.uint32)
+    for column in words:
+        state = table[(state ^ column) & 0xFFFF] ^ (state >> 16)
+    doublings = 0
+    while len(state) > 1:
+        state = _move(_past(doublings), state[0::2]) ^ state[1::2]
+        doublings += 1
+    return int(state[0]) ^ 0xFFFFFFFF
 
 
 def _masked(data: bytes) -> int:
@@ -270,27 +297,43 @@ def _batch(shard: str, group: list[tuple[int, dict | None, str | None]]) -> pa.R
     )
 
 
-def _encode(row: dict) -> bytes:
-    steps = row["steps"] or []
-    example = _example_class()()
-    features = example.features.feature
-    features[FILE_PATH].bytes_list.value.append((row["file_path"] or "").encode("utf-8"))
-    flat = [{**{k: v for k, v in s.items() if k != "observation"}, **(s["observation"] or {})} for s in steps]
-    for f, name in FEATURES.items():
-        values = [s[f] for s in flat if s[f] is not None]
-        if values and len(values) != len(flat):
-            raise ValueError(f"{f} is missing in some steps of {row['file_path']}")
-        if f in VECTORS:
-            features[name].float_list.value.extend(x for v in values for x in v)
-        elif f in FLOATS:
-            features[name].float_list.value.extend(values)
-        elif f in FLAGS:
-            features[name].int64_list.value.extend(int(v) for v in values)
-        elif f in IMAGES:
-            features[name].bytes_list.value.extend(values)
-        else:
-            features[name].bytes_list.value.extend(v.encode("utf-8") for v in values)
-    return example.SerializeToString(deterministic=True)
+def _step_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Offsets of the records, and every step field of the batch end to end."""
+    steps = batch.column(batch.schema.get_field_index("steps"))
+    sizes = np.asarray(steps.value_lengths().fill_null(0))
+    flat = steps.flatten()
+    observation = flat.field(flat.type.get_field_index("observation"))
+    fields = {}
+    for f in FEATURES:
+        parent = observation if f in OBSERVATION else flat
+        fields[f] = parent.field(parent.type.get_field_index(f))
+    return np.concatenate([[0], np.cumsum(sizes)]), fields
+
+
+def _encode(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """One serialized record per row."""
+    offsets, fields = _step_arrays(batch)
+    paths = batch.column(batch.schema.get_field_index("file_path")).to_pylist()
+    for i, path in enumerate(paths):
+        start, n = int(offsets[i]), int(offsets[i + 1] - offsets[i])
+        example = _example_class()()
+        features = example.features.feature
+        features[FILE_PATH].bytes_list.value.append((path or "").encode("utf-8"))
+        for f, name in FEATURES.items():
+            values = fields[f].slice(start, n)
+            if values.null_count == n:
+                continue
+            if values.null_count:
+                raise ValueError(f"{f} is missing in some steps of {path}")
+            if f in VECTORS:
+                features[name].float_list.value.extend(np.asarray(values.flatten()).tolist())
+            elif f in FLOATS:
+                features[name].float_list.value.extend(values.to_pylist())
+            elif f in FLAGS:
+                features[name].int64_list.value.extend(np.asarray(values.cast(pa.int64())).tolist())
+            else:
+                features[name].bytes_list.value.extend(values.cast(pa.binary()).to_pylist())
+        yield example.SerializeToString(deterministic=True)
 
 
 # --- data source ---------------------------------------------------------------------------
@@ -387,8 +430,8 @@ class EpisodeShardWriter(DataSourceArrowWriter):
         count = 0
         with files.open_output_stream(temporary) as out:
             for batch in iterator:
-                for i in range(batch.num_rows):
-                    out.write(frame(_encode(batch.slice(i, 1).to_pylist()[0])))
+                for payload in _encode(batch):
+                    out.write(frame(payload))
                     count += 1
         return _Written(temporary, final if count else None)
 

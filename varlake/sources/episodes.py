@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varlake.schemas import EPISODE
+from varlake.session import ship_package
 from varlake.sources.episode_shards import EpisodeShards
 
 
@@ -26,6 +27,7 @@ def read_episode_shards(spark: SparkSession, path: str, split: str = "train") ->
 
     The numbers need the length of every shard: a pass over record headers alone.
     """
+    ship_package(spark)
     spark.dataSource.register(EpisodeShards)
     reader = spark.read.format("episode_shards").option("split", split)
     lengths = reader.option("headers_only", "true").load(path).groupBy("shard").agg(F.count("*").alias("n"))
@@ -39,9 +41,14 @@ def read_episode_shards(spark: SparkSession, path: str, split: str = "train") ->
     return good, records.where("error IS NOT NULL").select("shard", "record_no", "error")
 
 
-def write_episode_shards(episodes: DataFrame, path: str, split: str = "train", name: str = "episodes") -> None:
-    """One shard per partition, written beside its final name and renamed on success."""
+def write_episode_shards(
+    episodes: DataFrame, path: str, split: str = "train", name: str = "episodes", shards: int | None = None
+) -> None:
+    """One shard per partition (``shards`` respreads them), renamed into place on success."""
+    ship_package(episodes.sparkSession)
     episodes.sparkSession.dataSource.register(EpisodeShards)
+    if shards:
+        episodes = episodes.repartition(shards, "file_path")
     (
         episodes.select("file_path", "steps")
         .write.format("episode_shards")
