@@ -38,6 +38,13 @@ def strip_scene_prefix(sentence) -> Column:
     return F.regexp_replace(_col(sentence), r"^([A-Z]+ )+SCENE\d+ ", "")
 
 
+def matches_any(name, patterns: list[str]) -> Column:
+    """Does the beginning of the text match one of the patterns?"""
+    if not patterns:
+        return F.lit(False)
+    return _col(name).rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+
+
 def run_id(suite, family, scope, started_at, note=None) -> Column:
     """``EVAL-suite-family-scope-time`` with an optional ``--note``."""
     base = F.concat_ws("-", F.lit("EVAL"), _col(suite), _col(family), _col(scope), _col(started_at))

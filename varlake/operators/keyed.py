@@ -25,10 +25,16 @@ def _last(df: DataFrame, key: str, order) -> DataFrame:
     )
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """Base with changes applied; of several changes to a key the one with the highest seq."""
-    tagged = base.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    return _last(tagged, key, F.struct("__new", seq)).drop("__new")
+def upsert(
+    base: DataFrame, changes: DataFrame, key: str = "key", seq: str = "seq", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Base (one row per key) with changes applied; of several to a key the one with the highest seq.
+
+    Only the changes are aggregated. The base loses the changed keys by an anti join,
+    which leaves it where it is when those keys fit a broadcast.
+    """
+    latest = _last(changes, key, seq)
+    return delete(base, latest, key, limit).unionByName(latest)
 
 
 def delete(base: DataFrame, keys: DataFrame, key: str = "key", limit: int = BROADCAST_BYTES) -> DataFrame:

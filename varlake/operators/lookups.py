@@ -131,3 +131,9 @@ def with_defaults(requests: DataFrame, **defaults) -> DataFrame:
     return requests.withColumns(
         {n: F.coalesce(F.col(n), F.lit(v)) if n in present else F.lit(v) for n, v in values.items()}
     )
+
+
+def thinking_temperature(requests: DataFrame, column: str = "thinking", providers=("anthropic",)) -> DataFrame:
+    """Requests that ask these providers to think run at temperature 1, whatever they say."""
+    forced = F.col(column).isNotNull() & F.col("provider").isin(*providers)
+    return requests.withColumn("temperature", F.when(forced, F.lit(1.0)).otherwise(F.col("temperature")))

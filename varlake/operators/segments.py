@@ -44,12 +44,17 @@ def running(
     sums: dict[str, Column] | None = None,
     group_sums: dict[str, Column] | None = None,
     group_mins: dict[str, Column] | None = None,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns that depend on a row's place in its group.
 
     ``position``    one-based place in ``order``
     ``sums``        running sums up to and including the row
     ``group_sums``, ``group_mins``  whole-group aggregates on every row
+    ``attach``      a table with one row per group: its other columns, on every row
+
+    ``attach`` is joined to the segment totals and rides in on the carriers, so the
+    rows are not shuffled for it and a hot group is no hot join key.
 
     ``segment`` must not decrease along ``order``; by default it is the first order
     column divided by ``span``. Ties in ``order`` are broken arbitrarily, so make it
@@ -77,10 +82,14 @@ def running(
         *[F.sum(f"__s_{n}").over(per_group).alias(f"__s_{n}") for n in whole_sum],
         *[F.min(f"__m_{n}").over(per_group).alias(f"__m_{n}") for n in whole_min],
     )
-    if not whole_sum and not whole_min:
-        carriers = carriers.where(
-            F.coalesce(*[F.col(f"__r_{n}") for n in run]).isNotNull()
-        )
+    attached = []
+    if attach is not None:
+        attached = [c for c in attach.columns if c not in group]
+        renamed = attach.select(*[_quoted(g) for g in group], *[_quoted(c).alias(f"__a_{c}") for c in attached])
+        carriers = carriers.join(renamed, group, "left")
+    if not (whole_sum or whole_min or attached):
+        # The first segment of a group has nothing before it and needs no carrier.
+        carriers = carriers.where(F.coalesce(*[F.col(f"__r_{n}") for n in run]).isNotNull())
 
     body = rows.select(
         "*",
@@ -89,14 +98,16 @@ def running(
     )
     both = body.unionByName(carriers.withColumn(_CARRY, F.lit(True)), allowMissingColumns=True)
 
-    inside = Window.partitionBy(*[_quoted(g) for g in group], _SEG)
-    upto = inside.orderBy(F.col(_CARRY).desc(), *[_quoted(o) for o in order]).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    upto = (
+        Window.partitionBy(*[_quoted(g) for g in group], _SEG)
+        .orderBy(F.col(_CARRY).desc(), *[_quoted(o) for o in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     added = {n: F.sum(f"__r_{n}").over(upto) for n in run}
-    for prefix, names in (("__s_", whole_sum), ("__m_", whole_min)):
+    # Where whole-group values are asked for, every segment starts with its carrier.
+    for prefix, names in (("__s_", whole_sum), ("__m_", whole_min), ("__a_", attached)):
         for n in names:
-            added[n] = F.max(F.when(F.col(_CARRY), F.col(f"{prefix}{n}"))).over(inside)
+            added[n] = F.first(f"`{prefix}{n}`").over(upto)
     kept = [c for c in df.columns if c not in added]
     return (
         both.select(*[_quoted(c) for c in kept], _CARRY, *[e.alias(n) for n, e in added.items()])
@@ -152,6 +163,11 @@ def _sort_number(df: DataFrame, key: str) -> Column:
     raise TypeError(f"{key}: ordinals need a numeric, date or timestamp key")
 
 
+def _segments(df: DataFrame) -> int:
+    """As many as shuffle partitions, within what a quantile sketch should be asked for."""
+    return min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def with_ordinal(
     df: DataFrame,
     key: str,
@@ -166,7 +182,7 @@ def with_ordinal(
     size however the keys are spread; their counts give each its starting number.
     Rounding the key to a double only shifts a cut, never the order.
     """
-    segments = segments or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    segments = segments or _segments(df)
     number = df.withColumn("__key", _sort_number(df, key))
     probabilities = [i / segments for i in range(1, segments)]
     cuts = sorted(set(number.approxQuantile("__key", probabilities, 1 / (4 * segments))))
@@ -190,7 +206,7 @@ def with_ordinal(
 
 def with_hash_ordinal(df: DataFrame, hashed: Column, bits: int, name: str, ties: tuple[str, ...]) -> DataFrame:
     """Global position in the order of a uniform hash: the cuts are known in advance."""
-    segments = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    segments = _segments(df)
     rows = df.withColumn("__hash", hashed)
     cut = F.floor(F.col("__hash") / F.lit(float(2**bits) / segments)).cast("bigint")
     return running(rows, [], ["__hash", *ties], segment=cut, position=name).drop("__hash")

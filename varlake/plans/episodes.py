@@ -27,6 +27,7 @@ from varlake.operators.variants import (
     nest_steps,
     pool_quality,
     rewrite_instructions as rewrite_episodes,
+    rewrite_long,
     shuffle_rows,
 )
 from varlake.plans.registry import query, table
@@ -40,16 +41,18 @@ STEP_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extend
 def numbered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_id, step_idx, quantity, price, discount, tax, language_instruction), step_idx from 1."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", *STEP_ORDER, "l_discount", "l_tax")
-    steps = number_within(lines, ["l_partkey"], STEP_ORDER, "step_idx")
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return steps.join(names, "l_partkey").select(
+    names = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("language_instruction")
+    )
+    steps = number_within(lines, ["l_partkey"], STEP_ORDER, "step_idx", attach=names)
+    return steps.where("language_instruction IS NOT NULL").select(
         F.col("l_partkey").alias("episode_id"),
         "step_idx",
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"),
         F.col("l_tax").alias("tax"),
-        F.col("p_name").alias("language_instruction"),
+        "language_instruction",
     )
 
 
@@ -133,27 +136,24 @@ FROM steps s JOIN drawn d USING (episode_id)"""
 
 @query(_REWRITE_SQL)
 def rewrite_instructions(spark, sf_dir):
-    """Flagship: number the steps, find each first instruction, draw, put it in every step."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", *STEP_ORDER)
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    # The first step needs no numbering: the smallest order key decides, combined map-side.
-    firsts = (
-        lines.groupBy("l_partkey")
-        .agg(F.min(F.struct(*STEP_ORDER)).alias("first"))
-        .join(names, "l_partkey")
-        .select(F.col("l_partkey").alias("episode_id"), F.col("p_name").alias("instruction"))
-    )
+    """Flagship: draw a variant per episode, number the steps, put the variant in every step.
+
+    The draw is made on one narrow row per episode and rides in on the segment
+    carriers, so the steps are shuffled once, for their numbering, and never by
+    episode alone.
+    """
     pool = merge_pool(derived_variants(spark, sf_dir))
-    drawn = draw_variant(firsts, pool, SEED, ["episode_id"])
-    steps = number_within(lines, ["l_partkey"], STEP_ORDER, "step_idx").select(
-        F.col("l_partkey").alias("episode_id"), "step_idx"
-    )
-    return steps.join(drawn, "episode_id").select(
-        "episode_id",
-        "step_idx",
+    drawn = draw_variant(_part_episodes(spark, sf_dir), pool, SEED, ["episode_id"])
+    texts = drawn.select(
+        F.col("episode_id").alias("l_partkey"),
         F.col("instruction").alias("old_text"),
         F.col("new_instruction").alias("new_text"),
     )
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", *STEP_ORDER)
+    steps = number_within(lines, ["l_partkey"], STEP_ORDER, "step_idx", attach=texts)
+    return steps.where("old_text IS NOT NULL").select(
+        F.col("l_partkey").alias("episode_id"), "step_idx", "old_text", "new_text"
+    )
 
 
 @query(_REWRITE_SQL)
@@ -167,6 +167,32 @@ def rewrite_nested(spark, sf_dir):
     )
 
 
+_LONG_SQL = """WITH s AS (
+  SELECT conv_id AS episode_id, turn AS step_idx, split_part(text, ' ', 1) AS word FROM conversations),
+firsts AS (SELECT episode_id, arg_min(word, step_idx) AS w FROM s GROUP BY episode_id),
+drawn AS (
+  SELECT episode_id, CASE WHEN length(w) <= 3 THEN w
+    WHEN ('0x' || substr(md5('7:' || episode_id), 1, 8))::BIGINT % 2 = 0 THEN 'to ' || w ELSE 'please ' || w END AS new
+  FROM firsts)
+SELECT episode_id, step_idx, word AS language_instruction, new AS new_instruction FROM s JOIN drawn USING (episode_id)"""
+
+
+@query(_LONG_SQL)
+def rewrite_steps(spark, sf_dir):
+    """The rewrite of a step table: a conversation is an episode, a turn's first word its instruction."""
+    word = F.substring_index("text", " ", 1)
+    steps = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("episode_id"), F.col("turn").alias("step_idx"), word.alias("language_instruction")
+    )
+    words = steps.select(F.col("language_instruction").alias("instruction")).distinct().where(F.length("instruction") > 3)
+    texts = F.array(
+        F.struct(F.lit("one").alias("scope"), F.lit(0).alias("pos"), F.concat(F.lit("to "), "instruction").alias("variant")),
+        F.struct(F.lit("all").alias("scope"), F.lit(0).alias("pos"), F.concat(F.lit("please "), "instruction").alias("variant")),
+    )
+    pool = merge_pool(words.select("instruction", F.inline(texts)))
+    return rewrite_long(steps, pool, SEED)
+
+
 _PART_EPISODES = "(SELECT p_partkey AS episode_id, p_name AS instruction FROM part)"
 
 

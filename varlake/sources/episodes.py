@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varlake.schemas import EPISODE
-from varlake.session import ship_package
+from varlake.session import broadcast_checked, cut_lineage, ship_package
 from varlake.sources.episode_shards import EpisodeShards
 
 
@@ -32,9 +32,9 @@ def read_episode_shards(spark: SparkSession, path: str, split: str = "train") ->
     reader = spark.read.format("episode_shards").option("split", split)
     lengths = reader.option("headers_only", "true").load(path).groupBy("shard").agg(F.count("*").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shard file, so the window and the broadcast stay as small as a file listing.
-    offsets = lengths.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    records = reader.option("headers_only", "false").load(path).join(F.broadcast(offsets), "shard")
+    # One row per shard file: the window is over no more than a file listing.
+    offsets = cut_lineage(lengths.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    records = reader.option("headers_only", "false").load(path).join(broadcast_checked(offsets), "shard")
     good = records.where("error IS NULL").select(
         (F.col("offset") + F.col("record_no")).alias("episode_id"), "file_path", "steps"
     )

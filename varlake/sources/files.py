@@ -14,6 +14,7 @@ from varlake.functions.messages import image_suffix
 from varlake.functions.text import parse_run_id
 from varlake.operators.segments import split_ids, with_ordinal
 from varlake.schemas import EVAL_TEXT_WIRE
+from varlake.session import broadcast_checked
 
 
 def _paths(paths) -> list[str]:
@@ -204,7 +205,7 @@ def read_jsonl(
     kept = tagged.where("good")
     if on_error == "prefix":
         first = bad.groupBy("path").agg(F.min(F.struct("block_start", "line_seq")).alias("first_bad"))
-        kept = kept.join(first, "path", "left").where(
+        kept = kept.join(broadcast_checked(first), "path", "left").where(
             F.col("first_bad").isNull() | (F.struct("block_start", "line_seq") < F.col("first_bad"))
         )
     return kept.select(*place, "r.*").drop("_corrupt"), bad
