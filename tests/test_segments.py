@@ -32,9 +32,11 @@ def skewed(spark):
     return df.repartition(5).cache()
 
 
-def test_running_equals_window(skewed):
+@pytest.mark.parametrize("hot_rows", [10, 200, 10**6])
+def test_running_equals_window(spark, skewed, hot_rows):
     w = Window.partitionBy("g").orderBy("id")
     whole = Window.partitionBy("g")
+    names = spark.createDataFrame([("hot", "h"), ("3", "three"), ("absent", "x")], "g STRING, name STRING")
     want = skewed.select(
         "id", "g", "v",
         F.row_number().over(w).cast("bigint").alias("pos"),
@@ -42,30 +44,59 @@ def test_running_equals_window(skewed):
         F.count("*").over(whole).alias("n"),
         F.min("id").over(whole).alias("m"),
     )
-    got = running(
-        skewed, ["g"], ["id"], span=64, position="pos", sums={"s": F.col("v")},
+    kw = dict(
+        span=64, hot_rows=hot_rows, position="pos", sums={"s": F.col("v")},
         group_sums={"n": F.lit(1)}, group_mins={"m": F.col("id")},
-    ).select(want.columns)
-    assert rows(got) == rows(want)
+    )
+    got = running(skewed, ["g"], ["id"], **kw)
+    assert rows(got.select(want.columns)) == rows(want)
+    both = running(skewed, ["g"], ["id"], attach=names, **kw)
+    assert rows(both.select(*want.columns, "name")) == rows(want.join(names, "g", "left").select(*want.columns, "name"))
 
 
-def test_running_without_group_totals(skewed):
+@pytest.mark.parametrize("hot_rows", [10, 200, 10**6])
+def test_running_without_group_totals(spark, skewed, hot_rows):
     w = Window.partitionBy("g").orderBy("id")
-    got = number_within(skewed, ["g"], ["id"], "pos", span=100)
-    assert rows(got) == rows(skewed.withColumn("pos", F.row_number().over(w)))
+    want = skewed.withColumn("pos", F.row_number().over(w))
+    got = number_within(skewed, ["g"], ["id"], "pos", span=100, hot_rows=hot_rows)
+    assert rows(got) == rows(want)
+    names = spark.createDataFrame([("hot", 1), ("3", None)], "g STRING, k INT")
+    both = number_within(skewed, ["g"], ["id"], "pos", span=100, hot_rows=hot_rows, attach=names)
+    assert rows(both) == rows(want.join(names, "g", "left").select("id", "g", "v", "pos", "k"))
+
+
+def test_no_task_gets_a_hot_group(skewed):
+    got = number_within(skewed, ["g"], ["id"], "pos", span=100, hot_rows=300)
+    # The rows' window is keyed by segment, and so is the exchange that feeds it.
+    final = plan(got).split("Union")[0]
+    assert "__seg" in final.split("Exchange hashpartitioning(")[1].split(")")[0]
+    sizes = number_within(skewed.where("g = 'hot'"), ["g"], ["id"], "pos", span=100, hot_rows=300)
+    assert sizes.count() == 1000
 
 
-def test_no_task_gets_a_whole_group(skewed):
-    got = number_within(skewed, ["g"], ["id"], "pos", span=100)
-    wide = [line for line in plan(got).splitlines() if "Window" in line and "windowspecdefinition(g" in line]
-    # Windows over the bare group see only segment totals; the rows' window has the segment in its key.
-    assert any("__seg" in line.split("windowspecdefinition(", 1)[1].split(",")[1] for line in wide)
+def test_no_hot_group_means_a_plain_window(skewed):
+    text = plan(number_within(skewed, ["g"], ["id"], "pos"))
+    assert "Union" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_hot_group_of_one_order_value(spark):
+    df = spark.range(50).select(F.lit("a").alias("g"), F.lit(7).alias("o"), "id")
+    got = number_within(df, ["g"], ["o", "id"], "pos", hot_rows=10, span=5)
+    assert [r["pos"] for r in got.orderBy("id").collect()] == list(range(1, 51))
+
+
+def test_hot_group_in_time_order(spark):
+    df = spark.range(300).select(
+        F.lit("a").alias("g"), F.timestamp_seconds(F.col("id") * F.col("id") * 100).cast("timestamp_ntz").alias("t"), "id"
+    )
+    got = number_within(df, ["g"], ["t"], "pos", hot_rows=10, span=20)
+    assert [r["pos"] for r in got.orderBy("id").collect()] == list(range(1, 301))
 
 
 def test_order_with_ties_and_second_key(spark):
     data = [("a", i // 4, random.Random(i).random()) for i in range(200)]
     df = spark.createDataFrame(data, "g STRING, o LONG, t DOUBLE")
-    got = number_within(df, ["g"], ["o", "t"], "pos", span=8)
+    got = number_within(df, ["g"], ["o", "t"], "pos", span=8, hot_rows=20)
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o", "t")))
     assert rows(got) == rows(want)
 

@@ -65,7 +65,7 @@ def test_index_and_its_legacy_form(spark):
     df = spark.createDataFrame(
         [(i, ["b", "a", "b", "c", "b"][i]) for i in range(5)], "episode_id LONG, instruction STRING"
     )
-    got = V.episodes_per_instruction(df, "episode_id", "episode_id", span=2)
+    got = V.episodes_per_instruction(df, "episode_id", "episode_id", hot_rows=2, span=2)
     assert rows(got) == [("a", 1, 1, 1), ("b", 0, 1, 0), ("b", 0, 2, 2), ("b", 0, 3, 4), ("c", 3, 1, 3)]
     legacy = V.episodes_per_instruction(df, "episode_id", "episode_id", legacy_dup_first=True)
     lists = {}

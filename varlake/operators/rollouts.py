@@ -13,7 +13,7 @@ from varlake.functions.text import (
     percent_text,
     rollout_path,
 )
-from varlake.operators.segments import SPAN, running
+from varlake.operators.segments import running
 
 # --- logs -------------------------------------------------------------------------
 
@@ -71,21 +71,21 @@ def log_lines(blocks: DataFrame) -> DataFrame:
 
 
 def running_success(
-    episodes: DataFrame, run: str = "run_id", task: str = "task_name", order: str = "episode_in_run", span: int = SPAN
+    episodes: DataFrame, run: str = "run_id", task: str = "task_name", order: str = "episode_in_run", **cut
 ) -> DataFrame:
     """Counts as they stood after each episode, for the run and for its task."""
     won = F.col("success").cast("int")
     in_run = running(
-        episodes, [run], [order], span=span, position="episodes_so_far", sums={"successes_so_far": won}
+        episodes, [run], [order], position="episodes_so_far", sums={"successes_so_far": won}, **cut
     )
     in_task = running(
         in_run,
         [run, task],
         [order],
-        span=span,
         position="task_episode",
         sums={"task_successes": won},
         group_sums={"task_episodes": F.lit(1)},
+        **cut,
     )
     return in_task.withColumn(
         "percent", percent_text(F.col("successes_so_far") / F.col("episodes_so_far"))

@@ -1,15 +1,16 @@
 """Running totals and positions that survive a hot group.
 
-A window over a whole group puts the group into one task. Here each group is cut
-into segments along its order, every segment is windowed on its own, and what came
-before a segment enters it as one extra *carrier* row:
-
-1. per (group, segment) totals, combined map-side;
-2. running sums over those few totals;
+A window over a whole group puts the group into one task. That is fine for a group of
+ordinary size, so those are windowed as they are. A *hot* group, one of more than
+``HOT_ROWS`` rows, is cut into segments along its order, every segment is windowed on
+its own, and what came before a segment enters it as one extra *carrier* row:
+
+1. rows per group, combined map-side; only the hot groups are kept, at most
+   rows / HOT_ROWS of them, with the range of their order values;
+2. totals per segment of the hot groups, and running sums over those few totals;
 3. the totals join the rows as carriers, and one window per (group, segment) finishes.
 
-A segment never holds more rows than its span of order values allows, so no task grows
-with the group. The rows are shuffled once.
+The rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -19,18 +20,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varlake.session import broadcast_checked, cut_lineage
+
+# Rows of a segment, and rows beyond which a group is cut into segments.
 SPAN = 1 << 16
+HOT_ROWS = 1 << 20
 
-_SEG, _CARRY = "__seg", "__carrier"
+_SEG, _CARRY, _HOT = "__seg", "__carrier", "__hot"
 
 
 def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def segment_of(order: str, span: int = SPAN) -> Column:
-    """Segment number of an integral order column."""
-    return F.floor(_quoted(order) / F.lit(span)).cast("bigint")
+def _sort_number(df: DataFrame, key: str) -> Column:
+    """A double in the order of ``key``; rounding may merge neighbours, never swap them."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(_quoted(key).cast("timestamp")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(_quoted(key)).cast("double")
+    if isinstance(kind, T.NumericType):
+        return _quoted(key).cast("double")
+    raise TypeError(f"{key}: this needs a numeric, date or timestamp column")
+
+
+def _hot_groups(df: DataFrame, group: list[str], order: str, number: bool, hot_rows: int) -> DataFrame:
+    """(group.., n, lo, hi) of the groups with more than ``hot_rows`` rows, materialised."""
+    at = _sort_number(df, order) if number else F.lit(0.0)
+    sizes = df.select(*[_quoted(g) for g in group], at.alias("__at")).groupBy(*[_quoted(g) for g in group])
+    stats = sizes.agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+    return cut_lineage(stats.where(F.col("__n") > hot_rows))
+
+
+def _even_segment(at: Column, span: int) -> Column:
+    """Equal-width segments of a hot group's own range: about n / span of them."""
+    pieces = F.ceil(F.col("__n") / F.lit(span))
+    width = (F.col("__hi") - F.col("__lo")) / pieces
+    return F.floor(F.try_divide(at - F.col("__lo"), width))
 
 
 def running(
@@ -40,6 +67,7 @@ def running(
     *,
     segment: Column | None = None,
     span: int = SPAN,
+    hot_rows: int | None = HOT_ROWS,
     position: str | None = None,
     sums: dict[str, Column] | None = None,
     group_sums: dict[str, Column] | None = None,
@@ -53,71 +81,117 @@ def running(
     ``group_sums``, ``group_mins``  whole-group aggregates on every row
     ``attach``      a table with one row per group: its other columns, on every row
 
-    ``attach`` is joined to the segment totals and rides in on the carriers, so the
+    Groups of more than ``hot_rows`` rows are cut into segments; None cuts all of them.
+    ``segment`` must not decrease along ``order``; by default a hot group's range of the
+    first order column is cut evenly. Ties in ``order`` are broken arbitrarily, so make
+    it unique for a reproducible result. ``attach`` rides in on carriers too, so the
     rows are not shuffled for it and a hot group is no hot join key.
-
-    ``segment`` must not decrease along ``order``; by default it is the first order
-    column divided by ``span``. Ties in ``order`` are broken arbitrarily, so make it
-    unique for a reproducible result.
     """
     run = dict(sums or {})
     if position:
         run[position] = F.lit(1)
-    whole_sum, whole_min = group_sums or {}, group_mins or {}
-    segment = segment_of(order[0], span) if segment is None else segment
-    rows = df.withColumn(_SEG, segment)
-
-    totals = rows.groupBy(*[_quoted(g) for g in group], _SEG).agg(
-        *[F.sum(e).alias(f"__r_{n}") for n, e in run.items()],
-        *[F.sum(e).alias(f"__s_{n}") for n, e in whole_sum.items()],
-        *[F.min(e).alias(f"__m_{n}") for n, e in whole_min.items()],
-    )
-    # One row per segment from here on: the only window over a whole group.
-    per_group = Window.partitionBy(*[_quoted(g) for g in group])
-    before = per_group.orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carriers = totals.select(
-        *[_quoted(g) for g in group],
-        _SEG,
-        *[F.sum(f"__r_{n}").over(before).alias(f"__r_{n}") for n in run],
-        *[F.sum(f"__s_{n}").over(per_group).alias(f"__s_{n}") for n in whole_sum],
-        *[F.min(f"__m_{n}").over(per_group).alias(f"__m_{n}") for n in whole_min],
-    )
-    attached = []
-    if attach is not None:
-        attached = [c for c in attach.columns if c not in group]
-        renamed = attach.select(*[_quoted(g) for g in group], *[_quoted(c).alias(f"__a_{c}") for c in attached])
-        carriers = carriers.join(renamed, group, "left")
-    if not (whole_sum or whole_min or attached):
-        # The first segment of a group has nothing before it and needs no carrier.
-        carriers = carriers.where(F.coalesce(*[F.col(f"__r_{n}") for n in run]).isNotNull())
-
+    whole = {n: (F.sum, e) for n, e in (group_sums or {}).items()}
+    whole |= {n: (F.min, e) for n, e in (group_mins or {}).items()}
+    keys = [_quoted(g) for g in group]
+    attached = [] if attach is None else [c for c in attach.columns if c not in group]
+
+    if hot_rows is None:
+        if segment is None:
+            raise ValueError("cutting every group needs a segment")
+        hot, rows = None, df.withColumn(_SEG, segment)
+    else:
+        hot = _hot_groups(df, group, order[0], segment is None, hot_rows)
+        if hot.isEmpty():
+            hot, rows = None, df.withColumn(_SEG, F.lit(0).cast("bigint"))
+            if attach is None:
+                return _whole_groups(df, keys, order, run, whole)
+            segment = None
+        else:
+            cut = segment if segment is not None else _even_segment(_sort_number(df, order[0]), span)
+            flagged = _join_hot(df, hot, group)
+            rows = flagged.withColumn(_SEG, F.when(F.col("__n").isNotNull(), F.coalesce(cut, F.lit(0))).otherwise(0).cast("bigint"))
+
+    # Values each row brings in; carriers bring the same columns with what came before.
     body = rows.select(
-        "*",
+        *[_quoted(c) for c in df.columns],
+        _SEG,
         F.lit(False).alias(_CARRY),
-        *[e.cast(_type_of(carriers, f"__r_{n}")).alias(f"__r_{n}") for n, e in run.items()],
+        *[e.cast("bigint").alias(f"__r_{n}") if n == position else e.alias(f"__r_{n}") for n, e in run.items()],
+        *[e.alias(f"__x_{n}") for n, (_, e) in whole.items()],
     )
-    both = body.unionByName(carriers.withColumn(_CARRY, F.lit(True)), allowMissingColumns=True)
-
-    upto = (
-        Window.partitionBy(*[_quoted(g) for g in group], _SEG)
-        .orderBy(F.col(_CARRY).desc(), *[_quoted(o) for o in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = body
+    if segment is not None or hot is not None:
+        cut_rows = rows if hot is None else rows.where(F.col("__n").isNotNull())
+        carriers = _carriers(cut_rows, group, run, whole)
+        if attached:
+            carriers = carriers.join(_prefixed(attach, group, attached), group, "left")
+        out = out.unionByName(carriers, allowMissingColumns=True)
+    if attached and hot_rows is not None:
+        cold = _prefixed(attach, group, attached)
+        if hot is not None:
+            cold = _join_hot(cold, hot, group).where(F.col("__n").isNull()).drop("__n", "__lo", "__hi")
+        cold = cold.withColumns({_SEG: F.lit(0).cast("bigint"), _CARRY: F.lit(True)})
+        out = out.unionByName(cold, allowMissingColumns=True)
+
+    inside = Window.partitionBy(*keys, _SEG)
+    upto = inside.orderBy(F.col(_CARRY).desc(), *[_quoted(o) for o in order]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
     added = {n: F.sum(f"__r_{n}").over(upto) for n in run}
-    # Where whole-group values are asked for, every segment starts with its carrier.
-    for prefix, names in (("__s_", whole_sum), ("__m_", whole_min), ("__a_", attached)):
-        for n in names:
-            added[n] = F.first(f"`{prefix}{n}`").over(upto)
+    for n, (agg, _) in whole.items():
+        # From the carrier where the group was cut, else from the group itself.
+        here = agg(f"__x_{n}").over(inside)
+        added[n] = F.coalesce(F.first(f"__w_{n}").over(upto), here) if out is not body and f"__w_{n}" in out.columns else here
+    for n in attached:
+        added[n] = F.first(f"`__a_{n}`").over(upto)
     kept = [c for c in df.columns if c not in added]
     return (
-        both.select(*[_quoted(c) for c in kept], _CARRY, *[e.alias(n) for n, e in added.items()])
+        out.select(*[_quoted(c) for c in kept], _CARRY, *[e.alias(n) for n, e in added.items()])
         .where(~F.col(_CARRY))
         .drop(_CARRY)
     )
 
 
-def _type_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+def _whole_groups(df: DataFrame, keys: list[Column], order: list[str], run: dict, whole: dict) -> DataFrame:
+    """Plain windows: no group is hot."""
+    inside = Window.partitionBy(*keys)
+    upto = inside.orderBy(*[_quoted(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {n: F.sum(e).over(upto) for n, e in run.items()}
+    added |= {n: agg(e).over(inside) for n, (agg, e) in whole.items()}
+    return df.select(
+        *[_quoted(c) for c in df.columns if c not in added], *[e.alias(n) for n, e in added.items()]
+    )
+
+
+def _join_hot(df: DataFrame, hot: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with (__n, __lo, __hi) of their group where it is hot; nulls are a group too."""
+    other = hot.select(*[_quoted(g).alias(f"__h_{g}") for g in group], "__n", "__lo", "__hi")
+    same = F.lit(True)
+    for g in group:
+        same = same & _quoted(g).eqNullSafe(_quoted(f"__h_{g}"))
+    return df.join(broadcast_checked(other), same, "left").drop(*[f"__h_{g}" for g in group])
+
+
+def _prefixed(attach: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    return attach.select(*[_quoted(g) for g in group], *[_quoted(c).alias(f"__a_{c}") for c in columns])
+
+
+def _carriers(rows: DataFrame, group: list[str], run: dict, whole: dict) -> DataFrame:
+    """One row per segment: sums of all segments before it, and whole-group values."""
+    keys = [_quoted(g) for g in group]
+    totals = rows.groupBy(*keys, _SEG).agg(
+        *[F.sum(e).alias(f"__r_{n}") for n, e in run.items()],
+        *[agg(e).alias(f"__w_{n}") for n, (agg, e) in whole.items()],
+    )
+    per_group = Window.partitionBy(*keys)
+    before = per_group.orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        *keys,
+        _SEG,
+        F.lit(True).alias(_CARRY),
+        *[F.sum(f"__r_{n}").over(before).alias(f"__r_{n}") for n in run],
+        *[agg(f"__w_{n}").over(per_group).alias(f"__w_{n}") for n, (agg, _) in whole.items()],
+    )
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], name: str, **kw) -> DataFrame:
@@ -125,6 +199,11 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
     return running(df, group, order, position=name, **kw)
 
 
+def segment_of(order: str, span: int = SPAN) -> Column:
+    """Segment number of a column that counts rows."""
+    return F.floor(_quoted(order) / F.lit(span)).cast("bigint")
+
+
 def moving_mean(
     df: DataFrame, group: list[str], index: str, columns: dict[str, str], k: int, span: int = SPAN
 ) -> DataFrame:
@@ -152,17 +231,6 @@ def moving_mean(
     )
 
 
-def _sort_number(df: DataFrame, key: str) -> Column:
-    kind = df.schema[key].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(_quoted(key).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(_quoted(key)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return _quoted(key).cast("double")
-    raise TypeError(f"{key}: ordinals need a numeric, date or timestamp key")
-
-
 def _segments(df: DataFrame) -> int:
     """As many as shuffle partitions, within what a quantile sketch should be asked for."""
     return min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -198,6 +266,7 @@ def with_ordinal(
         [],
         [key, *ties],
         segment=F.col("__cut").cast("bigint"),
+        hot_rows=None,
         position=name,
         group_sums={total: F.lit(1)} if total else None,
     )
@@ -209,7 +278,7 @@ def with_hash_ordinal(df: DataFrame, hashed: Column, bits: int, name: str, ties:
     segments = _segments(df)
     rows = df.withColumn("__hash", hashed)
     cut = F.floor(F.col("__hash") / F.lit(float(2**bits) / segments)).cast("bigint")
-    return running(rows, [], ["__hash", *ties], segment=cut, position=name).drop("__hash")
+    return running(rows, [], ["__hash", *ties], segment=cut, hot_rows=None, position=name).drop("__hash")
 
 
 def chunk_ids(df: DataFrame, key: str, size: int = 80, name: str = "chunk", **kw) -> DataFrame:

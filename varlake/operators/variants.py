@@ -45,7 +45,7 @@ def episodes_per_instruction(
     order: str,
     instruction: str = "instruction",
     legacy_dup_first: bool = False,
-    span: int = SPAN,
+    **cut,
 ) -> DataFrame:
     """Inverted index in long form: (instruction, first_ord, pos, key).
 
@@ -57,9 +57,9 @@ def episodes_per_instruction(
         df.select(F.col(instruction).alias("instruction"), F.col(order).alias("ord"), F.col(key).alias("key")),
         ["instruction"],
         ["ord"],
-        span=span,
         position="pos",
         group_mins={"first_ord": F.col("ord")},
+        **cut,
     )
     if legacy_dup_first:
         places = F.when(F.col("pos") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("pos") + 1))
