@@ -80,9 +80,13 @@ def test_line_context(spark, log_dir):
 
 def test_report_gives_the_log_back(spark, log_dir, tmp_path):
     episodes = R.parse_eval_logs(S.read_eval_logs(spark, log_dir))
-    S.write_report(R.report_blocks(R.running_success(episodes, hot_rows=1, span=2)), str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out" / f"run_id={RUN}").glob("part*"))
+    blocks = R.report_blocks(R.running_success(episodes, hot_rows=1, span=2))
+    S.write_report(blocks, str(tmp_path / "out"), episodes_per_file=3)
+    parts = sorted((tmp_path / "out" / f"run_id={RUN}").glob("part=*/part*"))
+    assert len(parts) == 2
     assert "".join(p.read_text() for p in parts) == LOG.replace("Caught exception: lost\n", "")
+    again = R.parse_eval_logs(S.read_eval_logs(spark, str(tmp_path / "out")))
+    assert rows(again.drop("exception")) == rows(episodes.drop("exception"))
 
 
 def test_no_logs(spark, tmp_path):

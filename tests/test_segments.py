@@ -150,3 +150,15 @@ def test_hash_ordinal_is_a_permutation(spark):
     got = with_hash_ordinal(df, h, 60, "p", ("id",))
     want = df.withColumn("p", F.row_number().over(Window.orderBy(h, "id")))
     assert rows(got) == rows(want)
+
+
+def test_clock_changes_keep_local_times_in_order(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # Half an hour apart across the hour that this zone skips.
+        texts = [f"2024-03-10 {h:02d}:{m:02d}:00" for h in range(6) for m in (0, 30)]
+        df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", F.expr("CAST(t AS TIMESTAMP_NTZ)").alias("k"))
+        got = with_ordinal(df, "k", segments=6).select("t", "ordinal")
+        assert sorted((r["ordinal"], r["t"]) for r in got.collect()) == list(enumerate(texts, 1))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

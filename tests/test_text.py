@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varlake.functions import text as X
 from varlake.functions.hashing import draw_index, shard_of
-from varlake.functions.jsontext import is_json, revision
+from varlake.functions.jsontext import is_json, parse_whole, revision
 
 
 def one(spark, column, **values):
@@ -89,6 +89,29 @@ def test_json_strictness(spark):
     assert [r[0] for r in df.select(is_json("t")).collect()] == [True] * len(good) + [False] * len(bad)
 
 
+def test_parse_whole(spark):
+    cases = {
+        '{"a": 1}': {"a": 1, "b": None},
+        '{"a": 1, "a": 2, "b": "x", "c": [1]}': {"a": 2, "b": "x"},
+        ' {"b": "\u00e9"}\n': {"a": None, "b": "é"},
+        '{"a": "word"}': None,
+        "null": None,
+        "": None,
+        '{"a": 1} x': None,
+        '{"a": 1}}': None,
+        '{"a": 1}] [': None,
+        '{"a": 1}, {"a": 2}': None,
+        '{"a": 1}} {': None,
+        '{"a": 1}, "y": {"a": 2}': None,
+        "{'a': 1}": None,
+        '[{"a": 1}]': None,
+        '{"a": 1, "z": {bad}}': None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t STRING")
+    got = [r[0] and r[0].asDict() for r in df.select(parse_whole("t", "STRUCT<a: INT, b: STRING>")).collect()]
+    assert got == list(cases.values())
+
+
 def test_revision(spark):
     cases = {
         '{"RAW": "a", "REVISED": ["b", "c"]}': ("a", ["b", "c"]),

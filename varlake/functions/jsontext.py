@@ -27,15 +27,28 @@ def is_json(text) -> Column:
     return F.coalesce(in_array.isNotNull() & in_object.isNotNull(), F.lit(False))
 
 
+def parse_whole(text, kind: str) -> Column:
+    """The one JSON value of type ``kind`` that makes up the whole text, or null.
+
+    Null when the text is malformed, is followed by more, is a literal null, or does not
+    fit ``kind``. As in :func:`is_json`, wrapping it in an array and in an object and
+    parsing both leaves no room for a tail.
+    """
+    t = _col(text)
+    options = {**STRICT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    in_array = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"ARRAY<{kind}>", STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"x":'), t, F.lit("}")), f"x {kind}, _corrupt STRING", options)
+    fits = in_object["_corrupt"].isNull() & in_object["x"].isNotNull() & (F.size(in_array) == 1)
+    return F.when(fits, in_object["x"])
+
+
 def revision(text) -> Column:
     """``{RAW, REVISED}`` of a model reply, or null when it is not usable.
 
     Usable: one JSON object, nothing before or after it, with a ``REVISED`` list.
     """
-    t = _col(text)
-    parsed = F.from_json(t, REVISION, STRICT)
-    usable = is_json(t) & F.trim(t).startswith("{") & parsed["REVISED"].isNotNull()
-    return F.when(usable, parsed)
+    parsed = parse_whole(text, REVISION)
+    return F.when(parsed["REVISED"].isNotNull(), parsed)
 
 
 def response_fields(text) -> Column:

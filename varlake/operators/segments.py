@@ -36,8 +36,13 @@ def _quoted(name: str) -> Column:
 def _sort_number(df: DataFrame, key: str) -> Column:
     """A double in the order of ``key``; rounding may merge neighbours, never swap them."""
     kind = df.schema[key].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(_quoted(key).cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Field by field: a cast through the session's time zone may swap times in a clock change.
+        at = _quoted(key)
+        days = F.unix_date(at.cast("date")).cast("double")
+        return days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(_quoted(key)).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(_quoted(key)).cast("double")
     if isinstance(kind, T.NumericType):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varlake.fixed_values import SCOPES
-from varlake.functions.jsontext import STRICT, is_json
+from varlake.functions.jsontext import STRICT, parse_whole
 from varlake.functions.messages import image_suffix
 from varlake.functions.text import parse_run_id
 from varlake.operators.segments import split_ids, with_ordinal
@@ -46,15 +47,6 @@ def _text(spark: SparkSession, paths, strict: bool, **options) -> DataFrame:
 # --- JSON objects -------------------------------------------------------------------
 
 
-def _document(text, kind: str) -> Column:
-    """The one JSON value of a document, or null when there is none or text follows it."""
-    t = F.col(text)
-    in_array = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"ARRAY<{kind}>", STRICT)
-    in_object = F.from_json(F.concat(F.lit('{"x":'), t, F.lit("}")), f"STRUCT<x: {kind}>", STRICT)["x"]
-    whole = (F.size(in_array) == 1) & in_object.isNotNull()
-    return F.when(whole, in_array[0])
-
-
 def read_json_map(spark: SparkSession, paths, kind: str = "STRING", strict: bool = False) -> DataFrame:
     """(path, pos, key, value) of files that each hold one JSON object, in document order.
 
@@ -62,7 +54,7 @@ def read_json_map(spark: SparkSession, paths, kind: str = "STRING", strict: bool
     A document is one row, so keep documents at file size; bulk data belongs in JSONL.
     """
     docs = _text(spark, paths, strict, wholetext=True, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("path"), _document("value", f"MAP<STRING, {kind}>").alias("doc")
+        F.col("_metadata.file_path").alias("path"), parse_whole("value", f"MAP<STRING, {kind}>").alias("doc")
     )
     if strict:
         message = F.concat(F.lit("not a JSON object: "), F.col("path"))
@@ -192,14 +184,13 @@ def read_jsonl(
         F.monotonically_increasing_id().alias("line_seq"),
         F.col("value").alias("line"),
     )
-    options = {**STRICT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.withColumn("r", F.from_json("line", f"{schema}, _corrupt STRING", options))
-    good = is_json("line") & (F.trim("line") != "null") & F.col("r._corrupt").isNull()
+    parsed = lines.withColumn("r", parse_whole("line", T.StructType.fromDDL(schema).simpleString()))
+    good = F.col("r").isNotNull()
     place = ["path", "block_start", "line_seq"]
     if on_error == "fail":
         message = F.concat(F.lit("bad line in "), F.col("path"), F.lit(": "), F.col("line"))
         parsed = parsed.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(message)))
-        return parsed.select(*place, "r.*").drop("_corrupt"), lines.limit(0)
+        return parsed.select(*place, "r.*"), lines.limit(0)
     tagged = parsed.withColumn("good", good)
     bad = tagged.where("NOT good").select(*place, "line")
     kept = tagged.where("good")
@@ -208,7 +199,7 @@ def read_jsonl(
         kept = kept.join(broadcast_checked(first), "path", "left").where(
             F.col("first_bad").isNull() | (F.struct("block_start", "line_seq") < F.col("first_bad"))
         )
-    return kept.select(*place, "r.*").drop("_corrupt"), bad
+    return kept.select(*place, "r.*"), bad
 
 
 def split_write(df: DataFrame, n: int, key: str, path: str) -> None:
@@ -230,7 +221,7 @@ def read_eval_logs(spark: SparkSession, paths, strict: bool = False) -> DataFram
     """
     raw = _text(spark, paths, strict, lineSep=_BLOCK_BREAK, recursiveFileLookup=True)
     path = F.col("_metadata.file_path")
-    run = F.regexp_extract(path, r"(EVAL-[^/]*?)(?:\.txt)?(?:/[^/]*)?$", 1)
+    run = F.regexp_extract(path, r"(EVAL-[^/]*?)(?:\.txt)?(?:/[^/]*){0,2}$", 1)
     return raw.select(
         run.alias("run_id"),
         parse_run_id(run).alias("p"),
@@ -241,7 +232,7 @@ def read_eval_logs(spark: SparkSession, paths, strict: bool = False) -> DataFram
     ).select("run_id", "p.*", "path", "block_start", "block_no", "block")
 
 
-def write_report(blocks: DataFrame, path: str) -> None:
+def write_report(blocks: DataFrame, path: str, episodes_per_file: int = 100_000) -> None:
     """Log files, one directory per run, in episode order.
 
     A long run is cut into several files by episode; each is readable on its own.
@@ -249,12 +240,14 @@ def write_report(blocks: DataFrame, path: str) -> None:
     head = F.concat(F.lit("Task suite: "), F.col("suite"), F.lit("\n"))
     first = F.col("episode_in_run") == 1
     text = F.concat(F.when(first, head).otherwise(F.lit("")), F.lit("\n"), F.col("block"))
+    part = F.floor((F.col("episode_in_run") - 1) / episodes_per_file).cast("bigint")
     (
-        blocks.repartitionByRange("run_id", "episode_in_run")
-        .sortWithinPartitions("run_id", "episode_in_run")
-        .select("run_id", text.alias("value"))
+        blocks.select("run_id", part.alias("part"), "episode_in_run", text.alias("value"))
+        .repartition("run_id", "part")
+        .sortWithinPartitions("run_id", "part", "episode_in_run")
+        .select("run_id", "part", "value")
         .write.mode("overwrite")
-        .partitionBy("run_id")
+        .partitionBy("run_id", "part")
         .text(path)
     )
 
