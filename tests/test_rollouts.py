@@ -130,6 +130,8 @@ def test_first_trials_limit_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("task"), F.col("id").alias("e"))
     out = R.first_trials(df, 2, ["task"], "e")
     assert rows(out) == [(0, 0, 1), (0, 3, 2), (1, 1, 1), (1, 4, 2), (2, 2, 1), (2, 5, 2)]
+    many = R.first_trials(df, 1001, ["task"], "e")
+    assert many.count() == 100 and many.dtypes == out.dtypes
     # Once before the exchange, once after it.
     assert plan(R.first_trials(df, 2, ["task"], "e")).count("WindowGroupLimit") == 2
 

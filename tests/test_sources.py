@@ -176,6 +176,35 @@ def test_shard_round_trip(spark, tmp_path):
     assert explode_steps(good).count() == sum(i % 4 for i in range(12))
 
 
+@pytest.mark.parametrize("split_bytes", [64, 900, 10_000])
+def test_one_large_shard_is_read_in_blocks(spark, tmp_path, split_bytes):
+    data = [(i, f"f{i}", _steps(1 + i % 3, image=bytes(range(256)) * (i % 5))) for i in range(20)]
+    df = spark.createDataFrame(data, EPISODE)
+    write_episode_shards(df.coalesce(1), str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").iterdir())) == 1
+    raw = spark.read.format("episode_shards").option("split_bytes", split_bytes).load(str(tmp_path / "s"))
+    assert raw.rdd.getNumPartitions() > 1
+    good, bad = read_episode_shards(spark, str(tmp_path / "s"), split_bytes=split_bytes)
+    assert bad.count() == 0
+    assert rows(good.select("file_path", "steps")) == rows(df.select("file_path", "steps"))
+    assert [r["file_path"] for r in good.orderBy("episode_id").collect()] == [f"f{i}" for i in range(20)]
+
+
+def test_header_search_is_not_fooled():
+    records = [bytes([i]) * (50 + i) for i in range(30)]
+    blob = b"".join(E.frame(r) for r in records)
+    starts, at = [], 0
+    for r in records:
+        starts.append(at)
+        at += len(r) + 16
+    import io
+
+    for probe in (1, 17, 40, 66, 67, 500, len(blob) - 70):
+        want = next((s for s in starts if s >= probe), None)
+        assert E.find_header(io.BytesIO(blob), probe, len(blob), len(blob)) == want
+    assert E.find_header(io.BytesIO(blob), 1, 5, len(blob)) is None
+
+
 def _record(**features):
     example = E._example_class()()
     for name, (kind, values) in features.items():

@@ -160,10 +160,22 @@ def rollout_outcome(
     )
 
 
+# Spark keeps this many rows per group before a shuffle when it ranks (its own default).
+_GROUP_LIMIT = 1000
+
+
 def first_trials(df: DataFrame, n: int, keys: list[str], order: str) -> DataFrame:
-    """The first ``n`` trials of each task; each task keeps at most ``n`` rows before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("trial", F.row_number().over(w)).where(F.col("trial") <= n)
+    """The first ``n`` trials of each task.
+
+    Up to a thousand, each task of the job passes on at most ``n`` rows per group. More
+    are numbered in segments, so that a hot group is not one task.
+    """
+    if n <= _GROUP_LIMIT:
+        w = Window.partitionBy(*keys).orderBy(order)
+        ranked = df.withColumn("trial", F.row_number().over(w))
+    else:
+        ranked = running(df, keys, [order], position="trial").withColumn("trial", F.col("trial").cast("int"))
+    return ranked.where(F.col("trial") <= n)
 
 
 # --- report ---------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Python data source for episode shards: TFRecord files of ``tf.train.Example``.
 
-Spark plans one task per shard file. A task streams its file record by record and
-hands Arrow batches of a bounded size to the JVM; the frame and message layouts are
-the public TFRecord and Example formats.
+Spark plans one task per ``split_bytes`` of a shard, so no single file is one task: a
+task that starts inside a file looks for the next record header, which carries a
+checksum of its own. A task streams its records and hands Arrow batches of a bounded
+size to the JVM; the frame and message layouts are the public TFRecord and Example
+formats.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql.datasource import (
 
 from varlake.schemas import STEP
 
-SCHEMA = f"shard STRING, record_no LONG, file_path STRING, steps ARRAY<{STEP}>, error STRING"
+SCHEMA = f"shard STRING, block_start LONG, record_no LONG, file_path STRING, steps ARRAY<{STEP}>, error STRING"
 
 # Feature names of the shard format, with the D1 field each one fills.
 FILE_PATH = "episode_metadata/file_path"
@@ -49,6 +51,8 @@ FLAGS = ("is_first", "is_last", "is_terminal")
 IMAGES = ("image", "wrist_image")
 OBSERVATION = ("image", "wrist_image", "joint_state", "state")
 
+SPLIT_BYTES = 256 * 1024 * 1024
+SEARCH_BYTES = 4 * 1024 * 1024
 BATCH_BYTES = 16 * 1024 * 1024
 BATCH_RECORDS = 64
 
@@ -139,9 +143,43 @@ def _masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + _MASK_DELTA) & 0xFFFFFFFF
 
 
-def read_frames(stream, headers_only: bool, verify: bool) -> Iterator[bytes | None]:
-    """Payloads of a shard; None for each when only the headers are wanted."""
-    while True:
+def _unmask(stored: np.ndarray) -> np.ndarray:
+    rotated = stored - np.uint32(_MASK_DELTA)
+    return (rotated >> np.uint32(17)) | (rotated << np.uint32(15))
+
+
+def find_header(stream, start: int, end: int, size: int) -> int | None:
+    """Offset in [start, end) of the first record that begins there.
+
+    A header is eight bytes of length and their checksum; where the checksum fits, the
+    record's own checksum must fit as well.
+    """
+    table = _byte_table()
+    while start < end:
+        stream.seek(start)
+        raw = np.frombuffer(stream.read(min(SEARCH_BYTES, end - start) + 11), dtype=np.uint8)
+        count = len(raw) - 11
+        if count <= 0:
+            return None
+        state = np.full(count, 0xFFFFFFFF, dtype=np.uint32)
+        for j in range(8):
+            state = table[(state ^ raw[j : j + count]) & 0xFF] ^ (state >> 8)
+        stored = sum(raw[8 + j : 8 + j + count].astype(np.uint32) << np.uint32(8 * j) for j in range(4))
+        for i in np.flatnonzero((state ^ np.uint32(0xFFFFFFFF)) == _unmask(stored)).tolist():
+            length = int.from_bytes(raw[i : i + 8].tobytes(), "little")
+            if start + i + 16 + length > size:
+                continue
+            stream.seek(start + i + 12)
+            payload = stream.read(length)
+            if struct.unpack("<I", stream.read(4))[0] == _masked(payload):
+                return start + i
+        start += count
+    return None
+
+
+def read_frames(stream, headers_only: bool, verify: bool, end: int | None = None) -> Iterator[bytes | None]:
+    """Payloads of the records that begin before ``end``; None for each with ``headers_only``."""
+    while end is None or stream.tell() < end:
         head = stream.read(12)
         if not head:
             return
@@ -273,7 +311,7 @@ def _column(rows: list[dict], name: str, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def _batch(shard: str, group: list[tuple[int, dict | None, str | None]]) -> pa.RecordBatch:
+def _batch(shard: str, block_start: int, group: list[tuple[int, dict | None, str | None]]) -> pa.RecordBatch:
     rows = [r for _, r, _ in group if r is not None]
     rows = rows or [{"n": 0, **{f: np.zeros(0, np.float32) for f in FEATURES}}]
     kinds = {**dict.fromkeys(FLAGS, pa.bool_()), **dict.fromkeys(FLOATS, pa.float32()), **dict.fromkeys(IMAGES, pa.binary())}
@@ -288,12 +326,13 @@ def _batch(shard: str, group: list[tuple[int, dict | None, str | None]]) -> pa.R
     return pa.RecordBatch.from_arrays(
         [
             pa.array([shard] * len(group), pa.string()),
+            pa.array([block_start] * len(group), pa.int64()),
             pa.array([no for no, _, _ in group], pa.int64()),
             pa.array([None if r is None else r["file_path"] for _, r, _ in group], pa.string()),
             steps,
             pa.array([e for _, _, e in group], pa.string()),
         ],
-        names=["shard", "record_no", "file_path", "steps", "error"],
+        names=["shard", "block_start", "record_no", "file_path", "steps", "error"],
     )
 
 
@@ -346,7 +385,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 class EpisodeShards(DataSource):
     """``spark.read.format("episode_shards").option("split", ..).load(dir)``, and its writer.
 
-    Options: ``split`` (train), ``verify`` (true), ``headers_only`` (false), ``name``.
+    Options: ``split`` (train), ``split_bytes``, ``verify`` (true), ``headers_only`` (false), ``name``.
     """
 
     @classmethod
@@ -363,10 +402,18 @@ class EpisodeShards(DataSource):
         return EpisodeShardWriter(self.options, overwrite)
 
 
+class ShardBlock(InputPartition):
+    """The records that begin in [start, end) of a file."""
+
+    def __init__(self, path: str, start: int, end: int, size: int):
+        self.path, self.start, self.end, self.size = path, start, end, size
+
+
 class EpisodeShardReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.split = options.get("split", "train")
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.verify = options.get("verify", "true").lower() == "true"
         self.headers_only = options.get("headers_only", "false").lower() == "true"
 
@@ -374,20 +421,29 @@ class EpisodeShardReader(DataSourceReader):
         files, root = _open(self.path)
         pattern = f"*-{self.split}.tfrecord*"
         found = sorted(
-            f.path
+            (f.path, f.size)
             for f in files.get_file_info(pafs.FileSelector(root))
             if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern) and not f.base_name.startswith("_")
         )
         if not found:
             raise FileNotFoundError(f"no episode shards {pattern} in {self.path}")
-        return [InputPartition(p) for p in found]
+        return [
+            ShardBlock(path, start, min(start + self.split_bytes, size), size)
+            for path, size in found
+            for start in range(0, max(size, 1), self.split_bytes)
+        ]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, block: ShardBlock) -> Iterator[pa.RecordBatch]:
         files, _ = _open(self.path)
-        shard = partition.value.rsplit("/", 1)[-1]
+        shard = block.path.rsplit("/", 1)[-1]
         group, held = [], 0
-        with files.open_input_file(partition.value) as stream:
-            for no, payload in enumerate(read_frames(stream, self.headers_only, self.verify)):
+        with files.open_input_file(block.path) as stream:
+            if block.start:
+                first = find_header(stream, block.start, block.end, block.size)
+                if first is None:
+                    return
+                stream.seek(first)
+            for no, payload in enumerate(read_frames(stream, self.headers_only, self.verify, block.end)):
                 record, error = None, None
                 if payload is None:
                     record = {"n": 0, "file_path": None, **{f: np.zeros(0, np.float32) for f in FEATURES}}
@@ -399,10 +455,10 @@ class EpisodeShardReader(DataSourceReader):
                         error = f"{type(e).__name__}: {e}"
                 group.append((no, record, error))
                 if held >= BATCH_BYTES or len(group) >= (8192 if self.headers_only else BATCH_RECORDS):
-                    yield _batch(shard, group)
+                    yield _batch(shard, block.start, group)
                     group, held = [], 0
         if group:
-            yield _batch(shard, group)
+            yield _batch(shard, block.start, group)
 
 
 class _Written(WriterCommitMessage):

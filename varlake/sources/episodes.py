@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varlake.schemas import EPISODE
 from varlake.session import broadcast_checked, cut_lineage, ship_package
-from varlake.sources.episode_shards import EpisodeShards
+from varlake.sources.episode_shards import SPLIT_BYTES, EpisodeShards
 
 
 def read_episodes(spark: SparkSession, path) -> DataFrame:
@@ -22,23 +22,39 @@ def explode_steps(episodes: DataFrame, key: str = "episode_id") -> DataFrame:
     )
 
 
-def read_episode_shards(spark: SparkSession, path: str, split: str = "train") -> tuple[DataFrame, DataFrame]:
-    """Episodes of all shards, numbered in shard order, and (shard, record_no, error) of bad records.
+def read_episode_shards(
+    spark: SparkSession, path: str, split: str = "train", split_bytes: int = SPLIT_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """Episodes of all shards, numbered in shard order, and (shard, record, error) of bad records.
 
-    The numbers need the length of every shard: a pass over record headers alone.
+    The numbers need the count of records in every block of every shard: a pass over
+    record headers alone.
     """
     ship_package(spark)
     spark.dataSource.register(EpisodeShards)
-    reader = spark.read.format("episode_shards").option("split", split)
-    lengths = reader.option("headers_only", "true").load(path).groupBy("shard").agg(F.count("*").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shard file: the window is over no more than a file listing.
-    offsets = cut_lineage(lengths.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    records = reader.option("headers_only", "false").load(path).join(broadcast_checked(offsets), "shard")
+    reader = spark.read.format("episode_shards").option("split", split).option("split_bytes", split_bytes)
+    headers = reader.option("headers_only", "true").load(path)
+    lengths = headers.groupBy("shard", "block_start").agg(F.count("*").alias("n"))
+    # One row per block: these windows see no more than a file listing.
+    before = Window.orderBy("shard", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    in_shard = Window.partitionBy("shard").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(
+        lengths.select(
+            "shard",
+            "block_start",
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+            F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("in_shard"),
+        )
+    )
+    records = reader.option("headers_only", "false").load(path)
+    records = records.join(broadcast_checked(offsets), ["shard", "block_start"])
     good = records.where("error IS NULL").select(
         (F.col("offset") + F.col("record_no")).alias("episode_id"), "file_path", "steps"
     )
-    return good, records.where("error IS NOT NULL").select("shard", "record_no", "error")
+    bad = records.where("error IS NOT NULL").select(
+        "shard", (F.col("in_shard") + F.col("record_no")).alias("record_no"), "error"
+    )
+    return good, bad
 
 
 def write_episode_shards(
