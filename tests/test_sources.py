@@ -57,12 +57,25 @@ def test_records_tolerate_missing_fields(spark, tmp_path):
     assert rows(got) == [("kitchen", "one", "open_it", "Open it", "one"), ("kitchen", "zero", "open_it", "open it", "zero")]
 
 
+def test_eval_texts_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "open_it", "open it", "öffne"), (0, "shut_it", "shut it", "zu")], "o INT, task STRING, instruction STRING, new_instruction STRING")
+    path = tmp_path / "kitchen" / "all" / "instruction.json"
+    S.write_eval_texts(df, str(path), "o")
+    (file,) = path.glob("chunk=0/part*")
+    assert json.loads(file.read_text()) == [
+        {"task": "shut_it", "instruction": "shut it", "new_instroduction": "zu"},
+        {"task": "open_it", "instruction": "open it", "new_instroduction": "öffne"},
+    ]
+    got = S.read_eval_texts(spark, str(path))
+    assert rows(got) == [("kitchen", "all", "open_it", "open it", "öffne"), ("kitchen", "all", "shut_it", "shut it", "zu")]
+
+
 def test_record_lists(spark, tmp_path):
     df = spark.range(7).select("id", F.when(F.col("id") > 2, F.lit("ü")).alias("t"))
     S.write_record_lists(df, str(tmp_path / "l"), "id", chunk=3)
     files = sorted((tmp_path / "l").glob("chunk=*/part*"))
     assert [len(json.loads(f.read_text())) for f in files] == [3, 3, 1]
-    assert rows(S.read_records(spark, f"{tmp_path}/l/chunk=*", "id LONG, t STRING")) == rows(df)
+    assert rows(S.read_records(spark, str(tmp_path / "l"), "id LONG, t STRING")) == rows(df)
 
 
 def test_ordered_records(spark, tmp_path):

@@ -116,6 +116,13 @@ def test_rephrase_skips_rows_without_prompt(spark):
     ]
 
 
+def test_revise_texts(spark):
+    df = spark.createDataFrame([("a", "open it"), ("b", "shut it")], "task STRING, instruction STRING")
+    assert rows(X.revise_texts(df, None, None)) == [("a", "open it", "open it"), ("b", "shut it", "shut it")]
+    got = X.revise_texts(df, lambda p: p.upper(), "now {sentence}!")
+    assert rows(got) == [("a", "open it", "NOW OPEN IT!"), ("b", "shut it", "NOW SHUT IT!")]
+
+
 def test_rerequest_asks_only_for_failures(spark, tmp_path):
     log = str(tmp_path)
 
@@ -178,3 +185,5 @@ def test_routing_and_defaults(spark):
     ]
     with pytest.raises(ValueError):
         L.with_defaults(df, api_key="secret")
+    think = spark.createDataFrame([("anthropic", "on", 0.2), ("anthropic", None, 0.2), ("openai", "on", 0.2)], "provider STRING, thinking STRING, temperature DOUBLE")
+    assert [r["temperature"] for r in L.thinking_temperature(think).collect()] == [1.0, 0.2, 0.2]

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from varlake.fixed_values import CHUNK_SIZE
 from varlake.functions.jsontext import revision
+from varlake.operators.lookups import fill_template
 from varlake.session import BROADCAST_BYTES, broadcast_checked, cut_lineage
 
 # Rows handed back to the JVM at a time.
@@ -159,3 +160,33 @@ def rephrase_until_parsed(
             break
         todo = todo.join(broadcast_checked(failed.select(key)), key, "left_semi")
     return good, failed.select(key, "content")
+
+
+def reply_variants(prompts: DataFrame, parsed: DataFrame, key: str = "request_id") -> DataFrame:
+    """One row per revised version: the prompt's columns with (pos, variant).
+
+    ``parsed`` is the first result of :func:`rephrase_until_parsed`.
+    """
+    lists = prompts.join(parsed.select(key, "revised"), key)
+    return lists.select(*prompts.columns, F.posexplode("revised").alias("pos", "variant"))
+
+
+def revise_texts(
+    df: DataFrame,
+    client: Callable[[str], str],
+    template: str | None,
+    key: str = "task",
+    column: str = "instruction",
+    concurrency: int | None = None,
+    **kw,
+) -> DataFrame:
+    """``df`` with ``new_instruction``: the client's plain answer to the filled-in template.
+
+    Without a template the instruction stays as it is and nothing is called. ``key`` is
+    unique.
+    """
+    if template is None:
+        return df.withColumn("new_instruction", F.col(column))
+    asked = df.withColumn("prompt", fill_template(template, column))
+    answers = cut_lineage(rephrase(asked, client, key=key, concurrency=concurrency, **kw))
+    return df.join(answers.withColumnRenamed("content", "new_instruction"), key, "left")

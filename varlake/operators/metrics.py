@@ -9,7 +9,7 @@ from varlake.operators.segments import SPAN, moving_mean
 
 
 def masked_accuracy(
-    df: DataFrame, threshold, keys: list[str], pred: str = "pred", label: str = "label"
+    df: DataFrame, threshold, keys=("run_id", "batch_idx"), pred: str = "pred", label: str = "label"
 ) -> DataFrame:
     """Share of right predictions among labels above ``threshold``; null where none is."""
     mask = F.col(label) > threshold
@@ -21,14 +21,19 @@ def masked_accuracy(
 
 
 def masked_l1(
-    df: DataFrame, threshold, keys: list[str], pred_value: str, label_value: str, label: str = "label"
+    df: DataFrame,
+    threshold,
+    keys=("run_id", "batch_idx"),
+    pred_value: str = "pred_value",
+    label_value: str = "label_value",
+    label: str = "label",
 ) -> DataFrame:
     """Mean absolute difference of the values whose label is above ``threshold``."""
     gap = F.abs(F.col(pred_value) - F.col(label_value))
     return df.groupBy(*keys).agg(F.avg(F.when(F.col(label) > threshold, gap)).alias("l1_loss"))
 
 
-def action_stats(df: DataFrame, dataset: str, vector: str = "action", accuracy: int = 10_000) -> DataFrame:
+def action_stats(df: DataFrame, dataset: str = "dataset", vector: str = "action", accuracy: int = 10_000) -> DataFrame:
     """Per dataset and dimension: count, mean, std, min, max, q01, q99.
 
     Quantiles come from mergeable sketches: exact while a dimension has fewer than

@@ -5,13 +5,18 @@ All files go to fresh folders below the shared folder of the session.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varlake.functions.text import task_to_sentence
+from varlake.operators.enrich import rephrase_until_parsed, reply_variants, revise_texts
 from varlake.operators.keyed import get_one, write_shards
+from varlake.operators.lookups import render_prompts
 from varlake.functions.hashing import SHUFFLE_KEY_BITS, shuffle_key
 from varlake.operators.segments import with_hash_ordinal, with_ordinal
-from varlake.operators.variants import nest_steps
+from varlake.operators.variants import merge_pool, nest_steps
 from varlake.plans.episodes import STEPS_SQL, derived_variants, numbered_steps, VARIANTS_SQL
 from varlake.plans.registry import query, table
 from varlake.plans.rollouts import EPISODES_SQL, rollout_events
@@ -39,20 +44,13 @@ def source_map_roundtrip(spark, sf_dir):
 )
 def source_variants_roundtrip(spark, sf_dir):
     """Variant files, one per scope and suite, written and found again by name."""
-    lists = (
-        derived_variants(spark, sf_dir)
-        .groupBy("scope", "instruction")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "variant")))["variant"].alias("variants"))
-    )
-    base = scratch_path(spark, "variants")
-    for scope in ("one", "two", "all"):
-        numbered = with_hash_ordinal(
-            lists.where(F.col("scope") == scope), shuffle_key(0, "instruction"), SHUFFLE_KEY_BITS, "o", ("instruction",)
-        )
-        S.write_json_map(
-            numbered.withColumn("o", F.col("o") - 1), f"{base}/{scope}_parts.json", "instruction", "variants", "o"
-        )
-    return S.read_variants(spark, base, strict=True).drop("ord")
+    variants = derived_variants(spark, sf_dir)
+    names = variants.select("instruction").distinct()
+    numbered = with_hash_ordinal(names, shuffle_key(0, "instruction"), SHUFFLE_KEY_BITS, "o", ("instruction",))
+    rows = variants.join(numbered, "instruction").withColumns({"suite": F.lit("parts"), "ord": F.col("o") - 1})
+    path = scratch_path(spark, "variants")
+    S.write_variants(rows, path)
+    return S.read_variants(spark, path, strict=True).drop("ord")
 
 
 @query(
@@ -76,7 +74,7 @@ def source_record_lists(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("task"), "s_nationkey")
     path = scratch_path(spark, "lists")
     S.write_record_lists(s, path, "s_suppkey", chunk=400)
-    return S.read_records(spark, f"{path}/chunk=*", "s_suppkey LONG, task STRING, s_nationkey INT")
+    return S.read_records(spark, path, "s_suppkey LONG, task STRING, s_nationkey INT")
 
 
 def _jsonl(spark, sf_dir) -> str:
@@ -132,6 +130,53 @@ def split_files(spark, sf_dir):
     return spark.read.schema("doc_id LONG, lang STRING, part INT").json(path)
 
 
+@query(
+    """SELECT 'tasks' AS suite, 'one' AS scope, replace(s_name, '#', '_') AS task, replace(replace(s_name, '#', '_'), '_', ' ') AS instruction,
+  'say ' || upper(replace(replace(s_name, '#', '_'), '_', ' ')) AS new_instruction FROM supplier"""
+)
+def revised_tasks(spark, sf_dir):
+    """Evaluation texts end to end: task, sentence, prompt, answer, file, and back."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.col("s_name"), F.lit("#"), F.lit("_")).alias("task"))
+    tasks = s.withColumn("instruction", task_to_sentence("task"))
+    revised = revise_texts(tasks, _say, "reword: {sentence}", concurrency=4)
+    base = scratch_path(spark, "texts")
+    S.write_eval_texts(revised, f"{base}/tasks/one/instruction.json", "s_suppkey")
+    return S.read_eval_texts(spark, f"{base}/tasks/one/instruction.json")
+
+
+def _say(prompt: str) -> str:
+    return "say " + prompt.removeprefix("reword: ").upper()
+
+
+def _reword(prompt: str, rnd: int) -> str:
+    """A stand-in model: two versions in JSON, after one refusal for every third length."""
+    scope, sentence = prompt.split("|", 1)
+    if len(sentence) % 3 == 0 and rnd == 1:
+        return "I would rather not."
+    return json.dumps({"RAW": sentence, "REVISED": [f"{scope} {sentence}", f"{sentence} {scope}"]})
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_name AS instruction FROM part),
+s AS (SELECT * FROM (VALUES ('one', 0), ('two', 1), ('all', 2)) t(scope, k)),
+v AS (SELECT instruction, k * 2 AS idx, scope || ' ' || instruction AS variant FROM n, s
+      UNION ALL SELECT instruction, k * 2 + 1, instruction || ' ' || scope FROM n, s)
+SELECT instruction, idx, 6 AS n, variant FROM v"""
+)
+def generated_pool(spark, sf_dir):
+    """Pools end to end: names, prompts, answers with re-requests, variant files, merge."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("instruction")).distinct()
+    templates = {scope: scope + "|{sentence}" for scope in ("one", "two", "all")}
+    asked = render_prompts(names, templates).withColumn("request_id", F.concat_ws("|", "scope", "instruction"))
+    good, _ = rephrase_until_parsed(asked, _reword, concurrency=4)
+    variants = reply_variants(asked.select("request_id", "scope", "instruction"), good)
+    path = scratch_path(spark, "pool")
+    numbered = with_hash_ordinal(names, shuffle_key(0, "instruction"), SHUFFLE_KEY_BITS, "o", ("instruction",))
+    rows = variants.join(numbered, "instruction").withColumns({"suite": F.lit("parts"), "ord": F.col("o") - 1})
+    S.write_variants(rows, path)
+    return merge_pool(S.read_variants(spark, path, strict=True))
+
+
 # --- episodes and images -----------------------------------------------------------------------
 
 

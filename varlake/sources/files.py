@@ -69,7 +69,7 @@ def read_variants(
 
     A scope without a file contributes nothing, or is an error if ``strict``.
     """
-    pattern = r"/([^/_]+)_([^/]+)\.json(?:/|$)"
+    pattern = r"/(?:file=)?([^/_]+)_([^/]+)\.json(?:/|$)"
     rows = read_json_map(spark, paths, "ARRAY<STRING>", strict).select(
         F.regexp_extract("path", pattern, 2).alias("suite"),
         F.regexp_extract("path", pattern, 1).alias("scope"),
@@ -85,6 +85,28 @@ def read_variants(
     return rows
 
 
+def write_variants(variants: DataFrame, path: str, chunk: int = 10_000) -> None:
+    """``{scope}_{suite}.json`` folders below ``path``, for :func:`read_variants` to find.
+
+    ``variants`` is (suite, scope, ord, instruction, pos, variant). Documents hold at most
+    ``chunk`` instructions each; all of them are written in one distributed pass.
+    """
+    lists = variants.groupBy("suite", "scope", "ord", "instruction").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "variant")))["variant"].alias("v")
+    )
+    name = F.concat(F.col("scope"), F.lit("_"), F.col("suite"), F.lit(".json")).alias("file")
+    docs = lists.groupBy(name, F.floor(F.col("ord") / chunk).cast("bigint").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "instruction", "v"))).alias("e")
+    )
+    document = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["instruction"], x["v"]))))
+    (
+        docs.select("file", "chunk", document.alias("value"))
+        .write.mode("overwrite")
+        .partitionBy("file", "chunk")
+        .text(path)
+    )
+
+
 def missing_scopes(variants: DataFrame, scopes=SCOPES, suites: list[str] | None = None) -> DataFrame:
     """(suite, missing) for every suite that lacks one of the scopes."""
     have = variants.groupBy("suite").agg(F.collect_set("scope").alias("have"))
@@ -116,15 +138,21 @@ def write_json_map(df: DataFrame, path: str, key: str, value: str, order: str, c
 
 
 def read_records(spark: SparkSession, paths, schema) -> DataFrame:
-    """Files holding a JSON list of records; a missing field is null."""
-    return spark.read.schema(schema).options(**STRICT).option("multiLine", True).json(_paths(paths))
+    """Files, or folders of files, holding a JSON list of records each; a missing field is null."""
+    options = {**STRICT, "multiLine": True, "recursiveFileLookup": True}
+    return spark.read.schema(schema).options(**options).json(_paths(paths))
+
 
+def write_record_lists(
+    df: DataFrame, path: str, order: str, chunk: int = 10_000, keep_order: bool = True
+) -> None:
+    """JSON lists of at most ``chunk`` consecutive records each, one file per list.
 
-def write_record_lists(df: DataFrame, path: str, order: str, chunk: int = 10_000) -> None:
-    """JSON lists of at most ``chunk`` consecutive records each, one file per list."""
+    The ``order`` column is part of the records only with ``keep_order``.
+    """
     rows = with_ordinal(df, order, "__o")
     part = F.floor((F.col("__o") - 1) / chunk).cast("bigint").alias("chunk")
-    fields = [F.col(f"`{c}`") for c in df.columns]
+    fields = [F.col(f"`{c}`") for c in df.columns if keep_order or c != order]
     lists = rows.groupBy(part).agg(
         F.array_sort(F.collect_list(F.struct("__o", F.struct(*fields).alias("r"))))["r"].alias("e")
     )
@@ -138,16 +166,22 @@ def read_eval_texts(spark: SparkSession, paths) -> DataFrame:
     A file without the instruction field takes it from the task name.
     """
     rows = read_records(spark, paths, EVAL_TEXT_WIRE).select("*", "_metadata.file_path")
-    at = lambda i: F.element_at(F.split("file_path", "/"), i)
+    folder = r"/([^/]+)/([^/]+)/instruction\.json(?:/|$)"
     return rows.select(
-        at(-3).alias("suite"),
-        at(-2).alias("scope"),
+        F.regexp_extract("file_path", folder, 1).alias("suite"),
+        F.regexp_extract("file_path", folder, 2).alias("scope"),
         "task",
         F.coalesce("instruction", F.replace(F.col("task"), F.lit("_"), F.lit(" "))).alias("instruction"),
         F.col("new_instroduction").alias("new_instruction"),
     )
 
 
+def write_eval_texts(df: DataFrame, path: str, order: str) -> None:
+    """JSON lists of {task, instruction, new_instroduction}, in ``order``."""
+    wire = F.col("new_instruction").alias("new_instroduction")
+    write_record_lists(df.select(order, "task", "instruction", wire), path, order, keep_order=False)
+
+
 def write_records(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[str] | None = None) -> None:
     """JSON lines, nulls kept, non-ASCII text as is; ``order_by`` sorts across all files."""
     out = df.orderBy(*order_by) if order_by else df
