@@ -38,7 +38,9 @@ def upsert(
 
 
 def delete(base: DataFrame, keys: DataFrame, key: str = "key", limit: int = BROADCAST_BYTES) -> DataFrame:
-    return base.join(broadcast_checked(keys.select(key).distinct(), limit), key, "left_anti")
+    """Base without these keys; a null key counts as a key."""
+    gone = keys.select(F.col(key).alias("__gone")).distinct()
+    return base.join(broadcast_checked(gone, limit), base[key].eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def existed(base: DataFrame, keys: DataFrame, key: str = "key", limit: int = BROADCAST_BYTES) -> DataFrame:
