@@ -89,7 +89,8 @@ def running(
     Groups of more than ``hot_rows`` rows are cut into segments; None cuts all of them.
     ``segment`` must not decrease along ``order``; by default a hot group's range of the
     first order column is cut evenly. Ties in ``order`` are broken arbitrarily, so make
-    it unique for a reproducible result. ``attach`` rides in on carriers too, so the
+    it unique for a reproducible result. All columns of ``df`` travel with the rows, so
+    leave images out and join them back by key. ``attach`` rides in on carriers too, so the
     rows are not shuffled for it and a hot group is no hot join key.
     """
     run = dict(sums or {})

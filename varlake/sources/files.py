@@ -15,7 +15,7 @@ from varlake.functions.messages import image_suffix
 from varlake.functions.text import parse_run_id
 from varlake.operators.segments import split_ids, with_ordinal
 from varlake.schemas import EVAL_TEXT_WIRE
-from varlake.session import broadcast_checked
+from varlake.session import broadcast_checked, cut_lineage
 
 
 def _paths(paths) -> list[str]:
@@ -226,6 +226,10 @@ def read_jsonl(
         parsed = parsed.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(message)))
         return parsed.select(*place, "r.*"), lines.limit(0)
     tagged = parsed.withColumn("good", good)
+    if on_error == "prefix":
+        # Line numbers are compared across two uses of the scan, and another number of
+        # executors may split files differently: fix them once.
+        tagged = cut_lineage(tagged)
     bad = tagged.where("NOT good").select(*place, "line")
     kept = tagged.where("good")
     if on_error == "prefix":
