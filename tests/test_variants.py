@@ -180,6 +180,20 @@ def test_variant_files(spark, tmp_path):
         S.read_variants(spark, [f"{tmp_path}/one_*.json", f"{tmp_path}/two_*.json"], strict=True)
 
 
+def test_variant_files_of_many_suites(spark, tmp_path):
+    data = [
+        (suite, scope, o, f"{suite} {o}", p, f"{scope} {o} {p}")
+        for suite in ("kitchen", "living_room") for scope in ("one", "all") for o in range(5) for p in range(2)
+    ]
+    df = spark.createDataFrame(data, "suite STRING, scope STRING, ord INT, instruction STRING, pos INT, variant STRING")
+    S.write_variants(df.repartition(3), str(tmp_path / "v"), chunk=2)
+    names = {p.name for p in (tmp_path / "v").iterdir() if p.is_dir()}
+    assert names == {f"file={s}_{u}.json" for s in ("one", "all") for u in ("kitchen", "living_room")}
+    got = S.read_variants(spark, str(tmp_path / "v"))
+    assert rows(got.drop("ord")) == rows(df.drop("ord"))
+    assert {(r["suite"], tuple(r["missing"])) for r in S.missing_scopes(got).collect()} == {("kitchen", ("two",)), ("living_room", ("two",))}
+
+
 def test_shuffle_is_seeded(spark):
     df = spark.range(200)
     a, b, c = (rows(V.shuffle_rows(d, "id", s)) for d, s in ((df, 1), (df.repartition(9), 1), (df, 2)))

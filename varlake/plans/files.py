@@ -161,7 +161,7 @@ def _reword(prompt: str, rnd: int) -> str:
 s AS (SELECT * FROM (VALUES ('one', 0), ('two', 1), ('all', 2)) t(scope, k)),
 v AS (SELECT instruction, k * 2 AS idx, scope || ' ' || instruction AS variant FROM n, s
       UNION ALL SELECT instruction, k * 2 + 1, instruction || ' ' || scope FROM n, s)
-SELECT instruction, idx, 6 AS n, variant FROM v"""
+SELECT instruction, idx::BIGINT AS idx, 6::BIGINT AS n, variant FROM v"""
 )
 def generated_pool(spark, sf_dir):
     """Pools end to end: names, prompts, answers with re-requests, variant files, merge."""

@@ -122,7 +122,7 @@ def assistant_parts(spark, sf_dir):
 
 @query(
     _TURNS_SQL
-    + """SELECT conv_id, turn, k AS part, type, text FROM (
+    + """SELECT conv_id, turn, k::BIGINT AS part, type, text FROM (
   SELECT conv_id, turn, 1 AS k, 'think' AS type, words[1] AS text FROM t WHERE len(words) = 1
   UNION ALL SELECT conv_id, turn, 2, 'text', prompts[1] FROM t WHERE len(words) = 1)"""
 )
