@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varlake.fixed_values import SCOPES
 from varlake.functions.hashing import SHUFFLE_KEY_BITS, draw_index, shuffle_key
-from varlake.operators.segments import SPAN, number_within, running, with_hash_ordinal
+from varlake.operators.segments import SPAN, running, with_hash_ordinal
 from varlake.session import BROADCAST_BYTES, small_enough
 
 
@@ -248,7 +248,6 @@ __all__ = [
     "index_chunks",
     "merge_pool",
     "nest_steps",
-    "number_within",
     "pool_arrays",
     "pool_quality",
     "rewrite_instructions",
