@@ -6,14 +6,15 @@ linked sets of the band can have; so two linked sets agree on at least one whole
 the hash of a segment's content is an exact index key.
 
 Cost-based allocation. A segment key that tells nothing apart costs pairs in the square of its
-bucket. Such keys get no exact match of their own: an empty segment always, and a bucket of more
-than ``hot`` sets that its pivots left in several components. Their members match within that
-scope on a second segment's content or on its one-deletion neighbourhood. As the other H
-segments share at most H differences, one of them differs by at most one shingle: no link is lost.
+bucket. An empty segment gets no match of its own: its texts match within that scope on a second
+segment's content or its one-deletion neighbourhood. As the other H segments share at most H
+differences, one of them differs by at most one shingle: no link is lost.
 
 No group is expanded into its pairs. Equal sets are one node. In each bucket all nodes are held
-against one pivot, links are joined into components, and only pairs of different components
-remain to be tested; after a few pivots those that are left are tested one by one.
+against one pivot and links are joined into components. Buckets left with several components
+are keyed anew by what their nodes differ in from a common pivot (see ``_difference_keys``), once
+more against one pivot, and only what then still shares a key in different components is
+tested pair by pair.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from varlake.llm import words as W
 from varlake.llm.components import components
 from varlake.llm.store import map_batches_arrow, stored
 
+# Pairs of two longs that a broadcast may hold; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -83,14 +86,6 @@ def _scoped(scope: int, values: np.ndarray, seg: np.ndarray, sums: np.ndarray, o
     return np.unique(np.concatenate([full, less]))
 
 
-def _one_set(shingles: np.ndarray, band: int, m: int):
-    values = W.mix(shingles)
-    seg = ((values >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
-    sums = W.segment_sums(seg, values, m)
-    sigs = W.mix(sums + W.mix(np.arange(m, dtype=np.uint64) + _const(band)))
-    return values, seg, sums, sigs
-
-
 def _signatures(sh, owner, counts, num: int, den: int) -> list[np.ndarray]:
     """Index keys of each text."""
     n_texts = len(counts)
@@ -184,11 +179,15 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * union).select("a", "b")
 
 
-def _pivot_pairs(live: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Each bucket's nodes against one of them, another one each turn."""
-    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    pivots = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("n").alias("pn"))).alias("s"))
-    found = live.join(pivots.select("key", "s.p", "s.pn"), "key").where(F.col("node") != F.col("p")).where(_near("n", "pn", num, den))
+def _weights(live: DataFrame) -> DataFrame:
+    return live.groupBy("node").agg(F.sum("c").alias("w"))
+
+
+def _pivot_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
+    """Each bucket's nodes against the one whose keys most nodes share: an original, not a copy."""
+    live = live.join(_weights(live), "node")
+    pivots = live.groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("p"), F.col("n").alias("pn"))).alias("s"))
+    found = live.join(pivots.select("key", "s.p", "s.pn"), "key").where("node != p").where(_near("n", "pn", num, den))
     return found.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
@@ -211,25 +210,31 @@ def _cross(live: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, "key").where("a < b and ra != rb").where(_near("na", "nb", num, den)).select("a", "b").distinct()
 
 
-def _second_keys(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Scoped keys of the members of hot buckets: (key, node, n, root)."""
-    hot = live.groupBy("node", "n", "root").agg(F.collect_list("key").alias("hot")).join(sets, "node")
+def _difference_keys(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Second keys of the nodes in open buckets: (key, node, n, root).
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = []
-        for scopes, shingles in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
-            sh = np.asarray(shingles.values).view(np.uint64)
-            wanted, out = set(scopes), [np.zeros(0, np.uint64)]
-            for band, m in _schemes(len(sh), num, den):
-                values, seg, sums, sigs = _one_set(sh, band, m)
-                for own, sig in enumerate(W.signed(sigs).tolist()):
-                    if sig in wanted:
-                        out.append(_scoped(int(sigs[own]), values, seg, sums, own))
-            lists.append(np.unique(np.concatenate(out)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _list_array(lists)], ["node", "n", "root", "keys"])
-
-    made = map_batches_arrow(hot.select("node", "n", "root", "hot", "shingles"), rows, "node long, n long, root long, keys array<long>")
-    return made.select(F.explode("keys").alias("key"), "node", "n", "root")
+    Nodes that open buckets tie together share one pivot; D is what a node differs in from it.
+    Two nodes differ in exactly what their D differ in, so a link needs all but ``most`` of D to be
+    shared, and the first most + 1 of D in a fixed order must meet. What the pivot lacks comes
+    first, as single edits tell near copies apart.
+    """
+    firsts = live.groupBy("key").agg(F.min("node").alias("b"))
+    ties = live.join(firsts, "key").select(F.col("node").alias("a"), "b").distinct()
+    scope = components(ties)
+    scope = scope.withColumnRenamed("root", "scope").join(_weights(live), "node")
+    centre = scope.groupBy("scope").agg(F.max(F.struct("w", "node")).alias("s")).select("scope", F.col("s.node").alias("centre"))
+    nodes = live.select("node", "n", "root").distinct().join(scope.select("node", "scope"), "node")
+    own = nodes.join(sets, "node")
+    pivots = centre.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("pivot")), "centre")
+    size = F.col("n")
+    most = F.floor((den - num) * (size + F.floor(size * den / num)) / (den + num)).cast("int")
+    more = F.array_sort(F.array_except("shingles", "pivot"))
+    diff = F.concat(more, F.array_sort(F.array_except("pivot", "shingles")))
+    kept = own.join(pivots, "scope").select("scope", "node", "n", "root", diff.alias("d"), most.alias("most"))
+    near_pivot = F.when(F.size("d") <= F.col("most"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+    tokens = F.concat(F.slice("d", F.lit(1), F.col("most") + 1), near_pivot)
+    keyed = kept.select("scope", "node", "n", "root", F.explode(tokens).alias("token"))
+    return keyed.select(F.xxhash64("scope", F.coalesce("token", F.col("scope"))).alias("key"), "node", "n", "root")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -238,34 +243,25 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def _all_links(live: DataFrame, sets: DataFrame, num: int, den: int, hot: int, turns: int) -> DataFrame:
+def _all_links(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links enough to join every two linked nodes' components."""
-    links = None
-    for turn in range(turns):
-        found = stored(_links(_pivot_pairs(live, turn, num, den), sets, num, den), "links")
-        links = found if links is None else links.unionAll(found)
-        live = stored(_open(_rooted(live, links)), "open")
-        if live.isEmpty():
-            return links
-    few = _links(_cross(live.where(F.col("c") <= hot), num, den), sets, num, den)
-    links = links.unionAll(stored(few, "links"))
-    many = live.where(F.col("c") > hot)
-    if not many.isEmpty():
-        second = stored(_crowded(_second_keys(many, sets, num, den)), "second")
-        near = stored(_links(_pivot_pairs(second, 0, num, den), sets, num, den), "links")
-        links = links.unionAll(near)
-        rest = _open(_rooted(second, links))
-        links = links.unionAll(stored(_links(_cross(rest, num, den), sets, num, den), "links"))
-    return links
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, hot: int = 256, turns: int = 3) -> DataFrame:
+    links = stored(_links(_pivot_pairs(live, num, den), sets, num, den), "links")
+    live = stored(_open(_rooted(live, links)), "open")
+    if live.isEmpty():
+        return links
+    second = stored(_crowded(_difference_keys(live, sets, num, den)), "second")
+    links = links.unionAll(stored(_links(_pivot_pairs(second, num, den), sets, num, den), "links"))
+    rest = _open(_rooted(second, links))
+    return links.unionAll(stored(_links(_cross(rest, num, den), sets, num, den), "links"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: id, n_shingles, component_id.
 
     Two documents link when the Jaccard index of their word-shingle sets is at least
     ``num / den``; component_id is the least id that links reach. Words are runs of bytes other
     than ASCII white space, ASCII letters lower-cased; a text with fewer words than ``shingle``
-    has its whole sequence as the one shingle. ``hot`` and ``turns`` change the plan only.
+    has its whole sequence as the one shingle.
 
     Null and empty texts, and texts of white space, have no shingles and are in a component of
     their own. Rows with a null id link like others; an all-null component has a null
@@ -280,9 +276,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     live = stored(_crowded(rows), "live")
     wanted = live.select("node").distinct().join(classes.select("node", "first"), "node")
     at = F.coalesce("doc_id", F.lit(-(2**63)))
-    texts = base.withColumn("at", at).join(wanted.select("node", F.coalesce("first", F.lit(-(2**63))).alias("at")), "at")
+    ids = stored(wanted.select("node", F.coalesce("first", F.lit(-(2**63))).alias("at")), "wanted")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    texts = base.withColumn("at", at).join(ids, "at")
     sets = stored(_shingles(texts.select("node", "text"), shingle), "shingles")
-    links = _all_links(live, sets, num, den, hot, turns)
+    links = _all_links(live, sets, num, den)
     roots = components(links)
     named = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
