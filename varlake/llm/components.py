@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         edges = cut_lineage(_star(_star(edges, True), False).where("a != b"))
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             break
         before = mark

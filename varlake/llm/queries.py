@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varlake.llm import langid
 from varlake.llm.jaccard import jaccard_join
 from varlake.llm.line_dedup import dedup_lines
+from varlake.llm.packing import pack
+from varlake.llm.quality import COUNTS, quality_rules
 
 QUERIES = {}
 ORACLES = {}
@@ -83,3 +86,28 @@ GROUP BY d.doc_id
 )
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
+def _crc32(column: str):
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+@query()
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _crc32("doc_id") % 4 == 2)
+    model = langid.fit(docs.where(~F.coalesce("held_out", F.lit(False))))
+    found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
