@@ -44,10 +44,10 @@ def _const(*parts: int) -> np.uint64:
 
 @lru_cache(maxsize=1)
 def _edges() -> np.ndarray:
-    """Lower ends of the size bands, a quarter wider each."""
+    """Lower ends of the size bands, half as wide again each."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
     return np.array(out, np.int64)
 
 
@@ -172,11 +172,15 @@ def _near(n1: str, n2: str, num: int, den: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that really link."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    pairs = stored(pairs, "pairs")
+    firsts, seconds = pairs, pairs.select("b").distinct()
+    if pairs.count() <= BROADCAST_ROWS:  # then only the sets of these pairs are shuffled, once
+        firsts, seconds = F.broadcast(firsts), F.broadcast(seconds)
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(firsts, "a")
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(seconds, "b")
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(den * both >= num * union).select("a", "b")
+    return left.join(right, "b").where(den * both >= num * union).select("a", "b")
 
 
 def _weights(live: DataFrame) -> DataFrame:

@@ -44,11 +44,14 @@ class WordCodes:
     def _learn(self, words: list[str], keys: np.ndarray) -> None:
         if len(self.keys) + len(keys) > CACHE_WORDS:
             self.clear()
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        count = np.array([len(c) for c in coded], np.int64)
+        counts, flats = [], []
+        for k in range(0, len(words), 10_000):  # the library's result for a word is a large object
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 10_000], add_special_tokens=False)]
+            counts.append(np.array([len(c) for c in coded], np.int64))
+            flats.append(np.fromiter((i for c in coded for i in c), np.uint32, int(counts[-1].sum())))
+        count = np.concatenate(counts)
         at = np.cumsum(count) - count + len(self.ids)
-        flat = np.fromiter((i for c in coded for i in c), np.uint32, int(count.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, *flats])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
         self.keys = keys[order]
