@@ -10,6 +10,8 @@ from varlake.llm.jaccard import jaccard_join
 from varlake.llm.line_dedup import dedup_lines
 from varlake.llm.packing import pack
 from varlake.llm.quality import COUNTS, quality_rules
+from varlake.llm.topk_blocks import top_k
+from varlake.llm.url_cascade import build_cascade, host_of, judge, junk_hosts
 
 QUERIES = {}
 ORACLES = {}
@@ -111,3 +113,62 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~F.coalesce("held_out", F.lit(False))))
     found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query(
+    r"""
+WITH p AS (
+  SELECT page_id, html,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages
+), listed AS (
+  SELECT host FROM p WHERE host <> '' GROUP BY host
+  HAVING sum(CASE WHEN len(regexp_extract_all(coalesce(html, ''),
+    '###|%%%|\$\$\$|&&&|\*\*\*|&amp;&amp;&amp;')) >= 3 THEN 1 ELSE 0 END) >= 0.5 * count(*)
+), rule(verdict, h, q) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fit AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+  FROM p JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id)
+"""
+)
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cascade = build_cascade(junk_hosts(pages), pages.select(host_of("url").alias("key")))
+    return judge(pages.select("page_id", "url"), URL_RULES, cascade).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w::DOUBLE[], c.w::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+)
+def op4_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
