@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varlake.llm import langid
 from varlake.llm.jaccard import jaccard_join
 from varlake.llm.line_dedup import dedup_lines
+from varlake.llm.lm_lattice import lattice_scores
 from varlake.llm.packing import pack
 from varlake.llm.quality import COUNTS, quality_rules
 from varlake.llm.topk_blocks import top_k
@@ -172,3 +173,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 )
 def op4_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def _public_pieces() -> list[tuple[str, float]]:
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = range(model.get_piece_size())
+    return [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+
+
+@query()
+def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(_table(spark, sf_dir, "documents"), _crc32("doc_id") % 5 == 1, _public_pieces())
