@@ -11,8 +11,11 @@ from varlake.llm.line_dedup import dedup_lines
 from varlake.llm.lm_lattice import lattice_scores
 from varlake.llm.packing import pack
 from varlake.llm.quality import COUNTS, quality_rules
+from varlake.llm.suffix_pieces import digests
 from varlake.llm.topk_blocks import top_k
 from varlake.llm.url_cascade import build_cascade, host_of, judge, junk_hosts
+from varlake.llm.warc import read_warc, write_warc
+from varlake.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -187,3 +190,36 @@ def _public_pieces() -> list[tuple[str, float]]:
 @query()
 def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(_table(spark, sf_dir, "documents"), _crc32("doc_id") % 5 == 1, _public_pieces())
+
+
+@query()
+def op8_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    found = digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
+
+
+@query(
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST((('0x' || substr(hex || '0', 1 + (5 * i) // 4, 2))::BIGINT >> (3 - (5 * i) % 4)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+)
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), target, least=0)
+    return read_warc(spark, target).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
