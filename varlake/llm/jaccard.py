@@ -1,14 +1,15 @@
 """N-gram Jaccard join by universe partitioning and the pigeonhole principle.
 
 Every text becomes the set of its hashed word shingles. Sets within a size band are cut by a
-hash of the shingle into H + 1 segments, H being the largest symmetric difference that two
-linked sets of the band can have; so two linked sets agree on at least one whole segment, and
+hash of the shingle into H + 1 or more segments, H being the largest symmetric difference that
+two linked sets of the band can have; so linked sets agree on at least one whole segment, and
 the hash of a segment's content is an exact index key.
 
 Cost-based allocation. A segment key that tells nothing apart costs pairs in the square of its
-bucket. An empty segment gets no match of its own: its texts match within that scope on a second
-segment's content or its one-deletion neighbourhood. As the other H segments share at most H
-differences, one of them differs by at most one shingle: no link is lost.
+bucket. An empty segment is one: it gets no match of its own, but spare segments that make up for
+it. A set with more empty segments than spares matches, within each empty one's scope, on a
+second segment's content or its one-deletion neighbourhood: as the other segments share at most H
+differences, one of them differs by at most one shingle. No link is lost.
 
 No group is expanded into its pairs. Equal sets are one node. In each bucket all nodes are held
 against one pivot and links are joined into components. Buckets left with several components
@@ -19,6 +20,7 @@ tested pair by pair.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -44,24 +46,40 @@ def _const(*parts: int) -> np.uint64:
 
 @lru_cache(maxsize=1)
 def _edges() -> np.ndarray:
-    """Lower ends of the size bands, half as wide again each."""
+    """Lower ends of the size bands, a quarter wider each."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return np.array(out, np.int64)
 
 
-def _schemes(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(band, segments) of each band that holds a possible partner of at least ``n`` shingles."""
+@lru_cache(maxsize=4096)
+def _scheme(band: int, num: int, den: int) -> tuple[int, int, int] | None:
+    """(segments, spare segments, differences) of a band, None where no two unequal sets link.
+
+    With ``spare`` segments more than differences + 1, linked sets agree on spare + 1 of them, so
+    a set with at most ``spare`` empty segments never needs an empty one to be found.
+    """
+    edges = _edges()
+    most = (den - num) * 2 * (int(edges[band + 1]) - 1) // (den + num)
+    if not most:
+        return None
+    fewest = max(1, int(edges[band]) * num // den)
+    spare = 0
+    for _ in range(20):
+        m = most + 1 + spare
+        empty = m * math.exp(-fewest / m)
+        spare = math.ceil(empty + 3 * math.sqrt(empty))
+    return most + 1 + spare, spare, most
+
+
+def _schemes(n: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """(band, segments, spare, differences) of each band that holds a possible partner of at
+    least ``n`` shingles."""
     edges = _edges()
     first = int(np.searchsorted(edges, n, "right")) - 1
     last = int(np.searchsorted(edges, n * den // num, "right")) - 1
-    out = []
-    for band in range(first, last + 1):
-        most = (den - num) * 2 * (int(edges[band + 1]) - 1) // (den + num)
-        if most:
-            out.append((band, most + 1))
-    return out
+    return [(band, *s) for band in range(first, last + 1) if (s := _scheme(band, num, den))]
 
 
 def _sets(texts: list[bytes | None], k: int):
@@ -98,9 +116,9 @@ def _signatures(sh, owner, counts, num: int, den: int) -> list[np.ndarray]:
         if not rows:
             continue
         band = np.zeros(n_texts, np.int64)
-        m = np.zeros(n_texts, np.int64)
+        m, spare, most = (np.zeros(n_texts, np.int64) for _ in range(3))
         for i in rows:
-            band[i], m[i] = plans[int(counts[i])][turn]
+            band[i], m[i], spare[i], most[i] = plans[int(counts[i])][turn]
         place = np.cumsum(m) - m
         use = m[owner] > 0
         own, val = owner[use], values[use]
@@ -114,7 +132,10 @@ def _signatures(sh, owner, counts, num: int, den: int) -> list[np.ndarray]:
             a, b = place[i], place[i] + m[i]
             full = filled[a:b]
             keys[i].append(sigs[a:b][full])
-            if not full.all():
+            empty = int((~full).sum())
+            if empty > spare[i]:
+                if 2 * (m[i] - empty) <= most[i]:
+                    keys[i].append(sigs[a:b][~full])
                 mine = values[begin[i] : begin[i] + counts[i]]
                 where = ((mine >> np.uint64(17)) % np.uint64(m[i])).astype(np.int64)
                 for j in np.flatnonzero(~full):
@@ -136,21 +157,69 @@ def _node(sh, owner, counts) -> np.ndarray:
     return W.signed(W.mix(total + W.mix(counts.astype(np.uint64))))
 
 
-def _index(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _index(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, node) of every text."""
+
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = W.texts_of(batch.column(1))
-        out_n, out_node, out_keys = [], [], []
+        out_n, out_node = [], []
         for a, b in W.groups([len(t or b"") for t in texts]):
             sh, owner, counts = _sets(texts[a:b], k)
             out_n.append(counts)
             out_node.append(_node(sh, owner, counts))
-            out_keys += _signatures(sh, owner, counts, num, den)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_node)), _list_array(out_keys)],
-            ["doc_id", "n", "node", "keys"],
-        )
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_node))], ["doc_id", "n", "node"])
+
+    return map_batches_arrow(docs, rows, "doc_id long, n long, node long")
 
-    return map_batches_arrow(docs, rows, "doc_id long, n long, node long, keys array<long>")
+
+def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, keys) of the texts; a batch names each of its sets once."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = W.texts_of(batch.column(0))
+        nodes, keys = [], []
+        for a, b in W.groups([len(t or b"") for t in texts]):
+            sh, owner, counts = _sets(texts[a:b], k)
+            names = _node(sh, owner, counts)
+            _, once = np.unique(names, return_index=True)
+            once = once[counts[once] > 0]
+            begin = np.cumsum(counts) - counts
+            size = counts[once]
+            part = sh[W.ragged(begin[once], size)]
+            nodes.append(names[once])
+            keys += _signatures(part, np.repeat(np.arange(len(once)), size), size, num, den)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), _list_array(keys)], ["node", "keys"])
+
+    return map_batches_arrow(docs.select("text"), rows, "node long, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The (key, node) rows whose key more than one node has: one shuffle, then each task
+    streams its sorted keys and remembers one row."""
+
+    def stream(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held is not None:
+                key, node = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], node])
+            same = key[1:] == key[:-1]
+            keep = np.zeros(len(key), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held is not None and held[2]:
+                keep[0] = True
+            # The last row waits for the next batch, with what is known of it.
+            held = (key[-1], node[-1], bool(keep[-1]))
+            keep[-1] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "node"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(stream, "key long, node long")
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -273,11 +342,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the text are joined only if their texts link. Sets are told apart by 64-bit hashes.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    index = stored(_index(base, shingle, num, den), "sets")
+    index = stored(_index(base, shingle), "sets")
     classes = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    one = index.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min_by("keys", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("keys"))
-    rows = one.select(F.explode("keys").alias("key"), "node", "n")
-    live = stored(_crowded(rows), "live")
+    rows = _keyed(base, shingle, num, den).select(F.explode("keys").alias("key"), "node")
+    pairs = stored(_shared(rows), "shared")
+    live = stored(_crowded(pairs.join(classes.select("node", "n"), "node")), "live")
     wanted = live.select("node").distinct().join(classes.select("node", "first"), "node")
     at = F.coalesce("doc_id", F.lit(-(2**63)))
     ids = stored(wanted.select("node", F.coalesce("first", F.lit(-(2**63))).alias("at")), "wanted")
