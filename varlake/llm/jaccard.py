@@ -13,7 +13,7 @@ differences, one of them differs by at most one shingle. No link is lost.
 
 No group is expanded into its pairs. Equal sets are one node. In each bucket all nodes are held
 against one pivot and links are joined into components. Buckets left with several components
-are keyed anew by what their nodes differ in from a common pivot (see ``_difference_keys``), once
+are keyed anew by what their nodes differ in from a common pivot (see ``_differences``), once
 more against one pivot, and only what then still shares a key in different components is
 tested pair by pair.
 """
@@ -283,31 +283,29 @@ def _cross(live: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, "key").where("a < b and ra != rb").where(_near("na", "nb", num, den)).select("a", "b").distinct()
 
 
-def _difference_keys(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Second keys of the nodes in open buckets: (key, node, n, root).
+def _differences(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(scope, centre, node, n, root, linked, tokens) of the nodes in open buckets.
 
-    Nodes that open buckets tie together share one pivot; D is what a node differs in from it.
-    Two nodes differ in exactly what their D differ in, so a link needs all but ``most`` of D to be
-    shared, and the first most + 1 of D in a fixed order must meet. What the pivot lacks comes
-    first, as single edits tell near copies apart.
+    Nodes that open buckets tie together share one pivot, the centre; D is what a node differs in
+    from it, and ``linked`` tells whether that is little enough for a link. Two nodes differ in
+    exactly what their D differ in, so a link needs all but ``most`` of D to be shared, and the
+    first most + 1 of D in a fixed order must meet. What the pivot lacks comes first, as single
+    edits tell near copies apart.
     """
     firsts = live.groupBy("key").agg(F.min("node").alias("b"))
     ties = live.join(firsts, "key").select(F.col("node").alias("a"), "b").distinct()
-    scope = components(ties)
-    scope = scope.withColumnRenamed("root", "scope").join(_weights(live), "node")
+    scope = components(ties).withColumnRenamed("root", "scope").join(_weights(live), "node")
     centre = scope.groupBy("scope").agg(F.max(F.struct("w", "node")).alias("s")).select("scope", F.col("s.node").alias("centre"))
     nodes = live.select("node", "n", "root").distinct().join(scope.select("node", "scope"), "node")
-    own = nodes.join(sets, "node")
     pivots = centre.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("pivot")), "centre")
     size = F.col("n")
     most = F.floor((den - num) * (size + F.floor(size * den / num)) / (den + num)).cast("int")
-    more = F.array_sort(F.array_except("shingles", "pivot"))
-    diff = F.concat(more, F.array_sort(F.array_except("pivot", "shingles")))
-    kept = own.join(pivots, "scope").select("scope", "node", "n", "root", diff.alias("d"), most.alias("most"))
+    diff = F.concat(F.array_sort(F.array_except("shingles", "pivot")), F.array_sort(F.array_except("pivot", "shingles")))
+    linked = F.size("d") * (den + num) <= (den - num) * (F.col("n") + F.size("pivot"))
     near_pivot = F.when(F.size("d") <= F.col("most"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
     tokens = F.concat(F.slice("d", F.lit(1), F.col("most") + 1), near_pivot)
-    keyed = kept.select("scope", "node", "n", "root", F.explode(tokens).alias("token"))
-    return keyed.select(F.xxhash64("scope", F.coalesce("token", F.col("scope"))).alias("key"), "node", "n", "root")
+    both = nodes.join(sets, "node").join(pivots, "scope").withColumn("d", diff).withColumn("most", most)
+    return both.select("scope", "centre", "node", "n", "root", linked.alias("linked"), tokens.alias("tokens"))
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -322,7 +320,11 @@ def _all_links(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     live = stored(_open(_rooted(live, links)), "open")
     if live.isEmpty():
         return links
-    second = stored(_crowded(_difference_keys(live, sets, num, den)), "second")
+    apart = stored(_differences(live, sets, num, den), "apart")
+    links = links.unionAll(apart.where("linked AND node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+    keyed = apart.select("scope", "node", "n", "root", F.explode("tokens").alias("token"))
+    key = F.xxhash64("scope", F.coalesce("token", F.col("scope")))
+    second = stored(_crowded(keyed.select(key.alias("key"), "node", "n", "root")), "second")
     links = links.unionAll(stored(_links(_pivot_pairs(second, num, den), sets, num, den), "links"))
     rest = _open(_rooted(second, links))
     return links.unionAll(stored(_links(_cross(rest, num, den), sets, num, den), "links"))
@@ -339,8 +341,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts, and texts of white space, have no shingles and are in a component of
     their own. Rows with a null id link like others; an all-null component has a null
     component_id. Repeated rows stay and share their component; rows that share an id but not
-    the text are joined only if their texts link. Sets are told apart by 64-bit hashes.
+    the text are joined only if their texts link. Sets are told apart by 64-bit hashes. Below
+    0.7 segments would have to outnumber shingles; such thresholds are refused.
     """
+    if 10 * num < 7 * den:
+        raise ValueError("thresholds below 0.7 are not supported")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = stored(_index(base, shingle), "sets")
     classes = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))

@@ -74,7 +74,7 @@ def _table(keys: np.ndarray, langs: np.ndarray, weights: np.ndarray, n_langs: in
     return found, logs.astype(np.float32)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, chars: int = 4000) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 500, chars: int = 2000) -> Model:
     """A model of at most ``per_language`` labelled texts per language, the first by a hash of
     text and id; of each, the words of a window of ``chars`` characters that starts at a place
     drawn by the same hash. The bound keeps the model and the fit small at any corpus size.
