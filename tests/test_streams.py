@@ -64,3 +64,35 @@ def test_dedupe(spark, tmp_path):
     rows_in = T.stream_jsonl(spark, src, "id LONG, ts STRING")
     T.write_rows(T.stream_dedupe(rows_in, "id", "ts", "1 day").select("id"), out, ckpt).awaitTermination()
     assert rows(spark.read.parquet(out)) == rows(spark.range(20))
+
+
+def test_fresh_checkpoint_repeats_no_call_and_loses_no_row(spark, tmp_path):
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def fn(row, where=str(calls)):
+        open(f"{where}/{row['id']}", "x").close()  # a second call for an id would fail
+        return [{"id": row["id"]}]
+
+    for ids, ckpt in (([1, 2], "a"), ([3], "a"), ([4], "b")):
+        drop(spark.createDataFrame([(i,) for i in ids], "id LONG"), src)
+        T.stream_enrich(T.stream_jsonl(spark, src, "id LONG"), fn, "id LONG", sink, str(tmp_path / ckpt)).awaitTermination()
+    assert rows(T.read_sink(spark, sink).select("id")) == [(1,), (2,), (3,), (4,)]
+
+
+def test_latest_after_a_fresh_checkpoint(spark, tmp_path):
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "run_id STRING, task_name STRING, success BOOLEAN"
+    for ckpt in ("a", "a", "b"):
+        drop(spark.createDataFrame([("r", "t", True)], schema), src)
+        T.write_changes(T.stream_success(T.stream_jsonl(spark, src, schema)), sink, str(tmp_path / ckpt)).awaitTermination()
+    assert rows(T.latest(spark, sink, ["run_id", "task_name"])) == [("r", "t", 3, 3)]
+
+
+def test_dedupe_keeps_late_rows(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    for rows_in in ([(1, "2024-03-01 00:00:00")], [(2, "2020-01-01 00:00:00"), (1, "2019-01-01 00:00:00")], [(2, None), (3, None)]):
+        drop(spark.createDataFrame(rows_in, "id LONG, ts STRING"), src)
+        T.write_rows(T.stream_dedupe(T.stream_jsonl(spark, src, "id LONG, ts STRING"), "id").select("id"), out, ckpt).awaitTermination()
+    assert rows(spark.read.parquet(out)) == [(1,), (2,), (3,)]

@@ -72,7 +72,7 @@ def test_resume_twice_is_once(spark):
 def test_filter_stays_below_the_call(spark):
     left = X.remaining(spark.range(9), spark.range(4), "id")
     text = plan(X.map_batches(left, lambda r: [r], "id LONG"))
-    assert text.index("MapInPandas") < text.index("LeftAnti")
+    assert text.index("MapInArrow") < text.index("LeftAnti")
 
 
 def test_batches_flatten_and_retry(spark, tmp_path):
@@ -187,3 +187,30 @@ def test_routing_and_defaults(spark):
         L.with_defaults(df, api_key="secret")
     think = spark.createDataFrame([("anthropic", "on", 0.2), ("anthropic", None, 0.2), ("openai", "on", 0.2)], "provider STRING, thinking STRING, temperature DOUBLE")
     assert [r["temperature"] for r in L.thinking_temperature(think).collect()] == [1.0, 0.2, 0.2]
+
+
+def test_calls_see_plain_values(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame(
+        [(big, None, {"a": 1}, [1, None]), (None, 2, None, None)], "id LONG, n LONG, m MAP<STRING, LONG>, a ARRAY<LONG>"
+    ).coalesce(1)
+
+    def fn(r):
+        assert r["id"] is None or type(r["id"]) is int
+        return [{"id": r["id"], "seen": repr((r["n"], r["m"], r["a"]))}]
+
+    want = {(big, "(None, {'a': 1}, [1, None])"), (None, "(2, None, None)")}
+    assert {tuple(x) for x in X.map_batches(df, fn, "id LONG, seen STRING").collect()} == want
+
+    def bad(r):
+        raise ValueError("no")
+
+    kept = X.map_batches(df, bad, "id LONG", key="id", on_error="keep")
+    assert {tuple(x) for x in kept.collect()} == {(big, "ValueError: no"), (None, "ValueError: no")}
+
+
+def test_rows_without_a_prompt_are_reported(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "request_id STRING, prompt STRING")
+    good, failed = X.rephrase_until_parsed(df, lambda text, rnd: '{"RAW": "x", "REVISED": ["y"]}')
+    assert [r["request_id"] for r in good.collect()] == ["a"]
+    assert [tuple(r) for r in failed.collect()] == [("b", None)]

@@ -9,15 +9,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from varlake.fixed_values import CHUNK_SIZE
 from varlake.functions.jsontext import revision
 from varlake.operators.lookups import fill_template
-from varlake.session import BROADCAST_BYTES, broadcast_checked, cut_lineage
+from varlake.session import BROADCAST_BYTES, broadcast_checked, cut_lineage, ship_package
 
 # Rows handed back to the JVM at a time.
 OUTPUT_ROWS = 10_000
@@ -72,7 +73,8 @@ def map_batches(
     ``concurrency`` bounds the tasks, hence the calls in flight; rows are then spread by
     ``key`` so that a retried task sees the same rows. With ``on_error='keep'`` a chunk
     that fails for good gives one row per input with its key and the ``error``; with
-    ``'fail'`` it fails the job. Tasks can run twice: make ``fn`` safe to repeat.
+    ``'fail'`` it fails the job. Tasks can run twice: make ``fn`` safe to repeat. A row is a
+    dict of plain Python values: a LONG stays an int, a null is None, a map is a dict.
     """
     if on_error not in ("fail", "keep"):
         raise ValueError("on_error is 'fail' or 'keep'")
@@ -81,28 +83,29 @@ def map_batches(
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if on_error == "keep":
         out = T.StructType([*out.fields, T.StructField("error", T.StringType())])
-    names = out.fieldNames()
     if concurrency:
         df = df.repartition(concurrency, *([key] if key else []))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done: list[list] = []
-            for start in range(0, len(pdf), chunk):
-                rows = pdf.iloc[start : start + chunk].to_dict("records")
+    ship_package(df.sparkSession)
+    arrow = to_arrow_schema(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done: list[dict] = []
+            for start in range(0, batch.num_rows, chunk):
+                rows = batch.slice(start, chunk).to_pylist(maps_as_pydicts="strict")
                 try:
                     result = _call(fn, rows, tries, pause)
                 except Exception as e:  # noqa: BLE001
                     if on_error == "fail":
                         raise
                     result = [{key: r[key], "error": f"{type(e).__name__}: {e}"} for r in rows]
-                done.extend([r.get(n) for n in names] for r in result)
+                done.extend(result)
                 if len(done) >= OUTPUT_ROWS:
-                    yield pd.DataFrame(done, columns=names, dtype=object)
+                    yield pa.RecordBatch.from_pylist(done, arrow)
                     done = []
-            yield pd.DataFrame(done, columns=names, dtype=object)
+            yield pa.RecordBatch.from_pylist(done, arrow)
 
-    return df.mapInPandas(work, out)
+    return df.mapInArrow(work, out)
 
 
 def rephrase(
@@ -147,9 +150,10 @@ def rephrase_until_parsed(
     ``client(prompt, round)``. Every round's answers are materialised in the shared
     folder before they are parsed: a call must not be repeated because two readers
     share its lineage. Returns (key, raw, revised, round) and the (key, content) that
-    never parsed.
+    never parsed; a row without a prompt is never asked and stands there without content.
     """
-    todo, good = df.select(key, prompt), None
+    unasked = df.where(F.col(prompt).isNull()).select(key, F.lit(None).cast("string").alias("content"))
+    todo, good = df.where(F.col(prompt).isNotNull()).select(key, prompt), None
     for rnd in range(1, max_rounds + 1):
         ask = lambda text, rnd=rnd: client(text, rnd)
         answers = cut_lineage(rephrase(todo, ask, key, prompt, concurrency, **kw))
@@ -159,7 +163,7 @@ def rephrase_until_parsed(
         if rnd == max_rounds or failed.isEmpty():
             break
         todo = todo.join(broadcast_checked(failed.select(key)), key, "left_semi")
-    return good, failed.select(key, "content")
+    return good, failed.select(key, "content").unionByName(unasked)
 
 
 def reply_variants(prompts: DataFrame, parsed: DataFrame, key: str = "request_id") -> DataFrame:

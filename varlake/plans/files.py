@@ -302,6 +302,35 @@ def stream_enrich(spark, sf_dir):
     return T.read_sink(spark, f"{base}/out").drop("batch_id")
 
 
+@query(
+    "WITH" + EPISODES_SQL + """ SELECT run_id, task_name, count(*) AS num_episodes, sum(success::INT)::BIGINT AS num_successes
+FROM ep GROUP BY run_id, task_name"""
+)
+def stream_success_restart(spark, sf_dir):
+    """The second wave of rollouts is counted under a fresh checkpoint, over the same sink."""
+    base = scratch_path(spark, "stream-success-restart")
+    rows = rollout_events(spark, sf_dir).select("run_id", "task_name", "success")
+    first = F.pmod(F.xxhash64("run_id", "task_name", "success"), F.lit(2)) == 0
+    for k, wave in enumerate((rows.where(first), rows.where(~first))):
+        wave.write.mode("append").json(f"{base}/in")
+        live = T.stream_success(T.stream_jsonl(spark, f"{base}/in", "run_id STRING, task_name STRING, success BOOLEAN"))
+        T.write_changes(live, f"{base}/out", f"{base}/ckpt-{k}").awaitTermination()
+    return T.latest(spark, f"{base}/out", ["run_id", "task_name"])
+
+
+@query(_STUB_SQL)
+def stream_enrich_restart(spark, sf_dir):
+    """Two waves of inputs, each under a checkpoint of its own, into one sink."""
+    base = scratch_path(spark, "stream-enrich-restart")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    for k, wave in enumerate((docs.where(first), docs.where(~first))):
+        wave.write.mode("append").json(f"{base}/in")
+        inputs = T.stream_jsonl(spark, f"{base}/in", "doc_id LONG, lang STRING, source STRING, text STRING")
+        T.stream_enrich(inputs, _stub, _STUB_SCHEMA, f"{base}/out", f"{base}/ckpt-{k}", key="doc_id").awaitTermination()
+    return T.read_sink(spark, f"{base}/out").drop("batch_id")
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     """Every error arrives twice; each event comes out once."""
@@ -309,7 +338,7 @@ def stream_dedupe(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
     e.unionByName(e.where("event_type = 'error'")).write.json(f"{base}/in")
     rows = T.stream_jsonl(spark, f"{base}/in", "event_id LONG, event_type STRING, ts STRING")
-    once = T.stream_dedupe(rows, "event_id", "ts", "60 days").select("event_id", "event_type")
+    once = T.stream_dedupe(rows, "event_id").select("event_id", "event_type")
     T.write_rows(once, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return spark.read.schema("event_id LONG, event_type STRING").parquet(f"{base}/out")
 

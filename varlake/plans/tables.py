@@ -131,6 +131,20 @@ def enrich_stub(spark, sf_dir):
     return X.map_batches(docs, _stub, _STUB_SCHEMA, key="doc_id", concurrency=4)
 
 
+@query(
+    """SELECT doc_id, 9007199254740993 + doc_id AS big, CASE WHEN lang <> 'fr' THEN 9007199254740993 + n_chars END AS maybe
+FROM documents"""
+)
+def enrich_nullable_long(spark, sf_dir):
+    """Longs beyond 2**53, some of them null, come through a call unchanged."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.lit(9007199254740993) + F.col("doc_id")).alias("big"),
+        F.when(F.col("lang") != "fr", F.lit(9007199254740993) + F.col("n_chars")).alias("maybe"),
+    )
+    return X.map_batches(docs, lambda r: [r], "doc_id LONG, big LONG, maybe LONG", key="doc_id")
+
+
 def _picky(row: dict) -> list[dict]:
     if row["lang"] == "fr":
         raise ValueError("no French")

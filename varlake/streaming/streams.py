@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,9 +19,15 @@ def stream_jsonl(spark: SparkSession, path: str, schema: str, **options) -> Data
     return spark.readStream.schema(schema).options(**STRICT, **options).json(path)
 
 
-def _batch_path(sink: str, batch_id: int) -> str:
+def _batch_name(batch: DataFrame, batch_id: int) -> str:
+    """Name of a batch over all runs: numbers start again at 0 under a new checkpoint, so the
+    id of the query, which its checkpoint keeps, is part of it."""
+    return f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+
+
+def _batch_path(sink: str, name: str | int) -> str:
     # One folder per batch, overwritten when the batch is retried: the write is idempotent.
-    return f"{sink}/batch_id={batch_id}"
+    return f"{sink}/batch_id={name}"
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame | None:
@@ -44,15 +51,18 @@ def stream_enrich(
 ) -> StreamingQuery:
     """Run ``fn`` on inputs whose key is not in the sink yet, and append the results.
 
-    Stops once the available input is used up; started again, it goes on from there.
+    Stops once the available input is used up; started again, it goes on from there. Under a
+    new checkpoint all input is read again, but only unknown keys are called. A null key is
+    one key that is never known to be done.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        name = _batch_name(batch, batch_id)
         fresh = batch.dropDuplicates([key])
         done = read_sink(batch.sparkSession, sink)
         if done is not None:
-            fresh = remaining(fresh, done.where(F.col("batch_id") < batch_id), key)
-        map_batches(fresh, fn, schema, key=key, **kw).write.mode("overwrite").parquet(_batch_path(sink, batch_id))
+            fresh = remaining(fresh, done.where(F.col("batch_id").cast("string") != name), key)
+        map_batches(fresh, fn, schema, key=key, **kw).write.mode("overwrite").parquet(_batch_path(sink, name))
 
     return (
         df.writeStream.foreachBatch(each)
@@ -69,17 +79,28 @@ def stream_success(df: DataFrame, run: str = "run_id", task: str = "task_name")
     )
 
 
-def stream_dedupe(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Each key once; state is kept only as long as ``delay`` allows repeats."""
+def stream_dedupe(df: DataFrame, key: str, ts: str | None = None, delay: str | None = None) -> DataFrame:
+    """Each key once, however late a repeat comes; the state holds every key seen.
+
+    With ``ts`` and ``delay`` the state is kept only as long as ``delay`` allows repeats, and
+    Spark drops rows that come later than that.
+    """
+    if ts is None or delay is None:
+        return df.dropDuplicates([key])
     timed = df.withColumn(ts, F.col(ts).cast("timestamp"))
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def write_changes(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Write only the groups each batch changed; :func:`latest` puts them together."""
+    """Write only the groups each batch changed; :func:`latest` puts them together.
+
+    Rows carry the time of their write in ``written``, which unlike the batch number also
+    grows from one checkpoint to the next.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
+        stamped = batch.withColumn("written", F.lit(time.time_ns()).cast("long"))
+        stamped.write.mode("overwrite").parquet(_batch_path(sink, _batch_name(batch, batch_id)))
 
     return (
         df.writeStream.outputMode("update")
@@ -93,8 +114,8 @@ def write_changes(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
 def latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
     """The newest row of every group written by :func:`write_changes`."""
     rows = read_sink(spark, sink)
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*")
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id", "written")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "written").alias("v")).select(*keys, "v.*")
 
 
 def write_rows(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
