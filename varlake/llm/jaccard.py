@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlake.llm import words as W
@@ -278,19 +278,21 @@ def _open(live: DataFrame) -> DataFrame:
 
 def _cross(live: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components in a bucket."""
-    x = live.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = live.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return x.join(y, "key").where("a < b and ra != rb").where(_near("na", "nb", num, den)).select("a", "b").distinct()
+
+    def side(at: str) -> DataFrame:
+        return live.select("key", *[F.col(c).alias(f"{c}_{at}") for c in ("node", "n", "root", "far", "room")])
+
+    within = F.expr("far_a <= room_b AND far_b <= room_a")
+    pairs = side("a").join(side("b"), "key").where("node_a < node_b AND root_a != root_b")
+    return pairs.where(_near("n_a", "n_b", num, den) & within).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _differences(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(scope, centre, node, n, root, linked, tokens) of the nodes in open buckets.
+    """(scope, centre, node, n, root, linked, most, d) of the nodes in open buckets.
 
-    Nodes that open buckets tie together share one pivot, the centre; D is what a node differs in
-    from it, and ``linked`` tells whether that is little enough for a link. Two nodes differ in
-    exactly what their D differ in, so a link needs all but ``most`` of D to be shared, and the
-    first most + 1 of D in a fixed order must meet. What the pivot lacks comes first, as single
-    edits tell near copies apart.
+    Nodes that open buckets tie together share one pivot, the centre; ``d`` is what a node
+    differs in from it, and ``linked`` tells whether that is little enough for a link. ``most`` is
+    the most that a node may differ in from any partner.
     """
     firsts = live.groupBy("key").agg(F.min("node").alias("b"))
     ties = live.join(firsts, "key").select(F.col("node").alias("a"), "b").distinct()
@@ -300,12 +302,33 @@ def _differences(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     pivots = centre.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("pivot")), "centre")
     size = F.col("n")
     most = F.floor((den - num) * (size + F.floor(size * den / num)) / (den + num)).cast("int")
-    diff = F.concat(F.array_sort(F.array_except("shingles", "pivot")), F.array_sort(F.array_except("pivot", "shingles")))
+    diff = F.concat(F.array_except("shingles", "pivot"), F.array_except("pivot", "shingles"))
     linked = F.size("d") * (den + num) <= (den - num) * (F.col("n") + F.size("pivot"))
-    near_pivot = F.when(F.size("d") <= F.col("most"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
-    tokens = F.concat(F.slice("d", F.lit(1), F.col("most") + 1), near_pivot)
-    both = nodes.join(sets, "node").join(pivots, "scope").withColumn("d", diff).withColumn("most", most)
-    return both.select("scope", "centre", "node", "n", "root", linked.alias("linked"), tokens.alias("tokens"))
+    both = nodes.join(sets, "node").join(pivots, "scope").withColumn("d", diff)
+    return both.select("scope", "centre", "node", "n", "root", linked.alias("linked"), most.alias("most"), "d")
+
+
+def _difference_keys(apart: DataFrame) -> DataFrame:
+    """(key, node, n, root, far, room): rows of two nodes that link share a key.
+
+    Two nodes differ in exactly what their D differ in, so a link needs all but ``most`` of D to
+    be shared, and the first most + 1 of D in a fixed order must meet. The order is by how many
+    nodes of the scope have the token, rarest first: what most copies share, such as an edit that
+    only the pivot has, then tells nothing apart and comes last.
+
+    Nodes whose D share nothing link only if both D together are within ``most``. These meet in
+    a bucket of their scope, where ``far`` is the size of D and ``room`` what it leaves for the
+    other's.
+    """
+    each = apart.select("scope", "node", "n", "root", "most", F.explode("d").alias("token"))
+    common = each.groupBy("scope", "token").agg(F.count("*").alias("f")).where("f > 1")
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(1)), "token")
+    first = each.join(common, ["scope", "token"], "left").withColumn("r", F.row_number().over(rarest)).where("r <= most + 1 AND f > 1")
+    none = F.lit(0)
+    tokens = first.select(F.xxhash64("scope", "token").alias("key"), "node", "n", "root", none.alias("far"), none.alias("room"))
+    far = F.size("d")
+    near = apart.where(far <= F.col("most"))
+    return tokens.unionAll(near.select(F.xxhash64("scope").alias("key"), "node", "n", "root", far, F.col("most") - far))
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -322,9 +345,7 @@ def _all_links(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         return links
     apart = stored(_differences(live, sets, num, den), "apart")
     links = links.unionAll(apart.where("linked AND node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
-    keyed = apart.select("scope", "node", "n", "root", F.explode("tokens").alias("token"))
-    key = F.xxhash64("scope", F.coalesce("token", F.col("scope")))
-    second = stored(_crowded(keyed.select(key.alias("key"), "node", "n", "root")), "second")
+    second = stored(_crowded(_difference_keys(apart)), "second")
     links = links.unionAll(stored(_links(_pivot_pairs(second, num, den), sets, num, den), "links"))
     rest = _open(_rooted(second, links))
     return links.unionAll(stored(_links(_cross(rest, num, den), sets, num, den), "links"))
