@@ -188,6 +188,39 @@ def test_quality_rules(spark, docs, empty):
     assert kept.columns == table.columns and 0 < kept.count() <= table.count()
 
 
+def _measured(spark, groups):
+    """Measured documents and their labels, from (stratum, quality or None, rows, {signal: value})."""
+    rows = [(stratum, label, *(float(values.get(x, 0)) for x in quality.SIGNALS)) for stratum, label, n, values in groups for _ in range(n)]
+    kinds = ", ".join(["id long", "stratum string", "quality int", *(f"{x} double" for x in quality.SIGNALS)])
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], kinds)
+    return table.drop("quality").withColumn("base_failed", F.lit(False)), table.selectExpr("id AS doc_id", "quality")
+
+
+def test_quality_cutoffs_need_the_stratum_s_own_labels(spark):
+    measured, labels = _measured(spark, [
+        ("big", 1, 2000, {}), ("big", 0, 2000, {"symbols": 3}),
+        ("tiny", 1, 40, {"symbols": 3}), ("unseen", None, 30, {"symbols": 3}),
+        ("clean", 1, 600, {}),
+    ])
+    cutoffs = quality.fit(measured, labels)
+    assert cutoffs["big", "symbols"] < 3
+    kept = {(r.stratum, r.s): r.n for r in measured.where(quality._passes(cutoffs)).groupBy("stratum", F.col("symbols").alias("s")).agg(F.count("*").alias("n")).collect()}
+    assert kept == {("big", 0): 2000, ("tiny", 3): 40, ("unseen", 3): 30, ("clean", 0): 600}
+    # The proposal of all strata holds where the stratum's own labels certify it.
+    assert cutoffs["clean", "symbols"] < 3
+
+
+def test_quality_signals_share_the_risk(spark):
+    """Each of three signals rejects 2.5% of the good documents, all together 7.5%."""
+    names = ("symbols", "shouts", "stutters")
+    groups = [("en", q, n, {x: 0.9}) for x in names for q, n in ((1, 100), (0, 2500))]
+    measured, labels = _measured(spark, [("en", 1, 3700, {}), *groups])
+    cutoffs = quality.fit(measured, labels)
+    assert cutoffs
+    good = measured.join(labels.where("quality = 1"), F.col("id") == F.col("doc_id"))
+    assert 0.95 * 4000 <= good.where(quality._passes(cutoffs)).count() < 4000
+
+
 def test_language_id(spark, docs, empty):
     found = queries.op10_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]

@@ -1,17 +1,22 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
 Signals are computed in one pass over whole texts. Labelled documents are split by a hash of
-their id: one half proposes a cutoff per signal and stratum, the other certifies it. A cutoff
-holds when the exact (Clopper-Pearson) upper bound on the share of good documents above it is
-at most ``risk``, at a confidence shared out over all signals and strata (Bonferroni); within one
-signal and stratum, cutoffs are tried from the loosest to the proposed one and the walk ends at
-the first failure, which needs no further correction. A stratum with too little evidence for
-its own cutoff takes the one certified over all strata together where that holds, else none.
+their id: one half proposes, the other certifies. For each stratum the first half proposes a
+cutoff per signal and puts these and all looser ones in an order, fewest good documents first:
+each place rejects what the places before it do and something more. The other half of the same
+stratum counts the good documents rejected up to each place, by whichever signal. Places hold
+from the first on while the exact (Clopper-Pearson) upper bound on that share is at most
+``risk``, at a confidence shared out over the strata (Bonferroni); the walk ends at the first
+failure, so neither places nor signals need a further correction. Where a stratum's own first
+half knows nothing for or against a signal, the proposal is that of all strata together, held
+against the stratum's own second half all the same. A stratum whose second half certifies
+nothing, or that has no labels, has no cutoff.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from itertools import pairwise
 
 import numpy as np
@@ -138,47 +143,66 @@ def upper_bound(failures: int, n: int, error: float) -> float:
     return hi
 
 
-def certified(tune: np.ndarray, hold: np.ndarray, risk: float, error: float, weight: float) -> int | None:
-    """Index of the cutoff to use, or None.
-
-    ``tune`` and ``hold`` are (cutoffs + 1, 2) counts of bad and good documents by the number of
-    cutoffs they exceed.
-    """
-    above = lambda x: x[::-1].cumsum(0)[::-1][1:]  # noqa: E731  row i: documents above cutoff i
-    gain = above(tune)[:, 0] - weight * above(tune)[:, 1]
-    if not len(gain) or gain.max() <= 0:
-        return None
-    aim = int(len(gain) - 1 - np.argmax(gain[::-1]))
-    n = int(hold[:, 1].sum())
-    over = above(hold)[:, 1]
-    best = None
-    for i in range(len(gain) - 1, aim - 1, -1):
-        if not n or upper_bound(int(over[i]), n, error) > risk:
-            break
-        best = i
-    return best if best is not None and gain[best] > 0 else None
+def _above(counts: np.ndarray) -> np.ndarray:
+    """Row i: documents above cutoff i, of counts by the number of cutoffs they exceed."""
+    return counts[::-1].cumsum(0)[::-1][1:]
 
 
-def choose_cutoffs(cells: list[tuple], risk: float, delta: float, weight: float) -> dict[tuple[str, str], float]:
-    """{(stratum, signal): cutoff} from (stratum, signal, half, step, quality, n) counts.
+def proposals(cells: list[tuple], weight: float) -> dict[str, list[tuple[str, int]]]:
+    """{stratum: [(signal, index of a cutoff), ..]} in the order in which they are tried.
 
-    The stratum None stands for all together.
+    ``cells`` are the (stratum, signal, step, quality, n) counts of the first half.
     """
     tables: dict[tuple, np.ndarray] = {}
-    for stratum, signal, half, step, quality, n in cells:
+    for stratum, signal, step, quality, n in cells:
         for s in (stratum, None):
-            t = tables.setdefault((s, signal), np.zeros((2, len(SIGNALS[signal]) + 1, 2), np.int64))
-            t[half, step, quality] += n
-    strata = {s for s, _ in tables if s is not None}
-    error = delta / (len(SIGNALS) * (len(strata) + 1)) if strata else delta
-    found = {key: certified(t[0], t[1], risk, error, weight) for key, t in tables.items()}
-    out = {}
-    for s in [*strata, None]:
-        for signal, steps in SIGNALS.items():
-            i = found.get((s, signal))
-            i = found.get((None, signal)) if i is None else i
-            if i is not None:
-                out[s, signal] = float(steps[i])
+            tables.setdefault((s, signal), np.zeros((len(SIGNALS[signal]) + 1, 2), np.int64))[step, quality] += n
+    above = {key: _above(t) for key, t in tables.items()}
+    gains = {key: x[:, 0] - weight * x[:, 1] for key, x in above.items()}
+
+    def tightest(key) -> int | None:
+        gain = gains[key]
+        return int(len(gain) - 1 - np.argmax(gain[::-1])) if gain.max() > 0 else None
+
+    out: dict[str, list] = {}
+    for s, signal in above:
+        if s is None:
+            continue
+        own, pooled = above[s, signal][:, 1], above[None, signal][:, 1]
+        aim = tightest((s, signal))
+        if aim is None and (aim := tightest((None, signal))) is not None:
+            harmless = np.flatnonzero(gains[s, signal][aim:] >= 0)
+            aim = aim + int(harmless[0]) if len(harmless) else None
+        if aim is not None:
+            out.setdefault(s, []).extend((int(own[i]), int(pooled[i]), -i, signal) for i in range(aim, len(own)))
+    return {s: [(signal, -i) for _, _, i, signal in sorted(places)] for s, places in out.items()}
+
+
+def certified(tune: np.ndarray, hold: np.ndarray, risk: float, error: float, weight: float) -> int:
+    """How many places of a stratum's order to use.
+
+    ``tune`` and ``hold`` are (places + 1, 2) counts of bad and good documents by the first place
+    that rejects them, the last row those that none does.
+    """
+    n = int(hold[:, 1].sum())
+    over = hold[:-1, 1].cumsum()
+    fails = lambda i: bool(over[i] > risk * n or upper_bound(int(over[i]), n, error) > risk)
+    holds = bisect_left(range(len(over)), True, key=fails) if n else 0
+    gain = (tune[:-1, 0] - weight * tune[:-1, 1]).cumsum()[:holds]
+    return int(len(gain) - np.argmax(gain[::-1])) if len(gain) and gain.max() >= 0 else 0
+
+
+def choose_cutoffs(order: dict[str, list[tuple[str, int]]], cells: list[tuple], risk: float, delta: float, weight: float) -> dict[tuple[str, str], float]:
+    """{(stratum, signal): cutoff} from (stratum, half, place, quality, n) counts; what no place
+    rejects has the place null."""
+    tables = {s: np.zeros((2, len(places) + 1, 2), np.int64) for s, places in order.items()}
+    for stratum, half, place, quality, n in cells:
+        tables[stratum][half, -1 if place is None else place, quality] += n
+    out: dict[tuple[str, str], float] = {}
+    for s, places in order.items():
+        used = certified(tables[s][0], tables[s][1], risk, delta / len(order), weight)
+        # A signal's places run from its loosest cutoff on: the last one counts.
+        out |= {(s, signal): float(SIGNALS[signal][i]) for signal, i in places[:used]}
     return out
 
 
@@ -199,26 +223,41 @@ def _measured(docs: DataFrame) -> DataFrame:
 def fit(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, weight: float = 20.0) -> dict[tuple[str, str], float]:
     """Cutoffs from ``labels`` (doc_id, quality 0 or 1) and measured documents.
 
-    Only counts by stratum, signal and step come to the driver. Labels that are null, repeated
-    or without a document don't count twice or at all. Documents that the base rules reject
-    are left out: the guarantee is for the rules' own verdict.
+    Only counts come to the driver: by stratum, signal and step, then by stratum and place in its
+    order. Labels that are null, repeated or without a document don't count twice or at all.
+    Documents that the base rules reject are left out: the guarantee is for the rules' own
+    verdict.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
-    rows = measured.where("not base_failed").join(known, "id")
     half = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")
-    steps = [
-        F.struct(F.lit(name).alias("signal"), sum((F.when(F.col(name) > float(c), 1).otherwise(0) for c in cuts), F.lit(0)).alias("step"))
-        for name, cuts in SIGNALS.items()
-    ]
-    cells = rows.select("stratum", half.alias("half"), "quality", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.signal", "half", "s.step", "quality").count()
-    return choose_cutoffs([(r["stratum"], r["signal"], r["half"], r["step"], r["quality"], r["count"]) for r in cells.collect()], risk, delta, weight)
+    steps = [sum((F.when(F.col(name) > float(c), 1).otherwise(0) for c in cuts), F.lit(0)).alias(name) for name, cuts in SIGNALS.items()]
+    rows = stored(measured.where("not base_failed").join(known, "id").select("stratum", half.alias("half"), "quality", *steps), "labelled")
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), F.col(name).alias("step")) for name in SIGNALS]))
+    counts = rows.where("half = 0").select("stratum", "quality", long.alias("s")).groupBy("stratum", "s.signal", "s.step", "quality").count()
+    order = proposals([(r["stratum"], r["signal"], r["step"], r["quality"], r["count"]) for r in counts.collect()], weight)
+    if not order:
+        return {}
+    firsts = rows.sparkSession.createDataFrame(
+        [(s, *_first_places(places)) for s, places in order.items()], ", ".join(["stratum string", *(f"at_{name} array<int>" for name in SIGNALS)])
+    )
+    place = F.least(*[F.get(f"at_{name}", F.col(name)) for name in SIGNALS]).alias("place")
+    cells = rows.join(F.broadcast(firsts), "stratum").groupBy("stratum", "half", place, "quality").count()
+    return choose_cutoffs(order, [(r["stratum"], r["half"], r["place"], r["quality"], r["count"]) for r in cells.collect()], risk, delta, weight)
+
+
+def _first_places(places: list[tuple[str, int]]) -> list[list[int | None]]:
+    """For each signal, by the number of cutoffs exceeded, the first place that rejects."""
+    at = {name: [None] * (len(cuts) + 1) for name, cuts in SIGNALS.items()}
+    for place, (signal, i) in reversed(list(enumerate(places))):
+        at[signal][i + 1 :] = [place] * (len(SIGNALS[signal]) - i)
+    return list(at.values())
 
 
 def _passes(cutoffs: dict[tuple[str, str], float]):
-    strata = sorted({s for s, _ in cutoffs if s is not None})
+    strata = sorted({s for s, _ in cutoffs})
     ok = F.lit(True)
     for signal in SIGNALS:
-        cut = F.lit(cutoffs.get((None, signal), math.inf))
+        cut = F.lit(math.inf)
         for s in strata:
             cut = F.when(F.col("stratum") == s, F.lit(cutoffs.get((s, signal), math.inf))).otherwise(cut)
         ok = ok & (F.col(signal) <= cut)
@@ -229,10 +268,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per document: id, counts, base_failed, kept, and the signals.
 
     ``kept`` is false where the base rules fail or a signal exceeds its stratum's certified
-    cutoff. With probability 1 - ``delta`` no signal rejects more than ``risk`` of the good
-    documents of a stratum. A null or empty text has no words and fails the base rules; a null
-    stratum is one of its own; without labels the base rules alone decide. Repeated rows get a
-    row each.
+    cutoff. With probability 1 - ``delta`` the signals together reject at most ``risk`` of the
+    good documents of every stratum that pass the base rules. A null or empty text has no words
+    and fails the base rules; a null stratum is one of its own; in a stratum without labels the
+    base rules alone decide. Repeated rows get a row each.
     """
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
     base = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"))
@@ -259,9 +298,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             ok = ~base_failed(m)
             strata = [x or "" for x in batch.column(at_stratum).to_pylist()]
             for signal in SIGNALS:
-                pooled = cutoffs.get((None, signal), math.inf)
-                by = {x: cutoffs.get((x, signal), math.inf) if any(k == x for k, _ in cutoffs) else pooled for x in set(strata)}
-                ok &= s[signal] <= np.array([by[x] for x in strata])
+                ok &= s[signal] <= np.array([cutoffs.get((x, signal), math.inf) for x in strata])
             yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(rows, docs.schema)
