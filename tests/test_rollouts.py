@@ -43,6 +43,15 @@ def log_dir(tmp_path_factory):
     return str(d)
 
 
+def test_rollouts_without_a_result_are_listed(spark, tmp_path):
+    cut = "\nTask: shut it\nStarting episode 2...\nCaught exception: stopped\n"
+    (tmp_path / f"{RUN}.txt").write_text(LOG + cut)
+    blocks = S.read_eval_logs(spark, str(tmp_path))
+    got = R.unfinished_rollouts(blocks).collect()
+    assert [(r["run_id"], r["episode_in_task"], r["exception"], r["reason"]) for r in got] == [(RUN, 2, "stopped", "no_success_line")]
+    assert R.parse_eval_logs(blocks).count() == 4
+
+
 def test_parse(spark, log_dir):
     got = R.parse_eval_logs(S.read_eval_logs(spark, log_dir)).orderBy("episode_in_run").collect()
     assert [(r["task_name"], r["task_text"], r["episode_in_task"], r["episode_in_run"], r["success"], r["exception"]) for r in got] == [

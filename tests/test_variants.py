@@ -34,6 +34,13 @@ def test_pool_keeps_scope_order_and_repeats(variants):
     assert [r["variant"] for r in distinct] == ["lift the mug", "raise the cup", "raise the mug", "please lift the cup"]
 
 
+def test_variants_of_unknown_scopes_are_listed(spark, variants):
+    more = variants.union(spark.createDataFrame([(None, "open it", 2, "shut it")], variants.schema))
+    bad = V.unknown_scopes(more)
+    assert rows(bad.select("scope", "variant", "reason")) == [("odd", "never used", "unknown_scope"), (None, "shut it", "unknown_scope")]
+    assert V.merge_pool(more).count() + bad.count() == more.count()
+
+
 def test_pool_quality(variants):
     got = {(r["scope"], r["instruction"]): r for r in V.pool_quality(variants, expected=2).collect()}
     r = got["one", "lift the cup"]
@@ -156,6 +163,30 @@ def test_rewrite_long_matches_nested(spark, variants):
     assert rows(out.select("episode_id", "new_instruction").distinct()) == rows(want)
 
 
+def test_blocks_of_an_episode_share_its_draw(spark, variants):
+    """Episode 1: text changes after step 500 of 1,030; 2: first text null; 3: no steps."""
+    steps = spark.range(1030).select(
+        F.lit(1).alias("e"), (F.col("id") + 1).alias("i"), F.expr("if(id < 500, 'lift the cup', 'open it')").alias("language_instruction")
+    )
+    unread = spark.range(2000).select(F.lit(2), F.col("id") + 1, F.expr("if(id < 1, NULL, 'open it')"))
+    nested = V.nest_steps(steps.union(unread), "e", "i", ["language_instruction"])
+    nested = nested.union(nested.limit(1).select(F.lit(3), F.lit(0), F.slice("steps", 1, 0)))
+    pool = V.merge_pool(variants)
+    for limit in (1 << 26, 0):
+        out, bad = V.rewrite_instructions(nested, pool, 1, key="e", block="block", limit=limit)
+        got = out.select("e", "block", F.explode("steps").alias("s")).select("e", "block", "s.*").collect()
+        assert sorted(r["i"] for r in got) == list(range(1, 1031)) and {r["block"] for r in got} == {0, 1}
+        head = spark.createDataFrame([(1, "lift the cup")], "e INT, instruction STRING")
+        assert {r["language_instruction"] for r in got} == {V.draw_variant(head, pool, 1, ["e"]).first()["new_instruction"]}
+        assert rows(bad) == [(2, "unreadable_instruction"), (3, "no_steps")]
+
+
+def test_nest_steps_of_whole_episodes(spark):
+    steps = spark.range(3000).select(F.expr("id % 2").alias("e"), F.expr("id div 2 + 1").alias("i"))
+    out = V.nest_steps(steps.repartition(5), "e", "i", [], block=None).orderBy("e").collect()
+    assert [[s["i"] for s in r["steps"]] for r in out] == [list(range(1, 1501))] * 2
+
+
 def test_nest_steps_bounds_rows(spark):
     steps = spark.range(25).select(F.lit(1).alias("e"), (F.col("id") + 1).alias("i"), F.col("id").alias("v"))
     out = V.nest_steps(steps, "e", "i", ["v"], block=10).orderBy("block").collect()

@@ -18,11 +18,8 @@ from varlake.operators.segments import running
 # --- logs -------------------------------------------------------------------------
 
 
-def parse_eval_logs(blocks: DataFrame) -> DataFrame:
-    """One row per finished rollout from log blocks (see ``sources.read_eval_logs``).
-
-    A block holds everything about one rollout, so its context needs no window.
-    """
+def _logged_rollouts(blocks: DataFrame) -> DataFrame:
+    """One row per rollout begun; ``success`` is null where no line tells it."""
     text = F.col("block")
     saved = parse_rollout_path(F.regexp_extract(text, r"Saved rollout MP4 at path (.*)", 1))
     failed = r"(?m)^Caught exception: (.*)$"
@@ -39,7 +36,7 @@ def parse_eval_logs(blocks: DataFrame) -> DataFrame:
         F.regexp_extract(text, r"(?m)^Success: (True|False)$", 1).alias("flag"),
         F.when(text.rlike(failed), F.regexp_extract(text, failed, 1)).alias("exception"),
     )
-    return picked.where("flag <> ''").select(
+    return picked.select(
         "run_id",
         "suite",
         "model_family",
@@ -49,11 +46,26 @@ def parse_eval_logs(blocks: DataFrame) -> DataFrame:
         "task_text",
         "episode_in_task",
         F.coalesce(F.col("s.episode"), F.expr("try_cast(done AS INT)")).alias("episode_in_run"),
-        (F.col("flag") == "True").alias("success"),
+        F.when(F.col("flag") != "", F.col("flag") == "True").alias("success"),
         "exception",
     )
 
 
+def parse_eval_logs(blocks: DataFrame) -> DataFrame:
+    """One row per finished rollout from log blocks (see ``sources.read_eval_logs``).
+
+    A block holds everything about one rollout, so its context needs no window. Rollouts
+    without a result are those of :func:`unfinished_rollouts`.
+    """
+    return _logged_rollouts(blocks).where("success IS NOT NULL")
+
+
+def unfinished_rollouts(blocks: DataFrame) -> DataFrame:
+    """Rollouts that began but have no ``Success:`` line, as of an interrupted run, with the reason."""
+    open_ones = _logged_rollouts(blocks).where("success IS NULL").drop("success")
+    return open_ones.withColumn("reason", F.lit("no_success_line"))
+
+
 def log_lines(blocks: DataFrame) -> DataFrame:
     """Every line with the task and episode it belongs to."""
     context = blocks.select(

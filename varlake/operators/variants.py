@@ -91,7 +91,7 @@ def merge_pool(
     """All variants of an instruction as (keys.., idx, n, variant), one row each.
 
     ``idx`` runs from 0 in scope order, then list order; repeats count unless ``distinct``.
-    Rows of unknown scopes have no place in the order and are left out.
+    Rows of unknown scopes have no place in the order; :func:`unknown_scopes` lists them.
     """
     rows = variants.select(
         *keys, scope_order("scope", scopes).alias("scope_ord"), F.col("pos").cast("bigint").alias("pos"), "variant"
@@ -114,6 +114,12 @@ def merge_pool(
     return numbered.select(*keys, (F.col("idx") - 1).cast("bigint").alias("idx"), F.col("n").cast("bigint").alias("n"), "variant")
 
 
+def unknown_scopes(variants: DataFrame, scopes=SCOPES) -> DataFrame:
+    """The rows that :func:`merge_pool` has no place for, null scopes included, with the reason."""
+    known = F.coalesce(scope_order("scope", scopes) > 0, F.lit(False))
+    return variants.where(~known).withColumn("reason", F.lit("unknown_scope"))
+
+
 def pool_arrays(pool: DataFrame, keys: tuple[str, ...] = ("instruction",)) -> DataFrame:
     """(keys.., variants) lists. Only for pools measured to be small."""
     return (
@@ -181,24 +187,46 @@ def rewrite_instructions(
     epoch=None,
     key: str = "episode_id",
     limit: int = BROADCAST_BYTES,
+    block: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nested episodes with a drawn instruction in every step, and (key, reason) of the rest.
 
     With a broadcast pool this is one scan and one write, without any shuffle. Episodes
     with no steps are dropped as such and listed with their reason.
+
+    Where an episode is several rows (see :func:`nest_steps`), ``block`` is the column that
+    orders them: the first of them has the episode's instruction, one draw is made on a
+    narrow row per episode and joined back to all of its rows.
     """
+    if block is not None:
+        return _rewrite_blocks(episodes, pool, seed, epoch, key, limit, block)
     instructions = F.col("steps.language_instruction")
     first = F.try_element_at(instructions, F.lit(1))
     usable = (F.size("steps") > 0) & first.isNotNull()
     good = episodes.where(usable).withColumn("instruction", first)
     drawn = draw_variant(good, pool, seed, _draw_keys(key, epoch), limit=limit)
-    out = drawn.withColumn(
+    reason = F.when(F.coalesce(F.size("steps"), F.lit(-1)) <= 0, "no_steps").otherwise("unreadable_instruction")
+    bad = episodes.where(~F.coalesce(usable, F.lit(False))).select(key, reason.alias("reason"))
+    return _fill_steps(drawn), bad
+
+
+def _fill_steps(drawn: DataFrame) -> DataFrame:
+    return drawn.withColumn(
         "steps",
         F.transform("steps", lambda s: s.withField("language_instruction", F.col("new_instruction"))),
     ).drop("instruction", "new_instruction")
-    reason = F.when(F.coalesce(F.size("steps"), F.lit(-1)) <= 0, "no_steps").otherwise("unreadable_instruction")
-    bad = episodes.where(~F.coalesce(usable, F.lit(False))).select(key, reason.alias("reason"))
-    return out, bad
+
+
+def _rewrite_blocks(episodes, pool, seed, epoch, key, limit, block) -> tuple[DataFrame, DataFrame]:
+    # Blocks without steps say nothing; an episode of nothing else has none.
+    filled = F.when(F.size("steps") > 0, F.col(block))
+    first = F.try_element_at(F.col("steps.language_instruction"), F.lit(1))
+    firsts = episodes.groupBy(key).agg(F.min_by(first, filled).alias("instruction"), F.count(filled).alias("n"))
+    drawn = draw_variant(firsts.where("instruction IS NOT NULL"), pool, seed, _draw_keys(key, epoch), limit=limit)
+    texts = drawn.select(F.col(key).alias("__key"), "instruction", "new_instruction")
+    joined = episodes.join(texts, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    reason = F.when(F.col("n") == 0, "no_steps").otherwise("unreadable_instruction")
+    return _fill_steps(joined), firsts.where("instruction IS NULL").select(key, reason.alias("reason"))
 
 
 def rewrite_long(
@@ -224,11 +252,15 @@ def rewrite_long(
     )
 
 
-def nest_steps(steps: DataFrame, key: str, order: str, fields: list[str], block: int = 1024) -> DataFrame:
+def nest_steps(steps: DataFrame, key: str, order: str, fields: list[str], block: int | None = 1024) -> DataFrame:
     """(key, block, steps): at most ``block`` steps to a row, in order.
 
-    ``order`` counts the steps of an episode from 1.
+    ``order`` counts the steps of an episode from 1. Rows of one episode belong together:
+    :func:`rewrite_instructions` must be told of ``block``. With None an episode is one row,
+    as recorded episodes and shards have it, and (key, steps) is the result.
     """
+    if block is None:
+        return steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("steps"))
     at = F.floor((F.col(order) - 1) / block).cast("bigint").alias("block")
     entries = F.array_sort(F.collect_list(F.struct(order, *fields)))
     return steps.groupBy(key, at).agg(entries.alias("steps"))
@@ -254,4 +286,5 @@ __all__ = [
     "rewrite_long",
     "scope_order",
     "shuffle_rows",
+    "unknown_scopes",
 ]

@@ -158,12 +158,12 @@ def rewrite_instructions(spark, sf_dir):
 
 @query(_REWRITE_SQL)
 def rewrite_nested(spark, sf_dir):
-    """The same on nested episodes: from the nested rows on, no exchange."""
-    nested = nest_steps(numbered_steps(spark, sf_dir), "episode_id", "step_idx", ["language_instruction"])
-    kept = nested.withColumn("old_text", F.try_element_at("steps.language_instruction", F.lit(1)))
-    out, _ = rewrite_episodes(kept, merge_pool(derived_variants(spark, sf_dir)), SEED)
-    return out.select("episode_id", "old_text", F.explode("steps").alias("s")).select(
-        "episode_id", F.col("s.step_idx").alias("step_idx"), "old_text", F.col("s.language_instruction").alias("new_text")
+    """The same on nested episodes in blocks of steps, with one draw per episode."""
+    steps = numbered_steps(spark, sf_dir).withColumn("old_text", F.col("language_instruction"))
+    nested = nest_steps(steps, "episode_id", "step_idx", ["language_instruction", "old_text"])
+    out, _ = rewrite_episodes(nested, merge_pool(derived_variants(spark, sf_dir)), SEED, block="block")
+    return out.select("episode_id", F.explode("steps").alias("s")).select(
+        "episode_id", "s.step_idx", "s.old_text", F.col("s.language_instruction").alias("new_text")
     )
 
 

@@ -181,7 +181,7 @@ def generated_pool(spark, sf_dir):
 
 
 def _nested_episodes(spark, sf_dir) -> DataFrame:
-    """Episodes in the fixed schema, at most 1,024 steps to a record."""
+    """Episodes in the fixed schema, one record each."""
     f = lambda c: F.col(c).cast("float")
     raw = F.encode(F.concat(F.col("episode_id").cast("string"), F.lit("/"), F.col("step_idx").cast("string")), "UTF-8")
     step = F.struct(
@@ -197,8 +197,8 @@ def _nested_episodes(spark, sf_dir) -> DataFrame:
             F.array(f("tax"), f("discount")).alias("state"),
         ).alias("observation"),
     )
-    nested = nest_steps(numbered_steps(spark, sf_dir).withColumn("step", step), "episode_id", "step_idx", ["step"])
-    name = F.concat_ws("-", F.lit("ep"), F.col("episode_id").cast("string"), F.col("block").cast("string"))
+    nested = nest_steps(numbered_steps(spark, sf_dir).withColumn("step", step), "episode_id", "step_idx", ["step"], block=None)
+    name = F.concat_ws("-", F.lit("ep"), F.col("episode_id").cast("string"))
     return nested.select("episode_id", name.alias("file_path"), F.col("steps.step").alias("steps"))
 
 
@@ -206,7 +206,7 @@ def _flat(episodes: DataFrame) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
     return explode_steps(episodes, "file_path").select(
         F.split("file_path", "-")[1].cast("bigint").alias("episode_id"),
-        (F.split("file_path", "-")[2].cast("bigint") * 1024 + F.col("step_idx")).alias("step_idx"),
+        F.col("step_idx").cast("bigint").alias("step_idx"),
         "language_instruction",
         "is_first",
         F.col("action")[0].cast("double").alias("quantity"),
