@@ -1,16 +1,18 @@
-"""The ten dealt operators as registered queries over whole tables, with SQL twins."""
+"""The thirteen dealt operators as registered queries over whole tables, with SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlake.llm import langid
+from varlake.llm import langid, merkle
 from varlake.llm.jaccard import jaccard_join
 from varlake.llm.line_dedup import dedup_lines
 from varlake.llm.lm_lattice import lattice_scores
 from varlake.llm.packing import pack
 from varlake.llm.quality import COUNTS, quality_rules
+from varlake.llm.simhash_trie import simhash_join
+from varlake.llm.spelling import spelling_variants
 from varlake.llm.suffix_pieces import digests
 from varlake.llm.topk_blocks import top_k
 from varlake.llm.url_cascade import build_cascade, host_of, judge, junk_hosts
@@ -223,3 +225,108 @@ def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, target).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query()
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join(_table(spark, sf_dir, "documents"), shingle=4, differ=4)
+
+
+# CRC-32 in SQL: the table of its 256 steps, and the fold over a text's bytes in hexadecimal.
+_CRC_STEPS = """list_transform(range(256), lambda b: list_reduce([b] || range(8),
+  lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _sql_crc32(text: str, steps: str) -> str:
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: xor(c >> 8, {steps}[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+def _sql_framed(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_sql_framed(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_SQL_RUNS = "unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}'))"
+_SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_ABOVE = "array_to_string(list_transform(range(0, (length(s) + 1023) // 1024), lambda i: sha256(substr(s, 1 + 1024 * i, 1024))), '')"
+_SQL_STEP = """substr(s, 1 + 1024 * (p // 16 ** (k + 1))::BIGINT, 64 * ((p // 16 ** k) % 16)::BIGINT) || 'X'
+  || substr(substr(s, 1 + 1024 * (p // 16 ** (k + 1))::BIGINT, 1024), 65 + 64 * ((p // 16 ** k) % 16)::BIGINT)""".replace("16 ** (k + 1)", "pow(16, k + 1)::BIGINT").replace("16 ** k", "pow(16, k)::BIGINT")
+
+
+@query(
+    f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_STEPS} AS steps),
+d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS g, {_sql_leaf("text")} AS leaf,
+    CASE WHEN {_sql_crc32("doc_id::VARCHAR", "steps")} % 5 = 0 THEN {_sql_leaf(_SQL_LOWER.format("text"))} END AS changed
+  FROM documents, crc
+), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+lev AS (
+  SELECT g, 0 AS k, string_agg(leaf, '' ORDER BY p) AS s FROM n GROUP BY g
+  UNION ALL SELECT g, k + 1, {_SQL_ABOVE} FROM lev WHERE length(s) > 64
+), sub AS (SELECT g, s AS subroot, row_number() OVER (ORDER BY g) - 1 AS q FROM lev WHERE length(s) = 64),
+up AS (
+  SELECT 0 AS k, string_agg(subroot, '' ORDER BY q) AS s FROM sub
+  UNION ALL SELECT k + 1, {_SQL_ABOVE} FROM up WHERE length(s) > 64
+), step AS (
+  SELECT g, p, k, {_SQL_STEP} AS x FROM n JOIN lev USING (g) WHERE length(s) > 64
+  UNION ALL
+  SELECT g, m.p, 1000 + k, x FROM n m JOIN (SELECT g, k, {_SQL_STEP} AS x FROM (SELECT g, q AS p FROM sub), up WHERE length(s) > 64) USING (g)
+), proof AS (SELECT g, p, list(x ORDER BY k) AS x FROM step GROUP BY g, p),
+folded AS (
+  SELECT doc_id, leaf, subroot, coalesce(x, []::VARCHAR[]) AS steps, coalesce(changed, leaf) AS shown
+  FROM n JOIN sub USING (g) LEFT JOIN proof USING (g, p)
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), 'X', '')) AS proof_sha256,
+  list_reduce([shown] || steps, lambda a, b: sha256(replace(b, 'X', a))) AS folded_root, folded_root = root AS verified
+FROM folded, (SELECT s AS root FROM up WHERE length(s) = 64)
+"""
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    row = ("doc_id", "source", "lang", "n_chars")
+    tampered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = merkle.leaf_digest(*[F.col(c) for c in row], F.col("text"))
+    changed = F.when(_crc32("doc_id") % 5 == 0, merkle.leaf_digest(*[F.col(c) for c in row], tampered))
+    rows = merkle.manifest(docs, leaf, "doc_id", "source", {"changed": changed})
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("steps")))
+    proof = F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query(
+    f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_STEPS} AS steps),
+run AS (
+  SELECT doc_id, {_SQL_LOWER.format(_SQL_RUNS)} AS r FROM documents
+), once AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || r AS named, r, count(*) AS c FROM run GROUP BY ALL),
+hashed AS (SELECT r, c, {_sql_crc32("named", "steps")} AS h FROM once, crc),
+shown AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, c FROM hashed
+), w AS (SELECT word, sum(c)::BIGINT AS n FROM shown WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+del AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT del.word, w.word FROM del JOIN w ON del.d = w.word
+  UNION SELECT w.word, del.word FROM del JOIN w ON del.d = w.word
+), ranked AS (
+  SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS place
+  FROM near JOIN w ON w.word = other
+), v AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM w LEFT JOIN ranked ON ranked.word = w.word AND place = 1
+), chain AS (
+  SELECT word, word AS root, 0 AS steps FROM v
+  UNION ALL SELECT chain.word, v.form, steps + 1 FROM chain JOIN v ON v.word = root WHERE v.form IS NOT NULL
+)
+SELECT word, form, arg_max(root, steps) AS root, n, n_near, form_n FROM v JOIN chain USING (word) GROUP BY ALL
+"""
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(_table(spark, sf_dir, "documents"), chars=6, least=5, factor=5, every=199)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
