@@ -18,22 +18,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from varlake.fixed_values import CHUNK_SIZE
 from varlake.functions.jsontext import revision
 from varlake.operators.lookups import fill_template
-from varlake.session import BROADCAST_BYTES, broadcast_checked, cut_lineage, ship_package
+from varlake.session import broadcast_checked, cut_lineage, ship_package
 
 # Rows handed back to the JVM at a time.
 OUTPUT_ROWS = 10_000
 
 
-def remaining(inputs: DataFrame, done: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+def remaining(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs whose key is not done yet; repeated inputs stay repeated.
 
-    ``distinct`` runs map-side first, so a key done a billion times travels once per task.
+    ``distinct`` runs map-side first, so a key done a billion times travels once per task; the
+    side is read once, and adaptive execution broadcasts it where it turns out small.
     """
-    return inputs.join(broadcast_checked(done.select(key).distinct(), limit), key, "left_anti")
+    return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
-def already_done(inputs: DataFrame, done: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    return inputs.join(broadcast_checked(done.select(key).distinct(), limit), key, "left_semi")
+def already_done(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    return inputs.join(done.select(key).distinct(), key, "left_semi")
 
 
 def append_outputs(done: DataFrame, new: DataFrame) -> DataFrame:
