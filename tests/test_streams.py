@@ -51,7 +51,7 @@ def test_live_success_equals_batch(spark, tmp_path):
     )
     for k in range(3):
         drop(all_rows.where(F.col("task_name") != f"t{k}"), src)
-        T.write_changes(T.stream_success(T.stream_jsonl(spark, src, schema)), sink, ckpt).awaitTermination()
+        T.write_changes(T.stream_success(T.stream_jsonl(spark, src, schema)), sink, ckpt, ["run_id", "task_name"]).awaitTermination()
     got = T.latest(spark, sink, ["run_id", "task_name"])
     want = T.stream_success(spark.read.schema(schema).json(src))
     assert rows(got.select(want.columns)) == rows(want)
@@ -86,7 +86,7 @@ def test_latest_after_a_fresh_checkpoint(spark, tmp_path):
     schema = "run_id STRING, task_name STRING, success BOOLEAN"
     for ckpt in ("a", "a", "b"):
         drop(spark.createDataFrame([("r", "t", True)], schema), src)
-        T.write_changes(T.stream_success(T.stream_jsonl(spark, src, schema)), sink, str(tmp_path / ckpt)).awaitTermination()
+        T.write_changes(T.stream_success(T.stream_jsonl(spark, src, schema)), sink, str(tmp_path / ckpt), ["run_id", "task_name"]).awaitTermination()
     assert rows(T.latest(spark, sink, ["run_id", "task_name"])) == [("r", "t", 3, 3)]
 
 
@@ -96,3 +96,37 @@ def test_dedupe_keeps_late_rows(spark, tmp_path):
         drop(spark.createDataFrame(rows_in, "id LONG, ts STRING"), src)
         T.write_rows(T.stream_dedupe(T.stream_jsonl(spark, src, "id LONG, ts STRING"), "id").select("id"), out, ckpt).awaitTermination()
     assert rows(spark.read.parquet(out)) == [(1,), (2,), (3,)]
+
+
+def test_compaction_bounds_what_latest_reads(spark, tmp_path, monkeypatch):
+    """Many batches under two checkpoints, the clock standing still: one snapshot, few deltas."""
+    import time
+
+    from varlake.sources.shared_files import VersionLog
+
+    monkeypatch.setattr(time, "time_ns", lambda: 0)
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "run_id STRING, task_name STRING, success BOOLEAN"
+    for k in range(7):
+        drop(spark.createDataFrame([("r", f"t{k % 3}", k % 2 == 0)], schema), src)
+        live = T.stream_success(T.stream_jsonl(spark, src, schema))
+        T.write_changes(live, sink, str(tmp_path / f"ckpt{k // 4}"), ["run_id", "task_name"], compact_every=3).awaitTermination()
+        last = VersionLog(spark, f"{sink}/log")
+        state = last.read(last.numbers()[-1])
+        assert len(state["deltas"]) < 3 and (state["snapshot"] is None) == (k < 2)
+        assert len(T.latest(spark, sink, ["run_id", "task_name"]).inputFiles()) < 20
+    want = T.stream_success(spark.read.schema(schema).json(src))
+    assert rows(T.latest(spark, sink, ["run_id", "task_name"]).select(want.columns)) == rows(want)
+
+
+def test_enrichment_does_not_read_its_own_sink(spark, tmp_path, monkeypatch):
+    """The state knows what is done; only other checkpoints' outputs are ever joined."""
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    joined = []
+    monkeypatch.setattr(T, "remaining", lambda fresh, done, key: joined.append(len(done.inputFiles())) or fresh.join(done.select(key).distinct(), key, "left_anti"))
+    fn = lambda row: [{"id": row["id"]}]
+    for ids, ckpt in (([1, 2], "a"), ([2, 3], "a"), ([3, 4], "a"), ([4, 5], "b")):
+        drop(spark.createDataFrame([(i,) for i in ids], "id LONG"), src)
+        T.stream_enrich(T.stream_jsonl(spark, src, "id LONG"), fn, "id LONG", sink, str(tmp_path / ckpt)).awaitTermination()
+        assert bool(joined) == (ckpt == "b")
+    assert rows(T.read_sink(spark, sink).select("id")) == [(i,) for i in range(1, 6)]

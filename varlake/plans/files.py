@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from varlake.functions.text import task_to_sentence
 from varlake.operators.enrich import rephrase_until_parsed, reply_variants, revise_texts
 from varlake.operators.keyed import get_one, write_shards
+from varlake.operators.keyed_store import KeyedStore
+from varlake.operators.ledger import enrich_stored, read_outputs
 from varlake.operators.lookups import render_prompts
 from varlake.functions.hashing import SHUFFLE_KEY_BITS, shuffle_key
 from varlake.operators.segments import with_hash_ordinal, with_ordinal
@@ -20,7 +22,7 @@ from varlake.operators.variants import merge_pool, nest_steps
 from varlake.plans.episodes import STEPS_SQL, derived_variants, numbered_steps, VARIANTS_SQL
 from varlake.plans.registry import query, table
 from varlake.plans.rollouts import EPISODES_SQL, rollout_events
-from varlake.plans.tables import _STUB_SCHEMA, _STUB_SQL, _stub
+from varlake.plans.tables import _KEYED_SQL, _STUB_SCHEMA, _STUB_SQL, _base, _changes, _stub
 from varlake.session import scratch_path
 from varlake.sources import files as S
 from varlake.sources.episodes import explode_steps, read_episode_shards, read_episodes, write_episode_shards
@@ -273,6 +275,63 @@ def keyed_get_pruned(spark, sf_dir):
     return get_one(shard_table(spark, sf_dir), 77, 16).select("key", "lang")
 
 
+def _stored_customers(spark, sf_dir) -> KeyedStore:
+    return KeyedStore.create(_base(spark, sf_dir), scratch_path(spark, "keyed-store"), "key", 32)
+
+
+@query(
+    _KEYED_SQL + """, u AS (SELECT *, 0 AS new FROM base UNION ALL SELECT *, 1 FROM changes),
+v AS (SELECT key, value, seq FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY new DESC, seq DESC) = 1)
+SELECT * FROM v WHERE key NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+)
+def keyed_merge_stored(spark, sf_dir):
+    """Two changes to a stored table: an upsert of all orders, and a delete."""
+    store = _stored_customers(spark, sf_dir)
+    store.upsert(_changes(spark, sf_dir))
+    store.delete(table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("key")))
+    return store.read()
+
+
+@query(_KEYED_SQL + "SELECT key, value, seq FROM base")
+def keyed_old_version(spark, sf_dir):
+    """What the first version held, read after a change."""
+    store = _stored_customers(spark, sf_dir)
+    store.upsert(_changes(spark, sf_dir))
+    return store.read(version=1)
+
+
+@query(
+    _KEYED_SQL + "SELECT s_suppkey AS asked, s_suppkey * 3 AS key, value, seq FROM supplier LEFT JOIN base ON base.key = s_suppkey * 3"
+)
+def keyed_get_many(spark, sf_dir):
+    """Many keys at once, from the files that can hold them."""
+    store = _stored_customers(spark, sf_dir)
+    return store.get(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asked"), (F.col("s_suppkey") * 3).alias("key")))
+
+
+# --- calls that store as they go ------------------------------------------------------------------
+
+
+def _refuses_french(row: dict) -> list[dict]:
+    if row["lang"] == "fr":
+        raise ValueError("stopped halfway")
+    return _stub(row)
+
+
+@query(_STUB_SQL)
+def enrich_resume(spark, sf_dir):
+    """A run that fails on the way; the second one calls only what the first has not stored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    store = scratch_path(spark, "ledger")
+    try:
+        enrich_stored(docs, _refuses_french, _STUB_SCHEMA, store, buckets=16, chunk=8)
+    except Exception as e:  # noqa: BLE001
+        if "stopped halfway" not in str(e):
+            raise
+    enrich_stored(docs, _stub, _STUB_SCHEMA, store)
+    return read_outputs(spark, store, _STUB_SCHEMA)
+
+
 # --- streams -----------------------------------------------------------------------------------------
 
 
@@ -285,7 +344,7 @@ def stream_success(spark, sf_dir):
     rows = rollout_events(spark, sf_dir).select("run_id", "task_name", "success")
     rows.write.json(f"{base}/in")
     live = T.stream_success(T.stream_jsonl(spark, f"{base}/in", "run_id STRING, task_name STRING, success BOOLEAN", maxFilesPerTrigger=4))
-    T.write_changes(live, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    T.write_changes(live, f"{base}/out", f"{base}/ckpt", ["run_id", "task_name"]).awaitTermination()
     return T.latest(spark, f"{base}/out", ["run_id", "task_name"])
 
 
@@ -314,7 +373,7 @@ def stream_success_restart(spark, sf_dir):
     for k, wave in enumerate((rows.where(first), rows.where(~first))):
         wave.write.mode("append").json(f"{base}/in")
         live = T.stream_success(T.stream_jsonl(spark, f"{base}/in", "run_id STRING, task_name STRING, success BOOLEAN"))
-        T.write_changes(live, f"{base}/out", f"{base}/ckpt-{k}").awaitTermination()
+        T.write_changes(live, f"{base}/out", f"{base}/ckpt-{k}", ["run_id", "task_name"]).awaitTermination()
     return T.latest(spark, f"{base}/out", ["run_id", "task_name"])
 
 

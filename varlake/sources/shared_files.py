@@ -18,6 +18,13 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, by the session's Hadoop file systems; none where it doesn't exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -43,9 +50,7 @@ class VersionLog:
 
     def numbers(self) -> list[int]:
         """Committed numbers in order."""
-        if not self._fs.exists(self._path("")):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
+        names = folder_names(self.spark, self.folder)
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def read(self, number: int) -> dict:
