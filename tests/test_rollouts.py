@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
@@ -167,6 +169,25 @@ def test_masked_metrics(spark):
     assert rows(M.masked_l1(df, 4, ["k"], "pv", "lv")) == [("a", 0.75), ("b", None)]
 
 
+@pytest.mark.parametrize("accuracy", [10, 50, 10_000])
+def test_quantiles_are_exact_however_coarse_the_sketch(spark, accuracy):
+    """Ties, a value that half of the rows share, skew, nulls, and groups of one and of none."""
+    rng = random.Random(accuracy)
+    data = [("a", [rng.gauss(0, 1), float(rng.randrange(4)), 7.0 if i % 2 else float(i), 10.0 ** rng.randrange(-300, 300)]) for i in range(3001)]
+    data += [("b", [1.0, None]), (None, [float("-inf"), 2.0]), ("c", [None]), ("d", None)]
+    got = M.action_stats(spark.createDataFrame(data, "dataset STRING, action ARRAY<DOUBLE>").repartition(4), accuracy=accuracy)
+    seen = {(r["dataset"], r["dim"]): (r["n"], r["q01"], r["q99"]) for r in got.collect()}
+    want = {}
+    for name, vector in data:
+        for dim, x in enumerate(vector or []):
+            want.setdefault((name, dim), []).extend([] if x is None else [x])
+    for key, xs in want.items():
+        xs.sort()
+        n = len(xs)
+        want[key] = (n, xs[-(-n // 100) - 1], xs[-(-99 * n // 100) - 1]) if n else (0, None, None)
+    assert seen == want
+
+
 def test_action_stats(spark):
     df = spark.createDataFrame([("d", [float(i), -1.0]) for i in range(101)], "dataset STRING, action ARRAY<FLOAT>")
     got = {r["dim"]: r for r in M.action_stats(df, "dataset").collect()}

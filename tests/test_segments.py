@@ -126,8 +126,43 @@ def test_ordinals_on_lopsided_keys(spark):
 
 def test_ordinals_of_nothing_and_of_text(spark):
     assert with_ordinal(spark.createDataFrame([], "k LONG"), "k").count() == 0
-    with pytest.raises(TypeError):
-        with_ordinal(spark.createDataFrame([("a",)], "k STRING"), "k")
+    texts = spark.createDataFrame([("b",), ("a",), (None,), ("ä",)], "k STRING")
+    assert rows(with_ordinal(texts, "k", segments=3)) == sorted([(None, 1), ("a", 2), ("b", 3), ("ä", 4)], key=repr)
+
+
+def _sizes(df) -> list[int]:
+    return [r["count"] for r in df.groupBy("__seg").count().collect()]
+
+
+def test_one_key_is_cut_like_many(spark, monkeypatch):
+    """20,000 rows of one key: no partition of the order holds more than twice the span."""
+    from varlake.operators import segments
+
+    df = spark.range(20_000).select(F.lit(7).alias("k"), (F.col("id") * 7919 % 20_000).alias("t")).repartition(6)
+    laid = segments._in_order(df, ["k", "t"], 20_000 // 500).withColumn("__seg", F.spark_partition_id())
+    assert max(_sizes(laid)) <= 2 * 500
+    got = with_ordinal(df, "k", ties=("t",), span=500)
+    assert got.where("ordinal != t + 1").count() == 0 and got.count() == 20_000
+    same = with_ordinal(df.select("k"), "k", span=500)
+    assert same.agg(F.min("ordinal"), F.max("ordinal"), F.count_distinct("ordinal")).first() == (1, 20_000, 20_000)
+    laid = segments._in_order(df.select("k"), ["k"], 40).withColumn("__seg", F.spark_partition_id())
+    assert max(_sizes(laid)) <= 2 * 500
+
+
+def test_a_far_value_and_a_repeated_one_leave_no_large_segment(spark, monkeypatch):
+    """Equal-width cuts would put all of the group into one segment."""
+    from varlake.operators import segments
+
+    order = F.when(F.col("id") == 0, F.lit(1e18)).when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise(F.col("id").cast("double"))
+    df = spark.range(12_000).select(F.lit("a").alias("g"), order.alias("o"), "id").unionAll(spark.createDataFrame([("b", 1.0, -1)], "g STRING, o DOUBLE, id LONG"))
+    seen = []
+    keep = segments._carriers
+    monkeypatch.setattr(segments, "_carriers", lambda r, *a: seen.append(max(_sizes(r))) or keep(r, *a))
+    got = running(df, ["g"], ["o", "id"], position="p", sums={"s": F.col("id")}, span=400, hot_rows=1000)
+    w = Window.partitionBy("g").orderBy("o", "id")
+    want = df.select("g", "o", "id", F.row_number().over(w).cast("long").alias("p"), F.sum("id").over(w).alias("s"))
+    assert rows(got.select(want.columns)) == rows(want)
+    assert seen and seen[0] <= 2 * 400
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

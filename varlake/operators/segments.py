@@ -6,19 +6,19 @@ ordinary size, so those are windowed as they are. A *hot* group, one of more tha
 its own, and what came before a segment enters it as one extra *carrier* row:
 
 1. rows per group, combined map-side; only the hot groups are kept, at most
-   rows / HOT_ROWS of them, with the range of their order values;
-2. totals per segment of the hot groups, and running sums over those few totals;
-3. the totals join the rows as carriers, and one window per (group, segment) finishes.
+   rows / HOT_ROWS of them;
+2. their rows are range-partitioned by group and whole order, so that neither far values nor
+   repeated ones make a segment larger than others, and stored once: a partition is a segment;
+3. totals per segment, and running sums over those few totals;
+4. the totals join the rows as carriers, and one window per (group, segment) finishes.
 
-The rows are shuffled once.
+Rows of other groups are shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from varlake.session import broadcast_checked, cut_lineage
 
@@ -33,36 +33,21 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _sort_number(df: DataFrame, key: str) -> Column:
-    """A double in the order of ``key``; rounding may merge neighbours, never swap them."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        # Field by field: a cast through the session's time zone may swap times in a clock change.
-        at = _quoted(key)
-        days = F.unix_date(at.cast("date")).cast("double")
-        return days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(_quoted(key)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(_quoted(key)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return _quoted(key).cast("double")
-    raise TypeError(f"{key}: this needs a numeric, date or timestamp column")
+def _hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
+    """(group.., n) of the groups with more than ``hot_rows`` rows, materialised."""
+    sizes = df.groupBy(*[_quoted(g) for g in group]).agg(F.count("*").alias("__n"))
+    return cut_lineage(sizes.where(F.col("__n") > hot_rows))
 
 
-def _hot_groups(df: DataFrame, group: list[str], order: str, number: bool, hot_rows: int) -> DataFrame:
-    """(group.., n, lo, hi) of the groups with more than ``hot_rows`` rows, materialised."""
-    at = _sort_number(df, order) if number else F.lit(0.0)
-    sizes = df.select(*[_quoted(g) for g in group], at.alias("__at")).groupBy(*[_quoted(g) for g in group])
-    stats = sizes.agg(F.count("*").alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-    return cut_lineage(stats.where(F.col("__n") > hot_rows))
+def _in_order(df: DataFrame, order: list[str], pieces: int) -> DataFrame:
+    """Rows in ``pieces`` range partitions of their whole order; equal rows may be parted.
 
-
-def _even_segment(at: Column, span: int) -> Column:
-    """Equal-width segments of a hot group's own range: about n / span of them."""
-    pieces = F.ceil(F.col("__n") / F.lit(span))
-    width = (F.col("__hi") - F.col("__lo")) / pieces
-    return F.floor(F.try_divide(at - F.col("__lo"), width))
+    Spark cuts at sampled rows, so a piece holds about as many rows as any other, whatever the
+    values are.
+    """
+    keys = [*[_quoted(o) for o in order], F.col("__row")]
+    laid = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(max(1, pieces), *keys)
+    return laid.sortWithinPartitions(*keys).drop("__row")
 
 
 def running(
@@ -87,9 +72,9 @@ def running(
     ``attach``      a table with one row per group: its other columns, on every row
 
     Groups of more than ``hot_rows`` rows are cut into segments; None cuts all of them.
-    ``segment`` must not decrease along ``order``; by default a hot group's range of the
-    first order column is cut evenly. Ties in ``order`` are broken arbitrarily, so make
-    it unique for a reproducible result. All columns of ``df`` travel with the rows, so
+    ``segment`` must not decrease along ``order``; by default a hot group is cut into ranges of
+    its whole order of about ``span`` rows each. Ties in ``order`` are broken arbitrarily, so
+    make it unique for a reproducible result. All columns of ``df`` travel with the rows, so
     leave images out and join them back by key. ``attach`` rides in on carriers too, so the
     rows are not shuffled for it and a hot group is no hot join key.
     """
@@ -106,16 +91,21 @@ def running(
             raise ValueError("cutting every group needs a segment")
         hot, rows = None, df.withColumn(_SEG, segment)
     else:
-        hot = _hot_groups(df, group, order[0], segment is None, hot_rows)
+        hot = _hot_groups(df, group, hot_rows)
         if hot.isEmpty():
             hot, rows = None, df.withColumn(_SEG, F.lit(0).cast("bigint"))
             if attach is None:
                 return _whole_groups(df, keys, order, run, whole)
             segment = None
         else:
-            cut = segment if segment is not None else _even_segment(_sort_number(df, order[0]), span)
             flagged = _join_hot(df, hot, group)
-            rows = flagged.withColumn(_SEG, F.when(F.col("__n").isNotNull(), F.coalesce(cut, F.lit(0))).otherwise(0).cast("bigint"))
+            crowded = flagged.where(F.col("__n").isNotNull())
+            if segment is None:
+                pieces = -(-hot.agg(F.sum("__n")).first()[0] // span)
+                cut = cut_lineage(_in_order(crowded, [*group, *order], pieces).withColumn(_SEG, F.spark_partition_id().cast("bigint")))
+            else:
+                cut = crowded.withColumn(_SEG, F.coalesce(segment, F.lit(0)).cast("bigint"))
+            rows = flagged.where(F.col("__n").isNull()).withColumn(_SEG, F.lit(0).cast("bigint")).unionByName(cut)
 
     # Values each row brings in; carriers bring the same columns with what came before.
     body = rows.select(
@@ -127,15 +117,14 @@ def running(
     )
     out = body
     if segment is not None or hot is not None:
-        cut_rows = rows if hot is None else rows.where(F.col("__n").isNotNull())
-        carriers = _carriers(cut_rows, group, run, whole)
+        carriers = _carriers(rows if hot is None else cut, group, run, whole)
         if attached:
             carriers = carriers.join(_prefixed(attach, group, attached), group, "left")
         out = out.unionByName(carriers, allowMissingColumns=True)
     if attached and hot_rows is not None:
         cold = _prefixed(attach, group, attached)
         if hot is not None:
-            cold = _join_hot(cold, hot, group).where(F.col("__n").isNull()).drop("__n", "__lo", "__hi")
+            cold = _join_hot(cold, hot, group).where(F.col("__n").isNull()).drop("__n")
         cold = cold.withColumns({_SEG: F.lit(0).cast("bigint"), _CARRY: F.lit(True)})
         out = out.unionByName(cold, allowMissingColumns=True)
 
@@ -170,8 +159,8 @@ def _whole_groups(df: DataFrame, keys: list[Column], order: list[str], run: dict
 
 
 def _join_hot(df: DataFrame, hot: DataFrame, group: list[str]) -> DataFrame:
-    """Rows with (__n, __lo, __hi) of their group where it is hot; nulls are a group too."""
-    other = hot.select(*[_quoted(g).alias(f"__h_{g}") for g in group], "__n", "__lo", "__hi")
+    """Rows with the size of their group where it is hot; nulls are a group too."""
+    other = hot.select(*[_quoted(g).alias(f"__h_{g}") for g in group], "__n")
     same = F.lit(True)
     for g in group:
         same = same & _quoted(g).eqNullSafe(_quoted(f"__h_{g}"))
@@ -237,11 +226,6 @@ def moving_mean(
     )
 
 
-def _segments(df: DataFrame) -> int:
-    """As many as shuffle partitions, within what a quantile sketch should be asked for."""
-    return min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def with_ordinal(
     df: DataFrame,
     key: str,
@@ -249,42 +233,30 @@ def with_ordinal(
     ties: tuple[str, ...] = (),
     segments: int | None = None,
     total: str | None = None,
+    span: int = SPAN,
 ) -> DataFrame:
-    """One-based global position in ``key`` order (``ties`` break equal keys).
+    """One-based global position in ``key`` order (``ties`` break equal keys), nulls first.
 
-    The key range is cut at approximate quantiles, so segments are of about equal
-    size however the keys are spread; their counts give each its starting number.
-    Rounding the key to a double only shifts a cut, never the order.
+    Rows are range-partitioned by the whole order, one partition per ``span`` rows, and stored
+    once; a row's position is its place in its partition and the rows of the partitions before.
+    A key that many rows share is cut like any other. ``total`` adds the number of all rows.
     """
-    segments = segments or _segments(df)
-    number = df.withColumn("__key", _sort_number(df, key))
-    probabilities = [i / segments for i in range(1, segments)]
-    cuts = sorted(set(number.approxQuantile("__key", probabilities, 1 / (4 * segments))))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        number = Bucketizer(
-            splits=splits, inputCol="__key", outputCol="__cut", handleInvalid="keep"
-        ).transform(number)
-    else:
-        number = number.withColumn("__cut", F.lit(0.0))
-    out = running(
-        number,
-        [],
-        [key, *ties],
-        segment=F.col("__cut").cast("bigint"),
-        hot_rows=None,
-        position=name,
-        group_sums={total: F.lit(1)} if total else None,
-    )
-    return out.drop("__key", "__cut")
+    pieces = segments or -(-df.count() // span)
+    laid = _in_order(df, [key, *ties], pieces).withColumn("__at", F.monotonically_increasing_id())
+    laid = cut_lineage(laid).withColumn("__part", F.shiftright("__at", 33))
+    cells = laid.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    every = Window.partitionBy()
+    before = F.sum("__n").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.coalesce(before, F.lit(0)) - F.col("__first") + 1
+    cells = cells.select("__part", shift.alias("__shift"), F.sum("__n").over(every).alias("__total"))
+    out = laid.join(broadcast_checked(cells), "__part")
+    added = {name: F.col("__at") + F.col("__shift")} | ({total: F.col("__total")} if total else {})
+    return out.withColumns(added).drop("__part", "__at", "__shift", "__total" if total != "__total" else "__part")
 
 
 def with_hash_ordinal(df: DataFrame, hashed: Column, bits: int, name: str, ties: tuple[str, ...]) -> DataFrame:
-    """Global position in the order of a uniform hash: the cuts are known in advance."""
-    segments = _segments(df)
-    rows = df.withColumn("__hash", hashed)
-    cut = F.floor(F.col("__hash") / F.lit(float(2**bits) / segments)).cast("bigint")
-    return running(rows, [], ["__hash", *ties], segment=cut, hot_rows=None, position=name).drop("__hash")
+    """Global position in the order of a uniform hash of ``bits`` bits; ``ties`` break equal ones."""
+    return with_ordinal(df.withColumn("__hash", hashed), "__hash", name, ties).drop("__hash")
 
 
 def chunk_ids(df: DataFrame, key: str, size: int = 80, name: str = "chunk", **kw) -> DataFrame:

@@ -274,6 +274,20 @@ def action_stats(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+@query(
+    """WITH v AS (SELECT l_linestatus, generate_subscripts(a, 1)::INT - 1 AS dim, unnest(a) AS x
+  FROM (SELECT l_linestatus, [l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS a FROM lineitem))
+SELECT l_linestatus, dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max,
+  quantile_disc(x, 0.01) AS q01, quantile_disc(x, 0.99) AS q99 FROM v GROUP BY l_linestatus, dim"""
+)
+def action_stats_large(spark, sf_dir):
+    """Groups far beyond what a sketch holds exactly; few and many different values."""
+    d = lambda c: F.col(c).cast("double")
+    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", F.array(d("l_quantity"), d("l_extendedprice"), d("l_discount"), d("l_tax")).alias("a"))
+    out = M.action_stats(lines, "l_linestatus", "a")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 @query(
     """WITH a AS (SELECT vec_id, embedding[1:7] AS a FROM embeddings),
 v AS (SELECT vec_id, generate_subscripts(a, 1)::INT - 1 AS pos, unnest(a)::DOUBLE AS x FROM a)
