@@ -2,15 +2,16 @@
 
 Texts are encoded once; only (document, piece, length, checksum) rows move. There are at most
 ``capacity`` different lengths, so the packing itself is solved on their counts, whatever the
-size of the corpus: take the largest length left, enumerate the fillings of the rest that no
-other filling dominates, branch on the best of them, and prune by the waste that a better
-packing could still afford. The first descent is the incumbent. Pieces then find their place by
+size of the corpus: best-fit decreasing is the incumbent, and where it misses the lower bound,
+the fillings around the largest length left that no other filling dominates are branched on and
+pruned by the waste that a better packing could still afford. Pieces then find their place by
 their rank among pieces of the same length, numbered without gathering a length in one task.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -111,105 +112,168 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def _fillings(sizes: list[int], left: dict[int, int], room: int, tries: int, keep: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The best undominated fillings of ``room`` as (waste, sizes), larger sizes first.
+Pattern = tuple[int, ...]
 
-    A filling into which one more size fits is dominated by the larger one and never listed.
+
+def fewest_bins(counts: np.ndarray, capacity: int) -> int:
+    """Lower bound on the bins for ``counts[n]`` pieces of each length n (Martello and Toth's L2).
+
+    For every a: lengths above capacity - a stand alone, those above half of it cannot share a
+    bin with each other, and what lengths from a to half don't find room for needs more bins.
+    """
+    half = capacity // 2
+    number = np.concatenate([[0], np.cumsum(counts)])  # number[n]: pieces shorter than n
+    volume = np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
+    a = np.arange(half + 1)
+    alone = number[capacity + 1] - number[capacity - a + 1]
+    middle = number[capacity - a + 1] - number[half + 1]
+    room = middle * capacity - (volume[capacity - a + 1] - volume[half + 1])
+    rest = volume[half + 1] - volume[a] - room
+    return int((alone + middle + np.maximum(0, -(-rest // capacity))).max())
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Best-fit decreasing on a histogram: [(lengths of a bin, number of such bins)].
+
+    A piece goes where it leaves the least room; its equals follow into the same bin while they
+    fit, so all equal bins are filled in one step.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
+    rooms: list[int] = []  # rooms of open bins, ascending
+    bins: dict[int, list[tuple[Pattern, int]]] = {}
+
+    def put(room: int, pattern: Pattern, times: int) -> None:
+        if room not in bins:
+            insort(rooms, room)
+            bins[room] = []
+        bins[room].append((pattern, times))
+
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        while left:
+            at = bisect_left(rooms, n)
+            room = rooms[at] if at < len(rooms) else capacity
+            each = room // n
+            pattern, times = bins[room].pop() if at < len(rooms) else ((), max(1, left // each))
+            if at < len(rooms) and not bins[room]:
+                del bins[rooms.pop(at)]
+            each = min(each, left)
+            use = min(times, left // each)
+            if use < times:
+                put(room, pattern, times - use)
+            put(room - each * n, pattern + (n,) * each, use)
+            left -= use * each
+    return [x for b in bins.values() for x in b]
+
+
+def _dominates(a: Pattern, b: Pattern) -> bool:
+    """Can the lengths of b be put into those of a, each a length as a bin? Then a serves better."""
+    if sum(b) > sum(a):
+        return False
+
+    def place(i: int, rooms: list[int]) -> bool:
+        if i == len(b):
+            return True
+        for j, room in enumerate(rooms):
+            if room >= b[i] and room not in rooms[:j] and place(i + 1, [*rooms[:j], room - b[i], *rooms[j + 1 :]]):
+                return True
+        return False
+
+    return place(0, list(a))
+
+
+def _fillings(counts: np.ndarray, room: int, slack: int, tries: int, keep: int) -> list[Pattern]:
+    """Fillings of ``room`` that waste at most ``slack`` and that no other one found dominates."""
+    sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    found: set[Pattern] = set()
     budget = tries
-    smallest = sizes[-1] if sizes else room + 1
 
-    def walk(i: int, rest: int, chosen: tuple[int, ...]) -> bool:
+    def walk(at: int, rest: int, chosen: Pattern) -> None:
         nonlocal budget
         budget -= 1
-        if rest < smallest or i == len(sizes):
-            found.append((rest, chosen))
-            return rest == 0 and len(found) >= keep or budget <= 0
+        least = sizes[-1] if sizes else room + 1
+        if rest < least or at == len(sizes):
+            if rest <= slack:
+                found.add(chosen)
+            return
         fits = False
-        lo, hi = i, len(sizes)
-        while lo < hi:  # first size that fits
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if sizes[mid] <= rest else (mid + 1, hi)
-        for j in range(lo, len(sizes)):
-            size = sizes[j]
-            if left[size] - chosen.count(size) > 0:
+        for k in range(at, len(sizes)):
+            n = sizes[k]
+            if n <= rest and counts[n] > chosen.count(n):
                 fits = True
-                if walk(j, rest - size, (*chosen, size)):
-                    return True
-        if not fits:
-            found.append((rest, chosen))
-        return budget <= 0
+                walk(k, rest - n, (*chosen, n))
+                if budget <= 0:
+                    return
+        if not fits and rest <= slack:
+            found.add(chosen)
 
     walk(0, room, ())
-    found = sorted(set(found), key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
-    return found[:keep]
+    ranked = sorted(found, key=lambda f: (-sum(f), len(f), f))[: 4 * keep]
+    out: list[Pattern] = []
+    for f in ranked:
+        if len(f) > 8 or not any(len(g) <= 8 and _dominates(g, f) for g in out):
+            out.append(f)
+    return out[:keep]
 
 
-def plan_bins(counts: dict[int, int], capacity: int, tries: int = 2000, nodes: int = 20_000, width: int = 3) -> list[tuple[tuple[int, ...], int]]:
+def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 400, tries: int = 2000, width: int = 16) -> list[tuple[Pattern, int]]:
     """[(lengths of a bin, number of such bins)] that hold ``counts`` pieces of each length.
 
-    ``tries`` bounds the fillings looked at around one largest piece, ``nodes`` the branches in
-    all and ``width`` the branches at one place; the best packing found by then is returned.
+    Best-fit decreasing is the first incumbent; where it meets :func:`fewest_bins` it is optimal
+    and returned. Else bin completion: around the largest piece left, the undominated fillings
+    within the waste that a better packing may still have are tried, least waste first, as often
+    as they fit, then half as often, down to once. Every branch is finished by best fit for a
+    better incumbent and left where its bound is no better than the best. The search stops at
+    the bound or after ``nodes`` branches, having looked at ``tries`` fillings and kept ``width``
+    of them at each; the result is never worse than best-fit decreasing.
     """
-    total = sum(n * c for n, c in counts.items())
-    over_half = sum(c for n, c in counts.items() if 2 * n > capacity)
-    least = max(-(-total // capacity), over_half)
-    best: list[tuple[tuple[int, ...], int]] = []
-    best_bins = None
-    left = {n: c for n, c in counts.items() if c > 0}
-    # Depth-first over (pattern, times) decisions, kept as a stack of open alternatives.
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list[tuple[tuple[int, ...], int, int]]] = []
-    bins = waste = used = 0
-
-    def options() -> list[tuple[tuple[int, ...], int, int]]:
-        top = max(left)
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        left[n] = c
+    total = int((left * np.arange(capacity + 1)).sum())
+    best = best_fit(left, capacity)
+    size = lambda plan: sum(t for _, t in plan)
+    least, fewest = fewest_bins(left, capacity), size(best)
+    path: list[tuple[Pattern, int]] = []
+
+    def options() -> list[tuple[Pattern, int]]:
+        top = int(np.flatnonzero(left)[-1])
+        lost = sum(t * (capacity - sum(p)) for p, t in path)
         left[top] -= 1
-        sizes = sorted((n for n, c in left.items() if c > 0 and n <= capacity - top), reverse=True)
-        fills = _fillings(sizes, left, capacity - top, tries, width if used < nodes else 1)
+        fills = _fillings(left, capacity - top, (fewest - 1) * capacity - total - lost, tries, width)
         left[top] += 1
         out = []
-        for rest, chosen in fills:
-            pattern = (top, *chosen)
-            times = min(left[n] // pattern.count(n) for n in set(pattern))
-            out.append((pattern, times, rest * times))
-        return out
-
-    while True:
-        if not left:
-            if best_bins is None or bins < best_bins:
-                best, best_bins = list(path), bins
-            if best_bins <= least or used >= nodes:
-                return best
-        elif best_bins is None or waste <= (best_bins - 1) * capacity - total:
-            used += 1
-            stack.append(options()[::-1])
-            path.append(((), 0))
-        # Take the next alternative of the deepest open place.
-        while stack:
-            if path[len(stack) - 1][1]:
-                pattern, times = path[len(stack) - 1]
-                for n in pattern:
-                    left[n] = left.get(n, 0) + times
-                bins -= times
-                waste -= times * (capacity - sum(pattern))
-            del path[len(stack) - 1 :]
-            if stack[-1]:
-                pattern, times, lost = stack[-1].pop()
-                for n in pattern:
-                    left[n] -= times
-                    if not left[n]:
-                        del left[n]
-                path.append((pattern, times))
-                bins += times
-                waste += lost
-                break
+        for f in fills:
+            pattern = (top, *f)
+            times = min(int(left[n]) // pattern.count(n) for n in set(pattern))
+            while times:
+                out.append((pattern, times))
+                times //= 2
+        return out[::-1]
+
+    def shift(pattern: Pattern, times: int) -> None:
+        for n in pattern:
+            left[n] -= times
+
+    # ``stack[d]`` holds what is still to be tried at depth d, ``path[d]`` what is being tried.
+    stack = [options()] if fewest > least else []
+    while stack and fewest > least and nodes > 0:
+        if len(path) == len(stack):
+            shift(path[-1][0], -path.pop()[1])
+        if not stack[-1]:
             stack.pop()
-        else:
-            return best
-        if used >= nodes and best_bins is not None:
-            return best
+            continue
+        path.append(stack[-1].pop())
+        shift(*path[-1])
+        nodes -= 1
+        used = size(path)
+        if used + fewest_bins(left, capacity) >= fewest:
+            continue
+        rest = best_fit(left, capacity)
+        if used + size(rest) < fewest:
+            best, fewest = [*path, *rest], used + size(rest)
+        if left.any():
+            stack.append(options())
+    return best
 
 
 def _slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
