@@ -11,6 +11,9 @@ it. A set with more empty segments than spares matches, within each empty one's
 second segment's content or its one-deletion neighbourhood: as the other segments share at most H
 differences, one of them differs by at most one shingle. No link is lost.
 
+Linked sets agree on spare + 1 segments. A set that shares fewer keys of a band than that, less
+its empty segments, meets only strangers there, and leaves the band before anything is verified.
+
 No group is expanded into its pairs. Equal sets are one node. In each bucket all nodes are held
 against one pivot and links are joined into components. Buckets left with several components
 are keyed anew by what their nodes differ in from a common pivot (see ``_differences``), once
@@ -34,6 +37,8 @@ from varlake.llm.store import map_batches_arrow, stored
 
 # Pairs of two longs that a broadcast may hold; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+# Most that a tag can ask for; asking for less is safe.
+NEED = 4095
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -104,10 +109,21 @@ def _scoped(scope: int, values: np.ndarray, seg: np.ndarray, sums: np.ndarray, o
     return np.unique(np.concatenate([full, less]))
 
 
-def _signatures(sh, owner, counts, num: int, den: int) -> list[np.ndarray]:
-    """Index keys of each text."""
+def _signatures(sh, owner, counts, num: int, den: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Index keys of each text, and with each the band and how many keys of the band a text that
+    links agrees on at least: ``band << 12 | need``.
+
+    Linked sets agree on ``spare + 1`` segments, of which at most this set's empty ones have no
+    key.
+    """
     n_texts = len(counts)
     keys: list[list[np.ndarray]] = [[] for _ in range(n_texts)]
+    asks: list[list[np.ndarray]] = [[] for _ in range(n_texts)]
+
+    def add(i: int, found: np.ndarray, need: int) -> None:
+        keys[i].append(found)
+        asks[i].append(np.full(len(found), int(band[i]) << 12 | min(need, NEED), np.int32))
+
     plans = {int(n): _schemes(int(n), num, den) if n else [] for n in np.unique(counts)}
     values = W.mix(sh)
     begin = np.cumsum(counts) - counts
@@ -131,17 +147,21 @@ def _signatures(sh, owner, counts, num: int, den: int) -> list[np.ndarray]:
         for i in rows:
             a, b = place[i], place[i] + m[i]
             full = filled[a:b]
-            keys[i].append(sigs[a:b][full])
             empty = int((~full).sum())
+            add(i, sigs[a:b][full], max(1, int(spare[i]) + 1 - empty))
             if empty > spare[i]:
                 if 2 * (m[i] - empty) <= most[i]:
-                    keys[i].append(sigs[a:b][~full])
+                    add(i, sigs[a:b][~full], 1)
                 mine = values[begin[i] : begin[i] + counts[i]]
                 where = ((mine >> np.uint64(17)) % np.uint64(m[i])).astype(np.int64)
                 for j in np.flatnonzero(~full):
-                    keys[i].append(_scoped(int(sigs[a + j]), mine, where, sums[a:b], int(j)))
-    none = np.zeros(0, np.uint64)
-    return [np.unique(np.concatenate(x)) if x else none for x in keys]
+                    add(i, _scoped(int(sigs[a + j]), mine, where, sums[a:b], int(j)), 1)
+    out = [], []
+    for mine, theirs in zip(keys, asks, strict=True):
+        once, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *mine]), return_index=True)
+        out[0].append(once)
+        out[1].append(np.concatenate([np.zeros(0, np.int32), *theirs])[first])
+    return out
 
 
 def _list_array(parts: list[np.ndarray]) -> pa.Array:
@@ -173,11 +193,11 @@ def _index(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, keys) of the texts; a batch names each of its sets once."""
+    """(node, keys, tags) of the texts; a batch names each of its sets once."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = W.texts_of(batch.column(0))
-        nodes, keys = [], []
+        nodes, keys, tags = [], [], []
         for a, b in W.groups([len(t or b"") for t in texts]):
             sh, owner, counts = _sets(texts[a:b], k)
             names = _node(sh, owner, counts)
@@ -187,14 +207,18 @@ def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             size = counts[once]
             part = sh[W.ragged(begin[once], size)]
             nodes.append(names[once])
-            keys += _signatures(part, np.repeat(np.arange(len(once)), size), size, num, den)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), _list_array(keys)], ["node", "keys"])
+            found = _signatures(part, np.repeat(np.arange(len(once)), size), size, num, den)
+            keys, tags = keys + found[0], tags + found[1]
+        lists = _list_array(keys)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *tags]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), lists, pa.ListArray.from_arrays(lists.offsets, flat)], ["node", "keys", "tags"])
 
-    return map_batches_arrow(docs.select("text"), rows, "node long, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
+    found = map_batches_arrow(docs.select("text"), rows, "node long, keys array<long>, tags array<int>")
+    return found.groupBy("node").agg(F.first(F.struct("keys", "tags")).alias("x")).select("node", "x.*")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The (key, node) rows whose key more than one node has: one shuffle, then each task
+    """The (key, node, tag) rows whose key more than one node has: one shuffle, then each task
     streams its sorted keys and remembers one row."""
 
     def stream(batches):
@@ -202,24 +226,43 @@ def _shared(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, node, tag = (batch.column(i).to_numpy() for i in range(3))
             if held is not None:
-                key, node = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], node])
+                key, node, tag = (np.concatenate([[h], x]) for h, x in zip(held, (key, node, tag)))
             same = key[1:] == key[:-1]
             keep = np.zeros(len(key), bool)
             keep[1:] |= same
             keep[:-1] |= same
-            if held is not None and held[2]:
+            if held is not None and held[3]:
                 keep[0] = True
             # The last row waits for the next batch, with what is known of it.
-            held = (key[-1], node[-1], bool(keep[-1]))
+            held = (key[-1], node[-1], tag[-1], bool(keep[-1]))
             keep[-1] = False
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
-        if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip((key, node, tag), kinds, strict=True)], names)
+        if held is not None and held[3]:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:3], kinds, strict=True)], names)
+
+    names, kinds = ["key", "node", "tag"], [pa.int64(), pa.int64(), pa.int32()]
+    return rows.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(stream, "key long, node long, tag int")
+
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(stream, "key long, node long")
+def _agreeing(rows: DataFrame, again) -> DataFrame:
+    """Rows of nodes that can agree with another on as many keys as a link takes.
+
+    Where a node shares fewer keys of a band with anybody than that, it links with nobody there:
+    it meets strangers by a common shingle. ``again`` leaves out the buckets that no longer
+    matter without such nodes, after which others may have too few; it ends when that is rare.
+    """
+    before = None
+    while True:
+        agree = F.count("*").over(Window.partitionBy("node", "tag"))
+        rows = rows.withColumn("agree", agree).where(F.col("agree") >= F.col("tag").bitwiseAND(F.lit(NEED))).drop("agree")
+        rows = stored(again(rows), "agreeing")
+        n = rows.count()
+        if not n or before is not None and 10 * n >= 9 * before:
+            return rows
+        before = n
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -340,7 +383,7 @@ def _crowded(rows: DataFrame) -> DataFrame:
 def _all_links(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links enough to join every two linked nodes' components."""
     links = stored(_links(_pivot_pairs(live, num, den), sets, num, den), "links")
-    live = stored(_open(_rooted(live, links)), "open")
+    live = _agreeing(_open(_rooted(live, links)), _open)
     if live.isEmpty():
         return links
     apart = stored(_differences(live, sets, num, den), "apart")
@@ -370,8 +413,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = stored(_index(base, shingle), "sets")
     classes = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    rows = _keyed(base, shingle, num, den).select(F.explode("keys").alias("key"), "node")
-    pairs = stored(_shared(rows), "shared")
+    rows = _keyed(base, shingle, num, den).select("node", F.explode(F.arrays_zip("keys", "tags")).alias("x"))
+    rows = stored(_shared(rows.select(F.col("x.keys").alias("key"), "node", F.col("x.tags").alias("tag"))), "shared")
+    pairs = _agreeing(rows, _shared)
     live = stored(_crowded(pairs.join(classes.select("node", "n"), "node")), "live")
     wanted = live.select("node").distinct().join(classes.select("node", "first"), "node")
     at = F.coalesce("doc_id", F.lit(-(2**63)))
