@@ -10,11 +10,14 @@ their rank among pieces of the same length, numbered without gathering a length
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +89,15 @@ class WordCodes:
 _coders: dict[str, WordCodes] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: the worker waits for its next task with its words only."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     """One row per piece; (part, length, nth) tells pieces of one length apart."""
     ship_package(docs.sparkSession)
@@ -97,10 +109,11 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), W.texts_of(batch.column(1))
-            for a, b in W.groups([len(t or b"") for t in texts]):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for a, b in W.groups(sizes):
                 out = []
-                for ident, codes in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
+                for ident, codes in zip(ids[a:b], coder.encode(W.texts_of(texts.slice(a, b - a))), strict=True):
                     for k in range(0, len(codes), capacity):
                         piece = codes[k : k + capacity]
                         out.append((ident, k // capacity, k, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), part, seen[len(piece)]))
@@ -108,6 +121,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        _give_back()
 
     return docs.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
