@@ -44,8 +44,53 @@ def test_map_round_trip_in_chunks(spark, tmp_path):
     got = S.read_json_map(spark, str(tmp_path / "m"))
     assert got.select("path").distinct().count() == 3
     assert rows(got.select("key", "value")) == rows(df.select("k", "v"))
-    first = got.where(F.col("path").contains("chunk=0")).orderBy("pos").select("key").collect()
-    assert [r[0] for r in first] == [f"k{i}" for i in range(10)]
+    assert [r["key"] for r in got.orderBy("pos").collect()] == [f"k{i}" for i in range(25)]
+    assert [r["pos"] for r in got.orderBy("pos").collect()] == list(range(25))
+
+
+def test_a_map_is_one_document(spark, tmp_path):
+    """Any value, any key, in order; Python reads the same object."""
+    data = [(2, 'q"\\', None, ["x"]), (0, "é\n", "1", None), (1, "", "ü", [None, "y"]), (3, None, "n", [])]
+    df = spark.createDataFrame(data, "o INT, k STRING, v STRING, w ARRAY<STRING>").repartition(3)
+    for value, kind in (("v", "STRING"), ("w", "ARRAY<STRING>")):
+        S.write_json_map(df, str(tmp_path / value), "k", value, "o")
+        (file,) = (tmp_path / value).glob("first=0/part*")
+        want = {("null" if r[1] is None else r[1]): r[2 if value == "v" else 3] for r in sorted(data)}
+        got = json.loads(file.read_text())
+        assert {("null" if k is None else k): x for k, x in got.items()} == want and list(got) == list(want)
+        back = S.read_json_map(spark, str(tmp_path / value), kind).orderBy("pos").collect()
+        assert [(r["key"], r["value"]) for r in back] == list(want.items())
+
+
+def test_repeated_keys_and_broken_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": "1", "y": "2", "x": "3", "z": "4", "y": "5", "x": "6"}')
+    (tmp_path / "b.json").write_text('{"x": "1", ')
+    (tmp_path / "c.json").write_text("{}")
+    got = S.read_json_map(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["pos"], r["key"], r["value"]) for r in got] == [(0, "x", "6"), (1, "y", "5"), (2, "z", "4")]
+    assert [(r["path"][-6:], r["text"]) for r in S.bad_documents(spark, str(tmp_path)).collect()] == [("b.json", '{"x": "1", ')]
+
+
+def test_variant_documents(spark, tmp_path):
+    data = [("kitchen", s, o, f'do "{o}"', p, f"{s} é {o} {p}") for s in ("one", "all") for o in range(3) for p in range(2 + o)]
+    df = spark.createDataFrame(data, "suite STRING, scope STRING, ord INT, instruction STRING, pos INT, variant STRING")
+    S.write_variants(df.repartition(4), str(tmp_path / "v"))
+    for s in ("one", "all"):
+        (file,) = (tmp_path / "v").glob(f"file={s}_kitchen.json/part*")
+        assert json.loads(file.read_text()) == {f'do "{o}"': [f"{s} é {o} {p}" for p in range(2 + o)] for o in range(3)}
+    got = S.read_variants(spark, str(tmp_path / "v"), scopes=None)
+    assert rows(got.select(df.columns)) == rows(df)
+
+
+def test_prefix_reads_store_no_lines(spark, tmp_path, monkeypatch):
+    """What is stored between the two passes has one row per split, and no text."""
+    (tmp_path / "1.jsonl").write_text('{"a": 1}\noops\n{"a": 2}\n')
+    seen = []
+    keep = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: seen.append(df.columns) or keep(df))
+    got, _ = S.read_jsonl(spark, str(tmp_path / "1.jsonl"), EVENT, on_error="prefix")
+    assert [r["a"] for r in got.collect()] == [1]
+    assert seen == [["path", "block_start", "from", "lines", "bad"]]
 
 
 def test_records_tolerate_missing_fields(spark, tmp_path):

@@ -106,6 +106,9 @@ def test_parse_whole(spark):
         "{'a': 1}": None,
         '[{"a": 1}]': None,
         '{"a": 1, "z": {bad}}': None,
+        '{"a": 1}],"x":[{"a": 2}': None,
+        '{"a": 1}]} {"x":[': None,
+        '{"__mark": "m", "a": 3}': {"a": 3, "b": None},
     }
     df = spark.createDataFrame([(t,) for t in cases], "t STRING")
     got = [r[0] and r[0].asDict() for r in df.select(parse_whole("t", "STRUCT<a: INT, b: STRING>")).collect()]
@@ -126,3 +129,30 @@ def test_revision(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t STRING")
     got = [r[0] for r in df.select(revision("t")).collect()]
     assert [None if g is None else (g["RAW"], g["REVISED"]) for g in got] == list(cases.values())
+
+
+def test_maps_are_parsed_whole(spark):
+    cases = {
+        '{"a": "1", "b": null}': {"a": "1", "b": None},
+        "{}": {},
+        '{"a": "1"}, {"b": "2"}': None,
+        '{"a": "1"}],"x":[{"b": "2"}': None,
+        '["a"]': None,
+        "null": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t STRING")
+    assert [r[0] for r in df.select(parse_whole("t", "MAP<STRING, STRING>")).collect()] == list(cases.values())
+
+
+def test_a_reply_is_parsed_once(spark):
+    """Filter and projection share one parse of the text."""
+    from conftest import plan
+
+    from varlake.operators.enrich import parse_response
+
+    df = spark.createDataFrame([('{"RAW": "a", "REVISED": ["b"]}',), ("no",)], "content STRING")
+    ok, failed = parse_response(df)
+    assert plan(ok).count("from_json") == 1 and plan(failed).count("from_json") == 1
+    assert [tuple(r) for r in ok.collect()] == [('{"RAW": "a", "REVISED": ["b"]}', "a", ["b"])]
+    assert [r[0] for r in failed.collect()] == ["no"]

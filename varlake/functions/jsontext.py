@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varlake.schemas import RESPONSE, REVISION
 
@@ -27,19 +30,45 @@ def is_json(text) -> Column:
     return F.coalesce(in_array.isNotNull() & in_object.isNotNull(), F.lit(False))
 
 
+def _frame(kind: T.DataType, text: Column) -> tuple[T.DataType, Column, Callable[[Column], Column]]:
+    """A type that holds ``kind`` and a marker, the marker as JSON, and a test for it.
+
+    The marker holds the text's own digest, which no text can hold.
+    """
+    mark = F.md5(text.cast("binary"))
+    if isinstance(kind, T.StructType):
+        framed = T.StructType([*kind.fields, T.StructField("__mark", T.StringType())])
+        return framed, F.concat(F.lit('{"__mark":"'), mark, F.lit('"}')), lambda x: x["__mark"] == mark
+    if isinstance(kind, T.MapType):
+        return kind, F.concat(F.lit('{"'), mark, F.lit('":null}')), lambda x: F.coalesce(F.map_contains_key(x, mark), F.lit(False))
+    raise TypeError("a JSON object is read as a struct or as a map")
+
+
 def parse_whole(text, kind: str) -> Column:
-    """The one JSON value of type ``kind`` that makes up the whole text, or null.
+    """The one JSON object of type ``kind`` (a struct or a map) that makes up the whole text, or null.
 
-    Null when the text is malformed, is followed by more, is a literal null, or does not
-    fit ``kind``. As in :func:`is_json`, wrapping it in an array and in an object and
-    parsing both leaves no room for a tail.
+    Null when the text is malformed, is followed by more, is a literal null, or does not fit
+    ``kind``. Spark's JSON functions stop after the first value and ignore what follows, so the
+    text is parsed, once, as the middle one of three elements between two markers: a text that
+    closes the list early, or opens another, leaves other than three.
     """
     t = _col(text)
+    middle = T.DataType.fromDDL(kind)
+    framed, marker, is_marker = _frame(middle, t)
+    whole = T.StructType([T.StructField("x", T.ArrayType(framed)), T.StructField("_corrupt", T.StringType())])
     options = {**STRICT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    in_array = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"ARRAY<{kind}>", STRICT)
-    in_object = F.from_json(F.concat(F.lit('{"x":'), t, F.lit("}")), f"x {kind}, _corrupt STRING", options)
-    fits = in_object["_corrupt"].isNull() & in_object["x"].isNotNull() & (F.size(in_array) == 1)
-    return F.when(fits, in_object["x"])
+    parsed = F.from_json(F.concat(F.lit('{"x":['), marker, F.lit(","), t, F.lit(","), marker, F.lit("]}")), whole, options)
+
+    def middle_of(p: Column) -> Column:
+        x = p["x"]
+        fits = p["_corrupt"].isNull() & (F.size(x) == 3) & is_marker(x[0]) & is_marker(x[2])
+        found = x[1]
+        if isinstance(middle, T.StructType):
+            found = F.when(found.isNotNull(), F.struct(*[found[f].alias(f) for f in middle.names]))
+        return F.when(fits, found)
+
+    # A lambda names the parsed value, so that it is parsed once however often it is used.
+    return F.transform(F.array(parsed), middle_of)[0]
 
 
 def revision(text) -> Column:
@@ -47,8 +76,8 @@ def revision(text) -> Column:
 
     Usable: one JSON object, nothing before or after it, with a ``REVISED`` list.
     """
-    parsed = parse_whole(text, REVISION)
-    return F.when(parsed["REVISED"].isNotNull(), parsed)
+    parsed = F.array(parse_whole(text, REVISION))
+    return F.transform(parsed, lambda p: F.when(p["REVISED"].isNotNull(), p))[0]
 
 
 def response_fields(text) -> Column:

@@ -130,7 +130,8 @@ def rephrase(
 
 def parse_response(df: DataFrame, column: str = "content") -> tuple[DataFrame, DataFrame]:
     """Rows with a usable reply (``raw``, ``revised`` added), and the others."""
-    parsed = df.withColumn("__r", revision(column))
+    # Generated, the parsed value is a column that filter and projection share.
+    parsed = df.select("*", F.explode_outer(F.array(revision(column))).alias("__r"))
     ok = parsed.where("__r IS NOT NULL").select(
         *df.columns, F.col("__r.RAW").alias("raw"), F.col("__r.REVISED").alias("revised")
     )

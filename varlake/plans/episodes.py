@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varlake.functions.text import (
     decode_text,
+    matches_any,
     rollout_path,
     run_id,
     stamp_columns,
@@ -31,6 +32,7 @@ from varlake.operators.variants import (
     shuffle_rows,
 )
 from varlake.plans.registry import query, table
+from varlake.session import cut_lineage
 
 SEED = 7
 STEP_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -427,9 +429,46 @@ def decoded_text(spark, sf_dir):
     )
 
 
-@query()
+@query("SELECT doc_id, TRUE AS own_id, TRUE AS version_4, TRUE AS in_time FROM documents")
 def stamped_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *stamp_columns())
+    """Fresh ids differ and have the form of random ones; times are those of the run."""
+    stamped = cut_lineage(table(spark, sf_dir, "documents").select("doc_id", *stamp_columns()))
+    shared = stamped.groupBy("id").agg(F.count("*").alias("n"))
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("created_at", "yyyy-MM-dd HH:mm:ss")
+    return stamped.join(shared, "id").select(
+        "doc_id",
+        (F.col("n") == 1).alias("own_id"),
+        F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("version_4"),
+        age.between(-5, 3600).alias("in_time"),
+    )
+
+
+@query(
+    """SELECT part.p_partkey AS p_partkey, regexp_matches(p_type, '^(SMALL|[A-Z]* BRUSHED|PROMO.*STEEL)') OR starts_with(p_type, 'LARGE')
+  AS trained FROM part"""
+)
+def trained_modules(spark, sf_dir):
+    """Names that begin with one of several patterns."""
+    patterns = ["SMALL", "[A-Z]* BRUSHED", "PROMO.*STEEL", "LARGE"]
+    return table(spark, sf_dir, "part").select("p_partkey", matches_any("p_type", patterns).alias("trained"))
+
+
+_STEP_SAMPLES = """(SELECT o_orderkey AS episode_id, o_custkey AS step_idx, p_name AS instruction
+  FROM orders JOIN part ON p_partkey = o_custkey % 100 + 1)"""
+
+
+@query(
+    "WITH" + POOL_SQL + "," + _drawn_sql(f"'{SEED}:' || e.episode_id || ':' || e.step_idx", _STEP_SAMPLES) + " SELECT * FROM drawn"
+)
+def variant_draw_steps(spark, sf_dir):
+    """A draw for every sample, by episode and step, instead of one for the episode."""
+    names = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("instruction"))
+    samples = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("episode_id"), F.col("o_custkey").alias("step_idx"), (F.col("o_custkey") % 100).alias("k")
+    )
+    pool = merge_pool(derived_variants(spark, sf_dir))
+    drawn = draw_variant(samples.join(names, "k").drop("k"), pool, SEED, ["episode_id", "step_idx"])
+    return drawn.drop("step_idx")
 
 
 @query(

@@ -31,28 +31,64 @@ from varlake.streaming import streams as T
 # --- JSON ------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey::VARCHAR AS key, p_name AS value FROM part")
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey::VARCHAR AS key, p_name AS value FROM part")
 def source_map_roundtrip(spark, sf_dir):
-    """Instruction maps: one JSON object per 5,000 episodes, in order."""
+    """An instruction map, its places included, as one document and as one per 5,000 entries."""
     part = with_ordinal(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
     rows = part.select((F.col("ordinal") - 1).alias("o"), F.col("p_partkey").cast("string").alias("k"), "p_name")
-    path = scratch_path(spark, "maps")
-    S.write_json_map(rows, path, "k", "p_name", "o", chunk=5_000)
-    return S.read_json_map(spark, path).select("key", "value")
+    whole, parts = scratch_path(spark, "map"), scratch_path(spark, "maps")
+    S.write_json_map(rows, whole, "k", "p_name", "o")
+    S.write_json_map(S.read_json_map(spark, whole), parts, "key", "value", "pos", chunk=5_000)
+    return S.read_json_map(spark, parts).select("pos", "key", "value")
+
+
+_DOCS_SQL = """WITH e AS (SELECT p_partkey // 50 AS block, p_partkey, 'k' || p_partkey % 20 AS key, p_name AS value FROM part),
+d AS (SELECT block, key, min(p_partkey) AS first_key, arg_max(value, p_partkey) AS value FROM e GROUP BY block, key) """
+
+
+def _blocks_of_parts(spark, sf_dir) -> str:
+    """A JSON object per 50 parts, its keys repeated; every seventh is cut short."""
+    entry = F.concat(F.to_json(F.array(F.concat(F.lit("k"), F.col("p_partkey") % 20))), F.lit(": "), F.to_json(F.array("p_name")))
+    entry = F.regexp_replace(entry, r"^\[(.*)\]: \[(.*)\]$", "$1: $2")
+    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).cast("bigint").alias("block"), "p_partkey", entry.alias("e"))
+    listed = part.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "e")))["e"].alias("e"))
+    text = F.concat(F.lit("{"), F.array_join("e", ",\n"), F.when(F.col("block") % 7 == 3, F.lit("")).otherwise(F.lit("}")))
+    path = scratch_path(spark, "blocks")
+    listed.select("block", text.alias("value")).repartition("block").write.partitionBy("block").text(path)
+    return path
+
+
+def _block(path: str):
+    return F.regexp_extract(path, r"/block=(\d+)/", 1).cast("bigint").alias("block")
+
+
+@query(
+    _DOCS_SQL + """SELECT block, row_number() OVER (PARTITION BY block ORDER BY first_key) - 1 AS pos, key, value FROM d WHERE block % 7 <> 3"""
+)
+def source_map_repeats(spark, sf_dir):
+    """Repeated keys: the last value, at the first place; broken documents contribute nothing."""
+    return S.read_json_map(spark, _blocks_of_parts(spark, sf_dir)).select(_block("path"), "pos", "key", "value")
+
+
+@query("SELECT DISTINCT p_partkey // 50 AS block FROM part WHERE p_partkey // 50 % 7 = 3")
+def source_map_broken(spark, sf_dir):
+    return S.bad_documents(spark, _blocks_of_parts(spark, sf_dir)).select(_block("path"))
 
 
 @query(
-    "WITH" + VARIANTS_SQL + " SELECT 'parts' AS suite, scope, instruction, pos, variant FROM variants"
+    "WITH" + VARIANTS_SQL + """, n AS (SELECT instruction, row_number() OVER (ORDER BY substr(md5('0:' || instruction), 1, 15), instruction) - 1 AS ord
+  FROM (SELECT DISTINCT instruction FROM variants))
+SELECT 'parts' AS suite, scope, ord, instruction, pos::BIGINT AS pos, variant FROM variants JOIN n USING (instruction)"""
 )
 def source_variants_roundtrip(spark, sf_dir):
-    """Variant files, one per scope and suite, written and found again by name."""
+    """Variant files, one per scope and suite, written and found again by name, in order."""
     variants = derived_variants(spark, sf_dir)
     names = variants.select("instruction").distinct()
     numbered = with_hash_ordinal(names, shuffle_key(0, "instruction"), SHUFFLE_KEY_BITS, "o", ("instruction",))
     rows = variants.join(numbered, "instruction").withColumns({"suite": F.lit("parts"), "ord": F.col("o") - 1})
     path = scratch_path(spark, "variants")
     S.write_variants(rows, path)
-    return S.read_variants(spark, path, strict=True).drop("ord")
+    return S.read_variants(spark, path, strict=True).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(
@@ -125,6 +161,16 @@ def jsonl_prefix(spark, sf_dir):
     return good.select("event_id", "user_id", "event_type")
 
 
+@query("SELECT count(*) AS n FROM events")
+def jsonl_record_count(spark, sf_dir):
+    """Events appended in two batches and counted."""
+    e = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "counted")
+    S.overwrite_jsonl(e.where("user_id % 2 = 0"), path)
+    S.append_jsonl(e.where("user_id % 2 <> 0"), path)
+    return spark.range(1).select(F.lit(S.record_count(spark.read.schema("event_id LONG").json(path))).cast("bigint").alias("n"))
+
+
 @query("SELECT doc_id, lang, (ntile(7) OVER (ORDER BY doc_id) - 1)::INT AS part FROM documents")
 def split_files(spark, sf_dir):
     path = scratch_path(spark, "split")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,19 +47,49 @@ def _text(spark: SparkSession, paths, strict: bool, **options) -> DataFrame:
 # --- JSON objects -------------------------------------------------------------------
 
 
+def _last_wins(doc: Column) -> Column:
+    """Entries of a map as (key, value): a repeated key has its last value, at its first place."""
+    placed = F.transform(F.map_entries(doc), lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+
+    def once(s: Column) -> Column:
+        n = F.size(s)
+        firsts = F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["key"] != e["key"]))
+        lasts = F.filter(s, lambda e, i: (i == n - 1) | (F.get(s, i + 1)["key"] != e["key"]))
+        met = F.zip_with(firsts, lasts, lambda a, b: F.struct(a["i"].alias("i"), a["key"].alias("key"), b["value"].alias("value")))
+        return F.array_sort(met)
+
+    # By key, then place; the lambda names the sorted entries, which are used many times.
+    return F.transform(F.array(F.array_sort(placed)), once)[0]
+
+
+def _documents(spark: SparkSession, paths, kind: str, strict: bool) -> DataFrame:
+    """(path, text, doc): every file, parsed as one JSON object or null."""
+    docs = _text(spark, paths, strict, wholetext=True, recursiveFileLookup=True)
+    parsed = F.explode_outer(F.array(parse_whole("value", f"MAP<STRING, {kind}>"))).alias("doc")
+    return docs.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), parsed)
+
+
 def read_json_map(spark: SparkSession, paths, kind: str = "STRING", strict: bool = False) -> DataFrame:
     """(path, pos, key, value) of files that each hold one JSON object, in document order.
 
-    A missing or unreadable file contributes nothing, or fails the read if ``strict``.
-    A document is one row, so keep documents at file size; bulk data belongs in JSONL.
+    A repeated key has its last value, at the place of its first. ``pos`` counts from 0; in a map
+    that was written in several documents it goes on from one to the next. A missing or
+    unreadable file contributes nothing (:func:`bad_documents` lists the unreadable), or fails
+    the read if ``strict``. A document is one row, so keep documents at file size; bulk data
+    belongs in JSONL.
     """
-    docs = _text(spark, paths, strict, wholetext=True, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("path"), parse_whole("value", f"MAP<STRING, {kind}>").alias("doc")
-    )
+    docs = _documents(spark, paths, kind, strict)
     if strict:
         message = F.concat(F.lit("not a JSON object: "), F.col("path"))
         docs = docs.withColumn("doc", F.coalesce("doc", F.raise_error(message)))
-    return docs.select("path", F.posexplode("doc").alias("pos", "key", "value"))
+    before = F.coalesce(F.try_to_number(F.regexp_extract("path", r"/first=(\d+)/[^/]*$", 1), F.lit("9" * 18)).cast("bigint"), F.lit(0))
+    entries = docs.select("path", before.alias("before"), F.posexplode(_last_wins(F.col("doc"))).alias("p", "e"))
+    return entries.select("path", (F.col("before") + F.col("p")).alias("pos"), "e.key", "e.value")
+
+
+def bad_documents(spark: SparkSession, paths, kind: str = "STRING") -> DataFrame:
+    """(path, text) of the files that :func:`read_json_map` can't read as one JSON object."""
+    return _documents(spark, paths, kind, False).where("doc IS NULL").select("path", "text")
 
 
 def read_variants(
@@ -67,7 +97,8 @@ def read_variants(
 ) -> DataFrame:
     """(suite, scope, ord, instruction, pos, variant) from ``{scope}_{suite}.json`` files or folders.
 
-    A scope without a file contributes nothing, or is an error if ``strict``.
+    A scope without a file contributes nothing, or is an error if ``strict``. ``scopes=None``
+    reads files of every name, for :func:`varlake.operators.variants.unknown_scopes` to list.
     """
     pattern = r"/(?:file=)?([^/_]+)_([^/]+)\.json(?:/|$)"
     rows = read_json_map(spark, paths, "ARRAY<STRING>", strict).select(
@@ -77,34 +108,41 @@ def read_variants(
         F.col("key").alias("instruction"),
         F.posexplode("value").alias("pos", "variant"),
     )
-    rows = rows.where(F.col("scope").isin(*scopes))
+    rows = rows if scopes is None else rows.where(F.col("scope").isin(*scopes))
     if strict:
-        lacking = missing_scopes(rows, scopes, suites).first()
+        lacking = missing_scopes(rows, scopes or SCOPES, suites).first()
         if lacking:
             raise FileNotFoundError(f"{lacking['suite']} has no file for {', '.join(lacking['missing'])}")
     return rows
 
 
-def write_variants(variants: DataFrame, path: str, chunk: int = 10_000) -> None:
+def _json_text(value: Column) -> Column:
+    """A value of any type as JSON, null included."""
+    in_list = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(in_list, F.lit(2), F.length(in_list) - 2)
+
+
+def write_variants(variants: DataFrame, path: str) -> None:
     """``{scope}_{suite}.json`` folders below ``path``, for :func:`read_variants` to find.
 
-    ``variants`` is (suite, scope, ord, instruction, pos, variant). Documents hold at most
-    ``chunk`` instructions each; all of them are written in one distributed pass.
+    ``variants`` is (suite, scope, ord, instruction, pos, variant), ``ord`` and ``pos`` from 0. Each
+    scope and suite is one document, however long: its task writes it piece by piece in
+    order, and no list is ever built.
     """
-    lists = variants.groupBy("suite", "scope", "ord", "instruction").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "variant")))["variant"].alias("v")
-    )
     name = F.concat(F.col("scope"), F.lit("_"), F.col("suite"), F.lit(".json")).alias("file")
-    docs = lists.groupBy(name, F.floor(F.col("ord") / chunk).cast("bigint").alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "instruction", "v"))).alias("e")
-    )
-    document = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["instruction"], x["v"]))))
-    (
-        docs.select("file", "chunk", document.alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("file", "chunk")
-        .text(path)
-    )
+    opens = F.when(F.col("ord") == 0, F.lit("{")).otherwise(F.lit("],"))
+    head = F.concat(opens, _json_text(F.col("instruction")), F.lit(": ["))
+    piece = F.concat(F.when(F.col("pos") == 0, head).otherwise(F.lit(",")), _json_text(F.col("variant")))
+    at = [F.col("ord").cast("bigint").alias("ord"), F.col("pos").cast("bigint").alias("pos")]
+    rows = variants.select(name, *at, piece.alias("value"))
+    ends = rows.groupBy("file").agg((F.max("ord") + 1).alias("ord")).select("file", "ord", F.lit(0).cast("bigint").alias("pos"), F.lit("]}").alias("value"))
+    _write_pieces(rows.unionByName(ends), path, "file", "ord", "pos")
+
+
+def _write_pieces(rows: DataFrame, path: str, folder: str, *order: str) -> None:
+    """The ``value`` of each row as a line, one file per folder, in order."""
+    laid = rows.repartition(folder).sortWithinPartitions(folder, *order)
+    laid.select(folder, "value").write.mode("overwrite").partitionBy(folder).text(path)
 
 
 def missing_scopes(variants: DataFrame, scopes=SCOPES, suites: list[str] | None = None) -> DataFrame:
@@ -118,20 +156,20 @@ def missing_scopes(variants: DataFrame, scopes=SCOPES, suites: list[str] | None
     return have.select("suite", missing.alias("missing")).where(F.size("missing") > 0)
 
 
-def write_json_map(df: DataFrame, path: str, key: str, value: str, order: str, chunk: int = 10_000) -> None:
-    """JSON objects of at most ``chunk`` entries each, in ``order`` (an integer from 0).
+def write_json_map(df: DataFrame, path: str, key: str, value: str, order: str, chunk: int | None = None) -> None:
+    """A JSON object with the entries in ``order``, an integer from 0 without gaps.
 
-    Every chunk is a file of its own and a whole document; a small map is one file.
+    One document, written piece by piece by one task. With ``chunk``, documents of at most that
+    many entries, each a file of its own in a folder named by its first place, so that
+    :func:`read_json_map` counts on from one to the next.
     """
-    part = F.floor(F.col(order) / chunk).cast("bigint").alias("chunk")
-    entries = F.array_sort(
-        F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(value).alias("v")))
-    )
-    docs = df.groupBy(part).agg(entries.alias("e"))
-    document = F.to_json(
-        F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], x["v"]))), {"ignoreNullFields": "false"}
-    )
-    docs.select("chunk", document.alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
+    at = F.col(order).cast("bigint")
+    first = F.lit(0).cast("bigint") if chunk is None else F.floor(at / chunk).cast("bigint") * chunk
+    opens = F.when(at == first, F.lit("{")).otherwise(F.lit(","))
+    piece = F.concat(opens, _json_text(F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.lit(": "), _json_text(F.col(value)))
+    rows = df.select(first.alias("first"), at.alias("at"), piece.alias("value"))
+    ends = rows.groupBy("first").agg((F.max("at") + 1).alias("at")).withColumn("value", F.lit("}"))
+    _write_pieces(rows.unionByName(ends), path, "first", "at")
 
 
 # --- records -------------------------------------------------------------------------
@@ -225,21 +263,33 @@ def read_jsonl(
         message = F.concat(F.lit("bad line in "), F.col("path"), F.lit(": "), F.col("line"))
         parsed = parsed.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(message)))
         return parsed.select(*place, "r.*"), lines.limit(0)
-    tagged = parsed.withColumn("good", good)
-    if on_error == "prefix":
-        # Line numbers are compared across two uses of the scan, and another number of
-        # executors may split files differently: fix them once.
-        tagged = cut_lineage(tagged)
-    bad = tagged.where("NOT good").select(*place, "line")
-    kept = tagged.where("good")
-    if on_error == "prefix":
-        first = bad.groupBy("path").agg(F.min(F.struct("block_start", "line_seq")).alias("first_bad"))
-        kept = kept.join(broadcast_checked(first), "path", "left").where(
-            F.col("first_bad").isNull() | (F.struct("block_start", "line_seq") < F.col("first_bad"))
-        )
+    bad = parsed.where(~good).select(*place, "line")
+    kept = _before_first_bad(parsed) if on_error == "prefix" else parsed.where(good)
     return kept.select(*place, "r.*"), bad
 
 
+def _before_first_bad(parsed: DataFrame) -> DataFrame:
+    """Lines of a file before its first bad one.
+
+    A first pass finds, per split of a file, its lines' numbers and the first bad one: one row per
+    split is all that is stored. Line numbers hold as long as files are split alike; the second
+    pass checks that against the first and fails rather than compare other numbers.
+    """
+    splits = parsed.groupBy("path", "block_start").agg(
+        F.min("line_seq").alias("from"),
+        F.count("*").alias("lines"),
+        F.min(F.when(F.col("r").isNull(), F.col("line_seq"))).alias("bad"),
+    )
+    splits = cut_lineage(splits)
+    first = splits.where("bad IS NOT NULL").groupBy("path").agg(F.min(F.struct("block_start", "bad")).alias("first_bad"))
+    known = splits.join(first, "path", "left").drop("bad")
+    met = parsed.join(broadcast_checked(known), ["path", "block_start"], "left")
+    alike = F.coalesce(F.col("line_seq").between(F.col("from"), F.col("from") + F.col("lines") - 1), F.lit(False))
+    moved = F.raise_error(F.concat(F.lit("files are split otherwise than before, read again: "), F.col("path"))).cast("boolean")
+    ahead = F.col("first_bad").isNull() | (F.struct("block_start", "line_seq") < F.col("first_bad"))
+    return met.where(F.when(alike, ahead).otherwise(moved))
+
+
 def split_write(df: DataFrame, n: int, key: str, path: str) -> None:
     """``n`` contiguous parts in ``key`` order, sizes within one, as ``part=0 .. n-1``."""
     parts = split_ids(df, key, n)
