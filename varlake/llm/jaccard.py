@@ -37,6 +37,8 @@ from varlake.llm.store import map_batches_arrow, stored
 
 # Pairs of two longs that a broadcast may hold; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+# Bytes of texts that are turned into keys at a time.
+SLICE = 4 << 20
 # Most that a tag can ask for; asking for less is safe.
 NEED = 4095
 _GOLD = 0x9E3779B97F4A7C15
@@ -189,7 +191,7 @@ def _index(docs: DataFrame, k: int) -> DataFrame:
             out_node.append(_node(sh, owner, counts))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_node))], ["doc_id", "n", "node"])
 
-    return map_batches_arrow(docs, rows, "doc_id long, n long, node long")
+    return map_batches_arrow(docs, rows, "doc_id long, n long, node long", SLICE)
 
 
 def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -213,7 +215,7 @@ def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *tags]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), lists, pa.ListArray.from_arrays(lists.offsets, flat)], ["node", "keys", "tags"])
 
-    found = map_batches_arrow(docs.select("text"), rows, "node long, keys array<long>, tags array<int>")
+    found = map_batches_arrow(docs.select("text"), rows, "node long, keys array<long>, tags array<int>", SLICE)
     return found.groupBy("node").agg(F.first(F.struct("keys", "tags")).alias("x")).select("node", "x.*")
 
 
@@ -275,7 +277,7 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
             lists += np.split(sh, np.cumsum(counts)[:-1])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(nodes)), _list_array(lists)], ["want", "node", "shingles"])
 
-    return map_batches_arrow(docs, rows, "want long, node long, shingles array<long>").where("want = node").drop("want").dropDuplicates(["node"])
+    return map_batches_arrow(docs, rows, "want long, node long, shingles array<long>", SLICE).where("want = node").drop("want").dropDuplicates(["node"])
 
 
 def _near(n1: str, n2: str, num: int, den: int):

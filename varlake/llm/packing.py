@@ -325,6 +325,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches):
+        _coders.clear()  # all texts are encoded: the worker goes on without their words
+        _give_back()
         for batch in batches:
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

@@ -17,14 +17,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; the package is shipped to the workers."""
+def map_batches_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most: int | None = None) -> DataFrame:
+    """``mapInArrow`` with a function of one batch; the package is shipped to the workers.
+
+    With ``most``, a batch of more bytes is handed over in slices, so that what ``fn`` makes of it
+    is never held for the whole batch.
+    """
     ship_package(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            rows = batch.num_rows
+            if most and rows:
+                rows = max(1, rows * most // max(most, batch.nbytes))
+            for start in range(0, batch.num_rows, max(1, rows)):
+                out = fn(batch.slice(start, rows))
                 if out is not None:
                     yield out
 
