@@ -18,23 +18,32 @@ from varlake.llm.packing import pack
 from varlake.llm.quality import keep_good
 from varlake.session import scratch_path
 
+# Rows that a Python worker is handed at a time: a row is a whole text, so fewer than Spark's default.
+BATCH_ROWS = 1_000
 # A text is kept when one language holds at least this share of the evidence.
 LEAST_SCORE = 0.5
 
 
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language, the column ``lang`` as it came."""
+    _bounded(spark)
     found = langid.identify(docs, langid.fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the certified rules keep."""
+    _bounded(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a document of smaller id holds; emptied documents go."""
+    _bounded(spark)
     left = dedup_lines(docs, min_chars=10)
     counted = left.withColumn("n_chars", F.length("text").cast("long"))
     return counted.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
@@ -45,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id stand for one document and stay or go together; rows of null id stay.
     """
+    _bounded(spark)
     groups = jaccard_join(docs.where("doc_id IS NOT NULL"), shingle=5, num=80, den=100)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -52,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept text in sequences of at most 2,048 tokens."""
+    _bounded(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
@@ -63,7 +74,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-# Tokens and learned models are beyond SQL; tests/llm holds run() against a brute-force version.
+# Tokens and learned models are beyond SQL; tests/llm tests the stages and their operators.
 ORACLE_SQL = None
 
 
