@@ -155,7 +155,8 @@ def test_rewrite_long_matches_nested(spark, variants):
         F.expr("id div 6").alias("episode_id"), F.expr("id % 6").alias("step_idx"),
         F.expr("CASE WHEN id % 6 = 0 THEN 'lift the cup' ELSE 'later text' END").alias("language_instruction"),
     )
-    out = V.rewrite_long(steps.repartition(4), pool, 9)
+    out, unread = V.rewrite_long(steps.repartition(4), pool, 9)
+    assert unread.count() == 0
     per = out.groupBy("episode_id").agg(F.count_distinct("new_instruction").alias("d"), F.count("*").alias("n"))
     assert {(r["d"], r["n"]) for r in per.collect()} == {(1, 6)}
     heads = steps.where("step_idx = 0").select("episode_id", F.col("language_instruction").alias("instruction"))
@@ -169,7 +170,7 @@ def test_blocks_of_an_episode_share_its_draw(spark, variants):
         F.lit(1).alias("e"), (F.col("id") + 1).alias("i"), F.expr("if(id < 500, 'lift the cup', 'open it')").alias("language_instruction")
     )
     unread = spark.range(2000).select(F.lit(2), F.col("id") + 1, F.expr("if(id < 1, NULL, 'open it')"))
-    nested = V.nest_steps(steps.union(unread), "e", "i", ["language_instruction"])
+    nested = V.nest_steps(steps.union(unread), "e", "i", ["language_instruction"], block=1024)
     nested = nested.union(nested.limit(1).select(F.lit(3), F.lit(0), F.slice("steps", 1, 0)))
     pool = V.merge_pool(variants)
     for limit in (1 << 26, 0):
@@ -217,7 +218,7 @@ def test_variant_files_of_many_suites(spark, tmp_path):
         for suite in ("kitchen", "living_room") for scope in ("one", "all") for o in range(5) for p in range(2)
     ]
     df = spark.createDataFrame(data, "suite STRING, scope STRING, ord INT, instruction STRING, pos INT, variant STRING")
-    S.write_variants(df.repartition(3), str(tmp_path / "v"), chunk=2)
+    S.write_variants(df.repartition(3), str(tmp_path / "v"))
     names = {p.name for p in (tmp_path / "v").iterdir() if p.is_dir()}
     assert names == {f"file={s}_{u}.json" for s in ("one", "all") for u in ("kitchen", "living_room")}
     got = S.read_variants(spark, str(tmp_path / "v"))
@@ -230,3 +231,21 @@ def test_shuffle_is_seeded(spark):
     a, b, c = (rows(V.shuffle_rows(d, "id", s)) for d, s in ((df, 1), (df.repartition(9), 1), (df, 2)))
     assert a == b != c
     assert sorted(p for _, p in a) == list(range(1, 201))
+
+
+def test_blocks_must_be_named(spark):
+    """Blocks taken for episodes would draw once each; that is an error, not a silent result."""
+    steps = spark.range(30).select(F.lit(1).alias("e"), (F.col("id") + 1).alias("i"), F.lit("go").alias("language_instruction"))
+    pool = V.merge_pool(spark.createDataFrame([("go", "one", 0, "walk")], "instruction STRING, scope STRING, pos INT, variant STRING"))
+    with pytest.raises(ValueError, match="block"):
+        V.rewrite_instructions(V.nest_steps(steps, "e", "i", ["language_instruction"], block=10), pool, 1, key="e")
+    out, _ = V.rewrite_instructions(V.nest_steps(steps, "e", "i", ["language_instruction"]), pool, 1, key="e")
+    assert {s["language_instruction"] for r in out.collect() for s in r["steps"]} == {"walk"}
+
+
+def test_long_form_reports_episodes_without_an_instruction(spark):
+    steps = spark.createDataFrame([(1, 0, None), (1, 1, "go"), (2, 0, "go"), (2, 1, None)], "episode_id INT, step_idx INT, language_instruction STRING")
+    pool = V.merge_pool(spark.createDataFrame([("go", "one", 0, "walk")], "instruction STRING, scope STRING, pos INT, variant STRING"))
+    out, bad = V.rewrite_long(steps, pool, 1)
+    assert sorted((r["episode_id"], r["step_idx"], r["new_instruction"]) for r in out.collect()) == [(2, 0, "walk"), (2, 1, "walk")]
+    assert [tuple(r) for r in bad.collect()] == [(1, "unreadable_instruction")]

@@ -34,9 +34,11 @@ def first_instruction(
     )
 
 
-def first_instruction_long(steps: DataFrame, key: str, order: str, text: str) -> DataFrame:
+def first_instruction_long(steps: DataFrame, key: str, order: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The same from one row per step; each task keeps one candidate per episode."""
-    return steps.groupBy(key).agg(F.min_by(text, order).alias("instruction"))
+    found = steps.groupBy(key).agg(F.min_by(text, order).alias("instruction"))
+    bad = found.where("instruction IS NULL").select(key, F.lit("unreadable_instruction").alias("reason"))
+    return found.where("instruction IS NOT NULL"), bad
 
 
 def episodes_per_instruction(
@@ -198,6 +200,8 @@ def rewrite_instructions(
     orders them: the first of them has the episode's instruction, one draw is made on a
     narrow row per episode and joined back to all of its rows.
     """
+    if block is None and "block" in episodes.columns:
+        raise ValueError("an episode is several rows here: name their order, block='block'")
     if block is not None:
         return _rewrite_blocks(episodes, pool, seed, epoch, key, limit, block)
     instructions = F.col("steps.language_instruction")
@@ -238,26 +242,22 @@ def rewrite_long(
     text: str = "language_instruction",
     epoch=None,
     limit: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """The rewrite for one row per step.
+) -> tuple[DataFrame, DataFrame]:
+    """The rewrite for one row per step, and (key, reason) of episodes without an instruction.
 
     The draw is made on (key, instruction) pairs, one narrow row per episode; the join
     back to the steps is the only exchange of wide rows and splits a hot episode.
     """
-    firsts = first_instruction_long(steps, key, order, text)
+    firsts, bad = first_instruction_long(steps, key, order, text)
     drawn = draw_variant(firsts, pool, seed, _draw_keys(key, epoch), limit=limit)
-    return (
-        steps.join(drawn.select(key, "new_instruction"), key, "left")
-        .withColumn("new_instruction", F.coalesce("new_instruction", text))
-    )
+    return steps.join(drawn.select(key, "new_instruction"), key), bad
 
 
-def nest_steps(steps: DataFrame, key: str, order: str, fields: list[str], block: int | None = 1024) -> DataFrame:
-    """(key, block, steps): at most ``block`` steps to a row, in order.
+def nest_steps(steps: DataFrame, key: str, order: str, fields: list[str], block: int | None = None) -> DataFrame:
+    """(key, steps): an episode is one row, as recorded episodes and shards have it.
 
-    ``order`` counts the steps of an episode from 1. Rows of one episode belong together:
-    :func:`rewrite_instructions` must be told of ``block``. With None an episode is one row,
-    as recorded episodes and shards have it, and (key, steps) is the result.
+    With ``block``, (key, block, steps): at most that many steps to a row, in order; ``order``
+    then counts the steps of an episode from 1, and :func:`rewrite_instructions` must be told.
     """
     if block is None:
         return steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("steps"))

@@ -162,7 +162,7 @@ def rewrite_instructions(spark, sf_dir):
 def rewrite_nested(spark, sf_dir):
     """The same on nested episodes in blocks of steps, with one draw per episode."""
     steps = numbered_steps(spark, sf_dir).withColumn("old_text", F.col("language_instruction"))
-    nested = nest_steps(steps, "episode_id", "step_idx", ["language_instruction", "old_text"])
+    nested = nest_steps(steps, "episode_id", "step_idx", ["language_instruction", "old_text"], block=1024)
     out, _ = rewrite_episodes(nested, merge_pool(derived_variants(spark, sf_dir)), SEED, block="block")
     return out.select("episode_id", F.explode("steps").alias("s")).select(
         "episode_id", "s.step_idx", "s.old_text", F.col("s.language_instruction").alias("new_text")
@@ -192,7 +192,7 @@ def rewrite_steps(spark, sf_dir):
         F.struct(F.lit("all").alias("scope"), F.lit(0).alias("pos"), F.concat(F.lit("please "), "instruction").alias("variant")),
     )
     pool = merge_pool(words.select("instruction", F.inline(texts)))
-    return rewrite_long(steps, pool, SEED)
+    return rewrite_long(steps, pool, SEED)[0]
 
 
 _PART_EPISODES = "(SELECT p_partkey AS episode_id, p_name AS instruction FROM part)"
@@ -235,7 +235,19 @@ def variant_draw_epoch(spark, sf_dir):
     """SELECT conv_id, arg_min(text, turn) AS instruction FROM conversations GROUP BY conv_id"""
 )
 def first_instruction_steps(spark, sf_dir):
-    return first_instruction_long(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return first_instruction_long(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")[0]
+
+
+@query(
+    """WITH f AS (SELECT conv_id, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'unreadable_instruction' AS reason FROM f WHERE length(first) % 2 = 0"""
+)
+def first_instruction_steps_quarantine(spark, sf_dir):
+    """Texts of even length get a stray byte and can't be decoded; a first one takes its episode out."""
+    raw = F.encode("text", "UTF-8")
+    text = decode_text(F.when(F.length("text") % 2 == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw))
+    steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    return first_instruction_long(steps, "conv_id", "turn", "text")[1]
 
 
 def _nested_turns(spark, sf_dir) -> DataFrame:

@@ -18,8 +18,8 @@ from varlake.operators.ledger import enrich_stored, read_outputs
 from varlake.operators.lookups import render_prompts
 from varlake.functions.hashing import SHUFFLE_KEY_BITS, shuffle_key
 from varlake.operators.segments import with_hash_ordinal, with_ordinal
-from varlake.operators.variants import merge_pool, nest_steps
-from varlake.plans.episodes import STEPS_SQL, derived_variants, numbered_steps, VARIANTS_SQL
+from varlake.operators.variants import episodes_per_instruction, first_instruction, merge_pool, nest_steps, rewrite_instructions
+from varlake.plans.episodes import POOL_SQL, SEED, STEPS_SQL, VARIANTS_SQL, _drawn_sql, derived_variants, numbered_steps
 from varlake.plans.registry import query, table
 from varlake.plans.rollouts import EPISODES_SQL, rollout_events
 from varlake.plans.tables import _KEYED_SQL, _STUB_SCHEMA, _STUB_SQL, _base, _changes, _stub
@@ -278,6 +278,40 @@ def episodes_parquet(spark, sf_dir):
     return _flat(read_episodes(spark, path))
 
 
+@query(
+    "WITH" + STEPS_SQL + "," + POOL_SQL + """,
+firsts AS (SELECT episode_id, arg_min(language_instruction, step_idx) AS instruction FROM steps GROUP BY episode_id),"""
+    + _drawn_sql(f"'{SEED}:' || e.episode_id", "firsts")
+    + """
+SELECT s.episode_id, step_idx - 1 AS step_idx, d.new_instruction AS language_instruction, step_idx = 1 AS is_first, quantity,
+       price::FLOAT::DOUBLE AS price, discount::FLOAT::DOUBLE AS discount, tax::FLOAT::DOUBLE AS tax,
+       s.episode_id || '/' || step_idx AS image FROM steps s JOIN drawn d USING (episode_id)"""
+)
+def rewrite_stored(spark, sf_dir):
+    """The main job end to end: stored episodes with all features, rewritten, stored, and read again."""
+    path, out = scratch_path(spark, "episodes"), scratch_path(spark, "rewritten")
+    _nested_episodes(spark, sf_dir).write.parquet(path)
+    good, _ = rewrite_instructions(read_episodes(spark, path), merge_pool(derived_variants(spark, sf_dir)), SEED)
+    good.write.parquet(out)
+    return _flat(read_episodes(spark, out))
+
+
+@query(
+    """WITH i AS (
+  SELECT p_name AS instruction, p_partkey AS key, min(p_partkey) OVER (PARTITION BY p_name) AS first_ord,
+         row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS pos
+  FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem))
+SELECT instruction, dense_rank() OVER (ORDER BY first_ord) - 1 AS ord, pos, key FROM i"""
+)
+def index_roundtrip(spark, sf_dir):
+    """Extract, group, export as JSON, and read back: instructions and the episodes that have them."""
+    path, out = scratch_path(spark, "episodes"), scratch_path(spark, "index")
+    _nested_episodes(spark, sf_dir).write.parquet(path)
+    good, _ = first_instruction(read_episodes(spark, path))
+    S.write_index(episodes_per_instruction(good, "episode_id", "episode_id"), out)
+    return S.read_index(spark, out).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query(_FLAT_SQL)
 def shard_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "shards")

@@ -120,6 +120,28 @@ def assistant_parts(spark, sf_dir):
     return rows.withColumn("width", F.try_element_at("bbox", F.lit(3))).drop("bbox")
 
 
+@query(
+    _TURNS_SQL
+    + _numbered(
+        "SELECT conv_id, turn, i, 0 AS k, 'text' AS type, x AS text, NULL::DOUBLE AS place, NULL AS label FROM p WHERE x <> '' "
+        "UNION ALL SELECT conv_id, turn, i, 1, 'point', NULL, length(x)::DOUBLE, x FROM w",
+        "type, text, place, label",
+    )
+)
+def assistant_points(spark, sf_dir):
+    """Texts with located points."""
+    sources = F.transform("words", lambda w: F.struct(F.array(F.lit(0.0), F.length(w).cast("double")).alias("point"), w.alias("label")))
+    message = C.assistant_message("prompts", sources, "point")
+    rows = _parts(_turns(spark, sf_dir), message, "type", "text", "point", "label")
+    return rows.withColumn("place", F.try_element_at("point", F.lit(2))).drop("point")
+
+
+@query("SELECT conv_id, turn, 1::BIGINT AS part, 'text' AS type, text || chr(10) AS text FROM conversations")
+def system_parts(spark, sf_dir):
+    """System messages whose content is a list of one part."""
+    return _parts(table(spark, sf_dir, "conversations"), C.system_message("text", style="parts"), "type", "text")
+
+
 @query(
     _TURNS_SQL
     + """SELECT conv_id, turn, k::BIGINT AS part, type, text FROM (

@@ -135,8 +135,8 @@ def first_trials(spark, sf_dir):
 # --- logs and reports --------------------------------------------------------------------
 
 
-def _blocks(spark, sf_dir) -> DataFrame:
-    progress = R.running_success(rollout_events(spark, sf_dir), order="event_id")
+def _blocks(spark, sf_dir, rollouts: DataFrame | None = None) -> DataFrame:
+    progress = R.running_success(rollout_events(spark, sf_dir) if rollouts is None else rollouts, order="event_id")
     return R.report_blocks(progress.withColumn("episode_in_run", F.col("episodes_so_far")))
 
 
@@ -173,6 +173,21 @@ def log_parse(spark, sf_dir):
     return R.parse_eval_logs(read_eval_logs(spark, path)).drop("exception")
 
 
+@query(
+    """WITH e AS (
+  SELECT ['one', 'two', 'all'][(user_id % 3 + 1)::INT] AS scope, 'shop' AS suite, event_type = 'purchase' AS success FROM events)
+SELECT suite, scope, count(*) AS num_episodes, sum(success::INT)::BIGINT AS num_successes,
+  sum(success::INT)::DOUBLE / count(*) AS success_rate, grouping(suite, scope)::INT AS level FROM e GROUP BY CUBE (suite, scope)"""
+)
+def log_to_cube(spark, sf_dir):
+    """Logs of runs of three scopes, written, parsed, and compared by scope and suite."""
+    scope = F.element_at(F.array(F.lit("one"), F.lit("two"), F.lit("all")), (F.substring_index("task_name", "_", -1).cast("int") % 3 + 1))
+    run = F.replace(F.col("run_id"), F.lit("-one-"), F.concat(F.lit("-"), scope, F.lit("-")))
+    path = scratch_path(spark, "logs")
+    write_report(_blocks(spark, sf_dir, rollout_events(spark, sf_dir).withColumn("run_id", run)), path)
+    return R.compare_scopes(R.parse_eval_logs(read_eval_logs(spark, path)))
+
+
 @query(
     _LOG_SQL + """, lines AS (
   SELECT run_id, task_text, task_episode::INT AS episode_in_task,

@@ -83,7 +83,7 @@ def outputs_union(spark, sf_dir):
 
 @query("SELECT conv_id, arg_min(role, turn) AS instruction FROM conversations GROUP BY conv_id")
 def first_step(spark, sf_dir):
-    return first_instruction_long(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+    return first_instruction_long(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")[0]
 
 
 # --- ordinals ---------------------------------------------------------------------------------

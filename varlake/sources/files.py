@@ -122,6 +122,33 @@ def _json_text(value: Column) -> Column:
     return F.substring(in_list, F.lit(2), F.length(in_list) - 2)
 
 
+def _list_pieces(first: Column, key: Column, pos: Column, item: Column) -> Column:
+    """A row's piece of a JSON object of lists: ``first`` opens the object, place 0 a key's list."""
+    head = F.concat(F.when(first, F.lit("{")).otherwise(F.lit("],")), _json_text(key), F.lit(": ["))
+    return F.concat(F.when(pos == 0, head).otherwise(F.lit(",")), _json_text(item))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """An inverted index as one JSON object, ``{instruction: [key, ..]}``, by first appearance.
+
+    ``index`` is the result of :func:`varlake.operators.variants.episodes_per_instruction`; it is
+    written piece by piece in order, so no list is ever built.
+    """
+    names = with_ordinal(index.select("instruction", "first_ord").distinct(), "first_ord", "__o", ties=("instruction",))
+    numbered = index.join(broadcast_checked(names.select("instruction", (F.col("__o") - 1).alias("ord"))), "instruction")
+    pos = F.col("pos") - 1
+    piece = _list_pieces(F.col("ord") == 0, F.col("instruction"), pos, F.col("key"))
+    rows = numbered.select(F.lit(0).alias("first"), "ord", pos.alias("pos"), piece.alias("value"))
+    ends = rows.groupBy("first").agg((F.max("ord") + 1).alias("ord")).select("first", "ord", F.lit(0).cast("bigint").alias("pos"), F.lit("]}").alias("value"))
+    _write_pieces(rows.unionByName(ends), path, "first", "ord", "pos")
+
+
+def read_index(spark: SparkSession, path: str, kind: str = "BIGINT") -> DataFrame:
+    """(instruction, ord, pos, key) of an exported index, places from 0."""
+    lists = read_json_map(spark, path, f"ARRAY<{kind}>")
+    return lists.select(F.col("key").alias("instruction"), F.col("pos").alias("ord"), F.posexplode("value").alias("pos", "key"))
+
+
 def write_variants(variants: DataFrame, path: str) -> None:
     """``{scope}_{suite}.json`` folders below ``path``, for :func:`read_variants` to find.
 
@@ -130,9 +157,7 @@ def write_variants(variants: DataFrame, path: str) -> None:
     order, and no list is ever built.
     """
     name = F.concat(F.col("scope"), F.lit("_"), F.col("suite"), F.lit(".json")).alias("file")
-    opens = F.when(F.col("ord") == 0, F.lit("{")).otherwise(F.lit("],"))
-    head = F.concat(opens, _json_text(F.col("instruction")), F.lit(": ["))
-    piece = F.concat(F.when(F.col("pos") == 0, head).otherwise(F.lit(",")), _json_text(F.col("variant")))
+    piece = _list_pieces(F.col("ord") == 0, F.col("instruction"), F.col("pos"), F.col("variant"))
     at = [F.col("ord").cast("bigint").alias("ord"), F.col("pos").cast("bigint").alias("pos")]
     rows = variants.select(name, *at, piece.alias("value"))
     ends = rows.groupBy("file").agg((F.max("ord") + 1).alias("ord")).select("file", "ord", F.lit(0).cast("bigint").alias("pos"), F.lit("]}").alias("value"))
