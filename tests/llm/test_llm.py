@@ -283,6 +283,30 @@ def test_warc_round_trip(spark):
     assert got[2].record_type == got[3].record_type == got[None].record_type == "response"
 
 
+def test_warc_keeps_every_payload_of_a_key(spark):
+    """A key's rows are responses or revisits each by its own payload."""
+    rows = [(2, "a", "same"), (5, "b", "same"), (5, "c", "UNIQUE payload"), (5, "d", "UNIQUE payload"), (None, "e", "x"), (None, "f", "y")]
+    target = scratch_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), target)
+    got = sorted(((r.key or 0, r.uri, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, target).collect()), key=repr)
+    assert got == sorted([
+        (0, "e", "response", None, b"x"), (0, "f", "response", None, b"y"), (2, "a", "response", None, b"same"),
+        (5, "b", "revisit", 2, None), (5, "c", "response", None, b"UNIQUE payload"), (5, "d", "response", None, b"UNIQUE payload"),
+    ], key=repr)
+
+
+def test_warc_is_deterministic(spark):
+    """Written twice, from other partitions and with other jobs in between: the same files."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("page_id"), F.concat(F.lit("http://h/"), F.col("id")).alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    made = []
+    for parts in (3, 11):
+        target = scratch_path(spark, "warc")
+        made.append(sorted(map(tuple, warc.write_warc(df.repartition(parts), target, file_bytes=20_000).collect())))
+    assert made[0] == made[1] and len(made[0]) > 40
+    empty = warc.write_warc(df.limit(0), scratch_path(spark, "warc"))
+    assert empty.count() == 0
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.concat(F.lit("h"), F.col("id")).alias("key"))
     listed = universe.where("hash(key) % 7 = 0").unionByName(spark.createDataFrame([("elsewhere",), (None,)], "key string"))

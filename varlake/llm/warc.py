@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by key and rolled into files by compressed size. The html moves once: the
-rows that name a duplicate's first record travel in the same range sort, next to their page.
+Records are sorted by key and rolled into files by compressed size. Ranges are cut at exact
+running sizes, so that files don't depend on how Spark deals the rows out. The html moves once:
+the rows that name a duplicate's first record travel with it, next to their page.
 Headers and digests are made anew from the payload; ids and dates follow from the content, so
 the same input gives the same bytes. A task writes under names of its own attempt; the manifest
 lists the files of the attempts that succeeded, and only these are renamed into place, by tasks,
@@ -17,12 +18,12 @@ import io
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varlake.llm.store import stored
@@ -110,51 +111,95 @@ class _Roller:
 
 
 def first_records(keyed: DataFrame, least: int) -> DataFrame:
-    """(key, refers_to) of every record that repeats an earlier one's payload.
+    """(key, digest, refers_to) of every payload that an earlier key has too.
 
     ``keyed`` is (key, digest, size); digests are counted with partial sums before the join.
     """
     big = keyed.where(F.col("size") >= least)
     firsts = big.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return big.join(firsts, "digest").where("key > first").select("key", F.col("first").alias("refers_to")).distinct()
+    return big.join(firsts, "digest").where("key > first").select("key", "digest", F.col("first").alias("refers_to")).distinct()
 
 
-def write_warc(pages: DataFrame, target: str, key_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
+def _cuts(narrow: DataFrame, shard_bytes: int) -> list[tuple]:
+    """First (key, digest) of every shard but the first, by the exact running size of the payloads.
+
+    The sort that adds the sizes up may be cut anywhere; sums, and so the cuts, are the same.
+    """
+    laid = narrow.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest")
+    laid = stored(laid.withColumn("at", F.monotonically_increasing_id()), "warc-order").withColumn("part", F.shiftright("at", 33))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy("part").agg(F.sum("size").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = laid.withColumn("upto", F.sum("size").over(upto)).join(parts, "part")
+    shard = F.floor((F.col("before") + F.col("upto") - F.col("size")) / shard_bytes)
+    firsts = ends.groupBy(shard.alias("shard")).agg(F.min(F.struct("key", "digest")).alias("first")).where("shard > 0")
+    return sorted(_place(r["first"]["key"], r["first"]["digest"]) for r in firsts.collect())
+
+
+def _place(key: int | None, digest: str) -> tuple:
+    """Sorts as the records do: null keys first, then keys, then digests."""
+    return key is not None, key or 0, digest
+
+
+def write_warc(pages: DataFrame, target: str, key_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, file_bytes: int = 64 << 20, shards: int = 64) -> DataFrame:
     """Write a record per row under ``target`` and return the manifest.
 
     The payload is the text in UTF-8 (null: empty). Of records with equal payloads of at least
     ``least`` bytes the one of smallest key is a response and the others revisit it; smaller ones
     are all responses. Keys are integers; rows of a null key come first and are responses, a null
-    uri is empty, and rows that repeat a key are written each. ``target`` must be
-    new and reachable from every executor by a file system that Arrow knows. Manifest: (name,
-    records, bytes, sha256), also stored as ``manifest`` and, last, ``_SUCCESS``.
+    uri is empty, and rows that repeat a key are written each, by its own payload a response or a
+    revisit. Records are in the order of key, payload digest, uri. ``target`` must be new and
+    reachable from every executor by a file system that Arrow knows. Manifest: (name, records,
+    bytes, sha256), also stored as ``manifest`` and, last, ``_SUCCESS``.
+
+    The same rows give the same files, however they are dealt out: shards are cut where the
+    payloads in order come to a ``shards``-th of all bytes, or eight times ``file_bytes`` if that
+    is less, and a shard's files roll at ``file_bytes``. The driver holds a key and digest per shard.
     """
     spark = pages.sparkSession
     ship_package(spark)
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(uri_col).cast("string"), F.lit("")).alias("uri"), text.alias("payload"))
-    repeats = first_records(rows.select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")), least)
-    notes = repeats.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    whole = rows.select("key", F.lit(1).alias("kind"), "uri", "payload", F.lit(None).cast("long").alias("refers_to"))
-    # A key's note must meet its rows in one task: the range is over the key alone.
-    ranged = whole.unionByName(notes).repartitionByRange("key").sortWithinPartitions("key", "kind", "uri", "payload")
+    narrow = stored(rows.select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size")), "warc-digests")
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    cuts = _cuts(narrow, max(1, min(8 * file_bytes, -(-total // shards))))
+    repeats = first_records(narrow, least)
+    blank = F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload")
+    notes = repeats.select("key", "digest", F.lit(0).alias("kind"), *blank, "refers_to")
+    whole = rows.select("key", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), "uri", "payload", F.lit(None).cast("long").alias("refers_to"))
+    both = whole.unionByName(notes)
+
+    def deal(batches):
+        for batch in batches:
+            keys, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            shard = [bisect_right(cuts, _place(k, d)) for k, d in zip(keys, digests, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], ["shard", *batch.schema.names])
+
+    dealt = both.mapInArrow(deal, "shard long, key long, digest string, kind int, uri string, payload binary, refers_to long")
+    laid = dealt.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "uri")
 
     def write(batches):
-        shard = TaskContext.get().partitionId()
-        roller = _Roller(target, shard, uuid.uuid4().hex, file_bytes)
-        noted, refers = None, None
+        attempt = uuid.uuid4().hex
+        roller, done, noted, refers = None, [], None, None
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for key, kind, uri, payload, to in zip(*cols, strict=True):
+            for shard, key, digest, kind, uri, payload, to in zip(*cols, strict=True):
                 if kind == 0:
-                    noted, refers = key, to
-                else:
-                    roller.write(record("" if key is None else str(key), uri, payload, str(refers) if key is not None and key == noted else None))
-        roller.close()
-        if roller.done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*roller.done, strict=True)], ["temp", "name", "records", "bytes", "sha256"])
-
-    written = stored(ranged.mapInArrow(write, "temp string, name string, records long, bytes long, sha256 string"), "warc-manifest")
+                    noted, refers = (key, digest), to
+                    continue
+                if roller is None or roller.shard != shard:
+                    if roller is not None:
+                        roller.close()
+                        done += roller.done
+                    roller = _Roller(target, shard, attempt, file_bytes)
+                roller.write(record("" if key is None else str(key), uri, payload, str(refers) if (key, digest) == noted else None))
+        if roller is not None:
+            roller.close()
+            done += roller.done
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["temp", "name", "records", "bytes", "sha256"])
+
+    written = stored(laid.mapInArrow(write, "temp string, name string, records long, bytes long, sha256 string"), "warc-manifest")
 
     def rename(batches):
         fs, root = _open(target)
