@@ -1,8 +1,9 @@
 """Language identification, words first.
 
 A word of the training sample is scored by its log frequency in each language. A word that the
-sample lacks is scored by its longest character n-grams (runs of UTF-8 bytes, word ends
-marked) that the sample has, from six bytes down to one. A text's score is the sum over its words.
+sample lacks is scored by its longest character n-grams (runs of code points, word ends
+marked) that the sample has, from six down to one. A text's score is the sum over its words.
+Words and grams are counted by Spark; the driver sees the pruned tables alone.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from varlake.llm import words as W
+from varlake.llm.store import map_batches_arrow, stored
 from varlake.session import ship_package
 
 GRAMS = (6, 5, 4, 3, 2, 1)
@@ -27,24 +29,27 @@ class Model:
     """Sorted hashes and their log frequencies by language, for words and for each gram length."""
 
     langs: list[str]
-    tables: dict[int, tuple[np.ndarray, np.ndarray]]  # 0: words; n: grams of n bytes
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]  # 0: words; n: grams of n code points
 
 
-def _grams(buf: np.ndarray, owner: np.ndarray, n: int):
-    """Hash and owner of every run of n bytes that stays within one word and its end marks."""
-    values = W._VALUES[buf]
-    h = np.zeros(max(len(buf) - n + 1, 0), np.uint64)
+def _grams(points: np.ndarray, owner: np.ndarray, n: int):
+    """Hash and owner of every run of n code points that stays within one word and its end marks."""
+    values = W.mix((points.astype(np.uint64) + np.uint64(1)) * np.uint64(W._BASE))
+    h = np.zeros(max(len(points) - n + 1, 0), np.uint64)
     for i in range(n):
         h = (h + values[i : i + len(h)]) * np.uint64(W._BASE)
     own = owner[: len(h)]
     same = own == owner[n - 1 :][: len(h)]
+    if n == 1:  # a mark alone says nothing
+        same &= points[: len(h)] != 32
     return W.mix(h[same] + np.uint64(n)), own[same]
 
 
 def _marked(words: list[bytes]):
-    """Words with a blank at either end in one buffer, and the word of each byte."""
-    buf = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8)
-    return buf, np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    """Code points of words with a blank at either end, and the word of each code point."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), "<u4")
+    return points, np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
 
 
 def _tokens(texts: list[bytes | None]):
@@ -63,56 +68,105 @@ def _spell(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def _table(keys: np.ndarray, langs: np.ndarray, weights: np.ndarray, n_langs: int, least: float):
-    """Log frequencies with half a count added, of keys that weigh ``least`` or more in all."""
+def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int) -> tuple[list[str], DataFrame]:
+    """The languages in order, and (lang, text) of the texts to learn from, ``lang`` as a place."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    langs = sorted(counts)
+    place = F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col(lang_col)).cast("int") - 1
+    rate = F.get(F.array(*[F.lit(min(1.0, 2 * per_language / counts[x])) for x in langs]).cast("array<double>"), place)
+    order = F.xxhash64(F.col(text_col), F.col(id_col))
+    drawn = known.where(F.pmod(order, F.lit(1_000_000)) < rate * 1_000_000)
+    drawn = drawn.select(place.alias("lang"), order.alias("o"), F.col(text_col).cast("string").alias("text"))
+    drawn = stored(drawn.dropDuplicates(["lang", "o"]), "sample")
+    # Ranked without the texts, which may be long.
+    ranked = drawn.select("lang", "o").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o")))
+    return langs, drawn.join(ranked.where(F.col("k") <= per_language), ["lang", "o"], "left_semi").select("lang", "text")
+
+
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, key, word, c): occurrences of each word in each language, added up within a batch first."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang = batch.column(0).to_numpy()
+        texts = W.texts_of(batch.column(1))
+        out: list[tuple] = []
+        for a, b in W.groups([len(t) for t in texts]):
+            buf, h, owner, start, end = _tokens(texts[a:b])
+            own = lang[a:b][owner]
+            for k in np.unique(own).tolist():
+                of = np.flatnonzero(own == k)
+                keys, first, c = np.unique(h[of], return_index=True, return_counts=True)
+                out.append((np.full(len(keys), k, np.int32), W.signed(keys), _spell(buf, start[of[first]], end[of[first]]), c.astype(np.int64)))
+        cols = list(zip(*out, strict=True)) if out else [[np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [[]], [np.zeros(0, np.int64)]]
+        words = pa.array([w for part in cols[2] for w in part], pa.binary())
+        flat = [pa.array(np.concatenate(cols[i])) for i in (0, 1, 3)]
+        return pa.RecordBatch.from_arrays([flat[0], flat[1], words, flat[2]], ["lang", "key", "word", "c"])
+
+    made = map_batches_arrow(sample, count, "lang int, key long, word binary, c long")
+    return made.groupBy("lang", "key", "word").agg(F.sum("c").alias("c"))
+
+
+def _gram_counts(words: DataFrame) -> DataFrame:
+    """(n, lang, key, c): grams over the distinct words of a language, as unseen words are rare ones."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang = batch.column(0).to_numpy()
+        points, owner = _marked(batch.column(1).to_pylist())
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for k in np.unique(lang).tolist():
+            of = np.flatnonzero(lang[owner] == k)
+            for n in GRAMS:
+                keys, c = np.unique(_grams(points[of], owner[of], n)[0], return_counts=True)
+                for col, x in zip(cols, (np.full(len(keys), n, np.int32), np.full(len(keys), k, np.int32), W.signed(keys), c.astype(np.int64)), strict=True):
+                    col.append(x)
+        kinds = (np.int32, np.int32, np.int64, np.int64)
+        flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["n", "lang", "key", "c"])
+
+    made = map_batches_arrow(words.select("lang", "word"), count, "n int, lang int, key long, c long", most=W.SLICE)
+    return made.groupBy("n", "lang", "key").agg(F.sum("c").alias("c"))
+
+
+def _table(cells: pa.Table, n_langs: int):
+    """Sorted keys and their log frequencies with half a count added, from (lang, key, c)."""
+    keys = cells.column("key").to_numpy().view(np.uint64)
     found, back = np.unique(keys, return_inverse=True)
     counts = np.zeros((len(found), n_langs))
-    np.add.at(counts, (back, langs), weights)
-    keep = counts.sum(1) >= least
-    found, counts = found[keep], counts[keep]
+    counts[back, cells.column("lang").to_numpy()] = cells.column("c").to_numpy()
     logs = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * (len(found) + 1))
     return found, logs.astype(np.float32)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 500, chars: int = 2000) -> Model:
-    """A model of at most ``per_language`` labelled texts per language, the first by a hash of
-    text and id; of each, the words of a window of ``chars`` characters that starts at a place
-    drawn by the same hash. The bound keeps the model and the fit small at any corpus size.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, cells: int = 2_000_000) -> Model:
+    """A model of at most ``per_language`` labelled texts per language, whole, the first by a
+    hash of text and id; rows alike in both count once.
+
+    Words of three occurrences in all and grams of two distinct words are kept. A table holds at
+    most ``cells`` keys times languages: where there are more, its rarest keys go, all those of one
+    frequency together, so the model stays small at any corpus size. Null texts and null labels
+    teach nothing, and without a label the model knows no language.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = F.xxhash64(F.col(text_col), F.col(id_col))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
-    langs = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, 2 * per_language / r["count"]) for r in counts}
+    langs, sample = _sample(docs, text_col, lang_col, id_col, per_language)
     if not langs:
         return Model([], {})
-    rate = F.lit(0.0)
-    for name, r in share.items():
-        rate = F.when(F.col(lang_col) == name, F.lit(r)).otherwise(rate)
-    drawn = known.where(F.pmod(order, F.lit(1_000_000)) < rate * 1_000_000)
-    begin = F.pmod(F.xxhash64(order), F.greatest(F.length(text_col) - chars, F.lit(0)) + 1).cast("int") + 1
-    drawn = drawn.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), begin, F.lit(chars)).alias("text"), order.alias("o"))
-    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("k") <= per_language)
-    place = {name: i for i, name in enumerate(langs)}
-    keys: list[np.ndarray] = []
-    lang_of: list[np.ndarray] = []
-    spelled: dict[int, bytes] = {}
-    for chunk in ranked.select("lang", "text").toLocalIterator():
-        buf, h, _, start, end = _tokens([chunk["text"].encode()])
-        keys.append(h)
-        lang_of.append(np.full(len(h), place[chunk["lang"]]))
-        for key, a, b in zip(h.tolist(), start.tolist(), end.tolist(), strict=True):
-            if key not in spelled:
-                spelled[key] = buf[a:b].tobytes()
-    all_keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    all_langs = np.concatenate(lang_of) if keys else np.zeros(0, np.int64)
-    tables = {0: _table(all_keys, all_langs, np.ones(len(all_keys)), len(langs), 3)}
-    # Grams are counted over distinct words of a language, as unseen words are rare ones.
-    pairs = np.unique(np.stack([all_keys, all_langs.astype(np.uint64)]), axis=1)
-    buf, owner = _marked([spelled[k] for k in pairs[0].tolist()])
-    for n in GRAMS:
-        g, own = _grams(buf, owner, n)
-        tables[n] = _table(g, pairs[1].astype(np.int64)[own], np.ones(len(g)), len(langs), 2)
+    words = stored(_word_counts(sample), "words")
+    both = words.select(F.lit(0).alias("n"), "lang", "key", "c").unionByName(_gram_counts(words))
+    keys = both.groupBy("n", "key").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by"))
+    keys = stored(keys.where(F.col("total") >= F.when(F.col("n") == 0, 3).otherwise(2)), "frequencies")
+    sizes: dict[int, list[tuple[int, int]]] = {n: [] for n in (0, *GRAMS)}
+    for r in keys.groupBy("n", "total").count().collect():  # as many as frequencies differ
+        sizes[r["n"]].append((r["total"], r["count"]))
+    tables = {}
+    for n, found in sizes.items():
+        least, room = 0, cells // len(langs)
+        for total, count in sorted(found, reverse=True):
+            room -= count
+            if room < 0:
+                least = total + 1
+                break
+        kept = keys.where((F.col("n") == n) & (F.col("total") >= least))
+        tables[n] = _table(kept.select("key", F.explode("by").alias("b")).select("key", "b.lang", "b.c").toArrow(), len(langs))
     return Model(langs, tables)
 
 
