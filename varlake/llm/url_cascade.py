@@ -47,24 +47,39 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out.cast(kind)
 
 
+# Filter words are kept in chunks of this many, 63 bits a word.
+CHUNK = 1024
+
+
 def _bit(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits))
 
 
 def _filter(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row: the words of a Bloom filter in order, 63 bits each."""
+    """One row: the words of a Bloom filter in order, in chunks of ``CHUNK``.
+
+    A row of zero for every word leaves no gap, so words are put in order by sorting alone: first
+    within each chunk, then the chunks.
+    """
     spots = keys.select(F.explode(F.array(*[_bit(F.col("key"), level, i, bits) for i in range(HASHES)])).alias("bit"))
-    cells = spots.select(F.floor(F.col("bit") / 63).cast("int").alias("word"), (F.col("bit") % 63).cast("int").alias("at"))
-    words = cells.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("v"))
-    whole = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("m"))
-    return whole.select(F.transform(F.sequence(F.lit(0), F.lit(bits // 63)), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long"))).alias("words"))
+    cells = spots.select(F.floor(F.col("bit") / 63).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit % 63 AS int))").alias("v"))
+    none = keys.sparkSession.range(bits // 63).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("v"))
+    words = cells.unionByName(none).groupBy("word").agg(F.bit_or("v").alias("v"))
+
+    def in_order(place: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value])
+
+    chunks = words.groupBy(F.floor(F.col("word") / CHUNK).alias("chunk")).agg(in_order("word", "v").alias("v"))
+    return chunks.agg(in_order("chunk", "v").alias("words"))
 
 
 def _hit(words: Column, key: Column, level: int, bits: int) -> Column:
     ok = F.lit(True)
     for i in range(HASHES):
         bit = _bit(key, level, i, bits)
-        ok = ok & (F.call_function("getbit", F.element_at(words, F.floor(bit / 63).cast("int") + 1), (bit % 63).cast("int")) == 1)
+        chunk = F.element_at(words, F.floor(bit / (63 * CHUNK)).cast("int") + 1)
+        word = F.element_at(chunk, F.floor(bit % (63 * CHUNK) / 63).cast("int") + 1)
+        ok = ok & (F.call_function("getbit", word, (bit % 63).cast("int")) == 1)
     return ok
 
 
@@ -121,10 +136,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], cascade: Cascade,
     replaced.
     """
     rest = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
+    found = "_rule"
+    while found in rest.columns:
+        found += "_"
     out = rest.withColumn("host", host_of(url_col)).withColumn("path", path_of(url_col))
-    out = out.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    out = out.withColumn(found, longest_rule(F.col("host"), F.col("path"), rules))
     listed = F.when(cascade.listed(F.col("host")), "block").otherwise("allow")
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce("_rule.verdict", listed)).drop("_rule")
+    return out.withColumn("rule", F.col(f"{found}.rule")).withColumn("verdict", F.coalesce(f"{found}.verdict", listed)).drop(found)
 
 
 def junk_hosts(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.5, symbols: int = 3) -> DataFrame:
