@@ -22,6 +22,7 @@ from varlake.session import ship_package
 NONE = -(1 << 62)
 BLOCK = 256
 QUERIES = 512
+QUERIES_PER_GROUP = 20_000
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -128,24 +129,34 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarra
     return best
 
 
-def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, rows_per_shard: int = 50_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, rows_per_shard: int = 50_000, queries_per_group: int = QUERIES_PER_GROUP) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` candidates of largest integer product per query.
 
     ``queries`` is a condition on the columns of ``vectors``; every usable row but the query's
     own id is a candidate, and ties go to the smaller id. A null vector, one with null or
     non-finite components and a null id take no part. Vectors of different lengths don't meet.
     A query without candidates has no row; with fewer than ``k`` it has them all. A repeated
-    query row counts once and repeated candidates count each. Scores must lie within 62 bits.
+    query id asks once, with its smallest vector (by components, in order), and repeated
+    candidates count each. Scores must lie within 62 bits.
 
-    Each shard of the collection sees the queries in groups of bounded size, one group of rows
-    at a time, and returns k rows per query.
+    A task searches one shard of the collection, of about ``rows_per_shard`` rows, for one group
+    of about ``QUERIES_PER_GROUP`` queries and returns k rows per query, so its memory doesn't
+    grow with the table.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
-    asked = quantised(vectors.where(queries), id_col, vector_col, scale).dropDuplicates(["id"])
+    asked = quantised(vectors.where(queries), id_col, vector_col, scale).groupBy("id").agg(F.min("w").alias("w"))
     shards = max(1, -(-rows.count() // rows_per_shard))
     ship_package(vectors.sparkSession)
     blocks = _blocks(rows, shards, "blocks", BLOCK)
-    groups = _blocks(asked, 1, "queries", QUERIES).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dims", "ids", "weights")
+    parts = max(1, -(-asked.count() // queries_per_group))
+    groups = _blocks(asked, parts, "queries", QUERIES).withColumnRenamed("shard", "part")
+
+    def repeated(column: str, n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column)
+
+    keys = ["shard", "part", "dims"]
+    left_side = groups.select(repeated("shard", shards), "part", "dims", "ids", "weights").groupBy(*keys)
+    right_side = blocks.select("shard", repeated("part", parts), "dims", "ids", "weights").groupBy(*keys)
 
     def unpack(pdf) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -156,15 +167,15 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
 
     def search(key, left, right):
         data = unpack(right)
-        parts = []
+        made = []
         if data:
             for q_ids, q in unpack(left):
                 best = search_blocks(q_ids, q, data, k)
                 found = best.id != np.iinfo(np.int64).max
-                parts.append(pd.DataFrame({"query_id": np.repeat(q_ids, found.sum(1)), "id": best.id[found], "score": best.score[found]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+                made.append(pd.DataFrame({"query_id": np.repeat(q_ids, found.sum(1)), "id": best.id[found], "score": best.score[found]}))
+        return pd.concat(made) if made else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
 
-    near = groups.groupBy("shard", "dims").cogroup(blocks.groupBy("shard", "dims")).applyInPandas(search, "query_id long, id long, score long")
+    near = left_side.cogroup(right_side).applyInPandas(search, "query_id long, id long, score long")
     best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias(id_col), (-F.col("b.s")).alias("score"))
