@@ -103,19 +103,26 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -
     return settled.where(F.col("id") != F.coalesce("least", "first")).select("id", "mark", "pos")
 
 
-def pack_bitmap(keep: np.ndarray) -> bytes:
-    """zlib over packed bits, one per line; a set bit keeps the line."""
+def pack_bitmap(dropped: np.ndarray) -> bytes:
+    """The keep bitmap that lacks the places ``dropped``: zlib over packed bits, a set bit keeps
+    the line. It ends with the byte of the last place dropped; lines beyond it are kept."""
+    keep = np.ones((int(dropped.max(initial=-1)) // 8 + 1) * 8, bool)
+    keep[dropped] = False
     return zlib.compress(np.packbits(keep).tobytes(), 6)
 
 
 def unpack_bitmap(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=n).astype(bool)
+    """Which of ``n`` lines are kept."""
+    keep = np.ones(n, bool)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8))[:n]
+    keep[: len(bits)] = bits
+    return keep
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """One row per document that loses lines: id, mark, n_dropped, and the bitmap of dropped places.
+    """One row per document that loses lines: id, mark, n_dropped, and the keep bitmap.
 
-    Bit i of ``dropped`` (zlib over packed bits) is line i; places beyond the last bit are kept.
+    Documents without a row keep all their lines. ``unpack_bitmap`` reads a bitmap.
     """
     gone = dropped_lines(docs, id_col, text_col, min_chars)
     ship_package(docs.sparkSession)
@@ -125,30 +132,28 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out, count = [], []
             for places in batch.column(2):
                 at = np.unique(np.asarray(places.values))
-                bits = np.zeros(int(at[-1]) + 1, bool)
-                bits[at] = True
-                out.append(pack_bitmap(bits))
+                out.append(pack_bitmap(at))
                 count.append(len(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(out, pa.binary())], ["id", "mark", "n_dropped", "dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(out, pa.binary())], ["id", "mark", "n_dropped", "keep"])
 
     lists = gone.groupBy("id", "mark").agg(F.collect_list("pos").alias("places"))
-    return lists.mapInArrow(pack, "id long, mark long, n_dropped long, dropped binary")
+    return lists.mapInArrow(pack, "id long, mark long, n_dropped long, keep binary")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """Documents without the lines that a document of smaller id holds.
 
     Keeps every column and sets ``text_col`` to the kept lines joined by a line break; adds
-    ``n_lines`` (before) and ``n_dropped``. Lines end at ``\\n`` only; a null or empty text is one
+    ``n_lines`` (before) and ``n_dropped``, which replace columns of these names. Lines end at ``\\n`` only; a null or empty text is one
     empty line and stays as it is. Lines whose key (ends stripped, ASCII lower-cased) has fewer
     than ``min_chars`` code points always stay, and so do all lines of a null id. Rows that share
     an id are one document: they keep what the other holds.
     """
     ship_package(docs.sparkSession)
     maps = line_bitmaps(docs, id_col, text_col, min_chars)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"))
-    joined = keyed.join(maps, ["id", "mark"], "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "dropped", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    joined = keyed.join(maps, ["id", "mark"], "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "keep", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
     row_type = joined.schema["row"].dataType
 
     def keep(batches):
@@ -161,10 +166,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if bits is None:
                     out.append(text)
                     continue
-                gone = np.zeros(len(parts), bool)
-                have = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8))[: len(parts)]
-                gone[: len(have)] = have
-                out.append(b"\n".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g))
+                stays = unpack_bitmap(bits, len(parts))
+                out.append(b"\n".join(p for p, k in zip(parts, stays.tolist(), strict=True) if k))
             kept = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), kept, pa.array(lines, pa.int64()), batch.column(3)], ["row", "text", "n_lines", "n_dropped"])
 
