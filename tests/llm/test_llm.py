@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from varlake.llm import langid, lm_lattice, quality, queries, suffix_pieces, topk_blocks, url_cascade, warc
+from varlake.llm import langid, line_dedup, lm_lattice, quality, queries, suffix_pieces, topk_blocks, url_cascade, warc
 from varlake.llm.components import components
 from varlake.llm.jaccard import jaccard_join
 from varlake.llm.line_dedup import dedup_lines
@@ -392,3 +392,39 @@ def test_pipeline(spark):
     good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
     assert kept.join(good, "doc_id").count() >= 0.8 * table.join(good, "doc_id").count()
 
+
+
+def test_columns_of_clashing_names(spark, docs):
+    """Counts replace columns of their names, and a helper column takes none of the table's."""
+    clash = docs.withColumn("n_lines", F.lit("x")).withColumn("n_dropped", F.lit(None).cast("int"))
+    got = dedup_lines(clash)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"] and got.dtypes[-2:] == [("n_lines", "bigint"), ("n_dropped", "bigint")]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, dedup_lines(docs).collect()))
+    pages = spark.createDataFrame([(1, "a://x.org/y", "kept", "old")], "page_id long, url string, _rule string, verdict string")
+    cascade = url_cascade.build_cascade(pages.selectExpr("'none' AS key"), pages.select(url_cascade.host_of("url").alias("key")))
+    judged = url_cascade.judge(pages, queries.URL_RULES, cascade).first()
+    assert (judged._rule, judged.rule, judged.verdict) == ("kept", "org/", "allow")
+
+
+def test_keep_bitmaps():
+    for n, dropped in [(1, [0]), (9, [0, 8]), (40, [3]), (17, [15, 16])]:
+        keep = line_dedup.unpack_bitmap(line_dedup.pack_bitmap(np.array(dropped)), n)
+        assert np.flatnonzero(~keep).tolist() == dropped and len(keep) == n
+
+
+def test_cascade_of_many_keys(spark):
+    """A hundred thousand listed keys over several chunks of filter words."""
+    universe = spark.range(200_000).select(F.concat(F.lit("h"), F.col("id")).alias("key"))
+    cascade = url_cascade.build_cascade(universe.where("hash(key) % 2 = 0"), universe)
+    assert universe.where(cascade.listed(F.col("key")) != F.expr("hash(key) % 2 = 0")).count() == 0
+
+
+def test_top_k_in_query_groups(spark):
+    """Groups and shards don't show in the result; a repeated query id asks with its smallest vector."""
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(0, [0.5, -0.25, 0.0, 1.0]), (0, [-2.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    cut = [tuple(map(tuple, topk_blocks.top_k(df, F.col("vec_id") % 5 == 0, rows_per_shard=a, queries_per_group=b).collect())) for a, b in [(70, 9), (50_000, 20_000)]]
+    assert set(cut[0]) == set(cut[1]) and len(cut[0]) == 60 * 5
+    best = sorted((-math.floor(256 * -2.0) * math.floor(256 * v[0]), i) for i, v in rows if i != 0)[:5]
+    assert [(r[2], r[3]) for r in sorted(cut[0]) if r[0] == 0] == [(i, -s) for s, i in best]
