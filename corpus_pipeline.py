@@ -16,6 +16,7 @@ from varlake.llm.jaccard import jaccard_join
 from varlake.llm.line_dedup import dedup_lines
 from varlake.llm.packing import pack
 from varlake.llm.quality import keep_good
+from varlake.llm.store import stored
 from varlake.session import scratch_path
 
 # Rows that a Python worker is handed at a time: a row is a whole text, so fewer than Spark's default.
@@ -52,12 +53,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): that of smallest id.
 
-    Rows that repeat an id stand for one document and stay or go together; rows of null id stay.
+    A document is told by a 64-bit hash of its id and text, so rows of null id and rows that share
+    an id but not the text take part one by one. Null ids come last, ties are settled by the hash.
+    Of rows alike in id and text the one of least hash over all columns stays.
     """
     _bounded(spark)
-    groups = jaccard_join(docs.where("doc_id IS NOT NULL"), shingle=5, num=80, den=100)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    texts = keyed.select("key", F.col("row.text").alias("text"))
+    groups = stored(jaccard_join(texts, id_col="key", shingle=5, num=80, den=100).select("key", "component_id").distinct(), "groups")
+    shared = groups.where("key != component_id").select("component_id").distinct()
+    members = groups.join(shared, "component_id", "left_semi").join(keyed.select("key", "row.doc_id").distinct(), "key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = members.groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = members.join(first, "component_id").where(F.col("key") != F.col("first.key")).select("key").distinct()
+    repeated = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    kept = keyed.join(gone, "key", "left_anti")
+    once = kept.join(repeated, "key", "left_anti").select("row")
+    several = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(several.select("row")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +87,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-# Tokens and learned models are beyond SQL; tests/llm tests the stages and their operators.
+# Tokens and learned models are beyond SQL; tests/llm/test_pipeline.py has a plain version of run().
 ORACLE_SQL = None
 
 
