@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from varlake.llm import words as W
 from varlake.llm.components import components
-from varlake.llm.store import map_batches_arrow, stored
+from varlake.llm.store import map_batches_arrow, released, stored
 
 # Pairs of two longs that a broadcast may hold; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -246,7 +246,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:3], kinds, strict=True)], names)
 
     names, kinds = ["key", "node", "tag"], [pa.int64(), pa.int64(), pa.int32()]
-    return rows.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(stream, "key long, node long, tag int")
+    return rows.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(released(stream), "key long, node long, tag int")
 
 
 def _agreeing(rows: DataFrame, again) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from varlake.llm import words as W
-from varlake.llm.store import map_batches_arrow, stored
+from varlake.llm.store import map_batches_arrow, released, stored
 from varlake.session import ship_package
 
 GRAMS = (6, 5, 4, 3, 2, 1)
@@ -280,4 +280,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             names, scores = predict(shared.value, scorer, W.texts_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], schema.names)
 
-    return rest.mapInArrow(rows, schema)
+    return rest.mapInArrow(released(rows), schema)

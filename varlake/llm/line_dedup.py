@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from varlake.llm import words as W
-from varlake.llm.store import map_batches_arrow, stored
+from varlake.llm.store import map_batches_arrow, released, stored
 from varlake.session import ship_package
 
 
@@ -85,7 +85,7 @@ def _with_first(ranged: DataFrame) -> DataFrame:
                 ["part", "h", "h2", "id", "mark", "pos", "first"],
             )
 
-    return ranged.mapInArrow(stream, "part int, h long, h2 long, id long, mark long, pos long, first long")
+    return ranged.mapInArrow(released(stream), "part int, h long, h2 long, id long, mark long, pos long, first long")
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -137,7 +137,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(out, pa.binary())], ["id", "mark", "n_dropped", "keep"])
 
     lists = gone.groupBy("id", "mark").agg(F.collect_list("pos").alias("places"))
-    return lists.mapInArrow(pack, "id long, mark long, n_dropped long, keep binary")
+    return lists.mapInArrow(released(pack), "id long, mark long, n_dropped long, keep binary")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -172,6 +172,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), kept, pa.array(lines, pa.int64()), batch.column(3)], ["row", "text", "n_lines", "n_dropped"])
 
     schema = StructType().add("row", row_type).add("text", StringType()).add("n_lines", LongType()).add("n_dropped", LongType())
-    done = joined.mapInArrow(keep, schema)
+    done = joined.mapInArrow(released(keep), schema)
     cols = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     return done.select(*cols, "n_lines", "n_dropped")

@@ -10,8 +10,6 @@ their rank among pieces of the same length, numbered without gathering a length
 
 from __future__ import annotations
 
-import ctypes
-import sys
 import zlib
 from bisect import bisect_left, insort
 
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlake.llm import words as W
-from varlake.llm.store import stored
+from varlake.llm.store import give_back, stored
 from varlake.session import ship_package
 
 # Words a worker remembers; beyond it starts anew.
@@ -89,15 +87,6 @@ class WordCodes:
 _coders: dict[str, WordCodes] = {}
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: the worker waits for its next task with its words only."""
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
-
-
 def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     """One row per piece; (part, length, nth) tells pieces of one length apart."""
     ship_package(docs.sparkSession)
@@ -121,7 +110,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-        _give_back()
+        give_back()
 
     return docs.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
@@ -326,7 +315,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def place(batches):
         _coders.clear()  # all texts are encoded: the worker goes on without their words
-        _give_back()
+        give_back()
         for batch in batches:
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varlake.llm import words as W
-from varlake.llm.store import map_batches_arrow, stored
+from varlake.llm.store import map_batches_arrow, released, stored
 from varlake.session import ship_package
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -301,4 +301,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 ok &= s[signal] <= np.array([cutoffs.get((x, signal), math.inf) for x in strata])
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(released(rows), docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,6 +19,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker waiting for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """``run``, a function of batches for ``mapInArrow``, that gives memory back after its last one."""
+
+    def run_and_release(batches):
+        yield from run(batches)
+        give_back()
+
+    return run_and_release
+
+
 def map_batches_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most: int | None = None) -> DataFrame:
     """``mapInArrow`` with a function of one batch; the package is shipped to the workers.
 
@@ -35,4 +56,4 @@ def map_batches_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBat
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
