@@ -233,8 +233,9 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
-def test_lattice_marginal_is_the_sum_over_segmentations():
-    p = lm_lattice.pieces([("▁a", -1.0), ("▁ab", -2.0), ("b", -3.0), ("bc", -4.0), ("c", -5.0), ("▁", -6.0), ("abc", -7.0)])
+@pytest.mark.parametrize("ranks", [False, True])
+def test_lattice_marginal_is_the_sum_over_segmentations(ranks):
+    p = lm_lattice.pieces([("▁a", -1.0), ("▁ab", -2.0), ("b", -3.0), ("bc", -4.0), ("c", -5.0), ("▁", -6.0), ("abc", -7.0)], ranks)
     start = dict(zip(p.start.tolist(), p.start_log, strict=True))
     inner = dict(zip(p.inner.tolist(), p.inner_log, strict=True))
 
@@ -256,7 +257,7 @@ def test_lattice_marginal_is_the_sum_over_segmentations():
 def test_lattice_scores(docs, empty):
     vocabulary = [("▁w", -1.0), ("▁t", -2.0), ("he", -3.0)]
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    got = {r.doc_id: r for r in lm_lattice.lattice_scores(docs, held, vocabulary).collect()}
+    got = {r.doc_id: r for r in lm_lattice.lattice_scores(docs, held, vocabulary, ranks=True).collect()}
     rows = [(r.doc_id, [*_words(r.text), None]) for r in docs.collect()]
     is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     c = collections.Counter(w for i, ws in rows if not is_held(i) for w in ws)
@@ -269,6 +270,34 @@ def test_lattice_scores(docs, empty):
     assert lm_lattice.lattice_scores(empty, held, vocabulary).count() == 0
 
 
+def test_unigram_scores_are_used_as_they_are(spark):
+    """Whole scores against an enumeration of all segmentations under the vocabulary's own scores."""
+    vocabulary = [("▁", -4.0), ("▁ab", -2.5), ("▁a", -3.5), ("b", -3.0), ("a", -3.25), ("ba", -5.0), ("c", -6.0)]
+    table = dict(vocabulary)
+    least = min(table.values()) - lm_lattice.UNKNOWN
+    byte = lambda b: table.get(chr(b), least)
+
+    def inner(word):
+        if not word:
+            return 1.0
+        longer = (math.exp(table[word[:n].decode()]) * inner(word[n:]) for n in range(2, len(word) + 1) if word[:n].isascii() and word[:n].decode() in table)
+        return math.exp(byte(word[0])) * inner(word[1:]) + sum(longer)
+
+    def marginal(word):
+        return sum(math.exp(table["▁" + word[:n].decode()]) * inner(word[n:]) for n in range(len(word) + 1) if word[:n].isascii() and "▁" + word[:n].decode() in table)
+
+    texts = ["ab ba ab", "Abba caba", "é ab", None, "", "ab cab ba baab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_lattice.lattice_scores(docs, F.col("doc_id") >= 4, vocabulary).collect()}
+    words = [[w.lower().encode() for w in (t or "").split()] for t in texts]
+    c = collections.Counter(w for ws in words[:4] for w in ws)
+    tokens, types, ends = c.total() + 4, len(c) + 1, 4
+    for i, ws in enumerate(words):
+        each = [max(c[w] - lm_lattice.DISCOUNT, 0) / tokens + lm_lattice.DISCOUNT * types / tokens * marginal(w) for w in ws]
+        want = sum(map(math.log10, each)) + math.log10((ends - lm_lattice.DISCOUNT) / tokens)
+        assert got[i] == pytest.approx(want)
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a/", "same"), (2, "http://b/", "same"), (9, None, None), (3, "x\r\ny", ""), (None, "http://n/", "same"), (4, "u", "long " * 50_000)]
     target = scratch_path(spark, "warc")

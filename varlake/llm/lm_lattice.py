@@ -2,8 +2,9 @@
 
 A word's probability is that of all its segmentations. An edge of the lattice is a piece of the
 vocabulary (or a single byte, so that every word has a path); a word seen in training is an
-edge of its own, with its discounted count. The vocabulary's scores start the piece weights;
-expected counts over the distinct training words then refine them. Sums run forward in log space.
+edge of its own, with its discounted count. A unigram vocabulary's scores are the weights of its
+pieces, unchanged. A merge vocabulary has ranks instead: these start the weights, and expected
+counts over the distinct training words refine them. Sums run forward in log space.
 As no piece crosses a blank, a text's log probability is the sum over its words and its end, and
 each distinct word of the corpus is scored once.
 
@@ -28,6 +29,7 @@ from varlake.session import ship_package
 
 HEAD_WORDS = 400_000
 DISCOUNT = 0.75
+UNKNOWN = 10.0  # what the log weight of an uncovered byte is below the least piece's
 PRIOR = 1000.0  # pseudo-counts spread over the vocabulary by its own scores
 
 
@@ -55,29 +57,40 @@ class Pieces:
     longest: int
 
 
-def pieces(vocabulary: list[tuple[str, float]]) -> Pieces:
-    """From (piece, score); ``▁`` begins a word and ``<0xNN>`` is a byte. Scores of 0 and below
-    that count down by rank, as merge orders do, become the logarithm of a rank's share."""
-    start: dict[bytes, float] = {b"": 1e-6}
-    inner: dict[bytes, float] = {bytes([b]): 1e-6 for b in range(256)}
+def pieces(vocabulary: list[tuple[str, float]], ranks: bool = False) -> Pieces:
+    """From (piece, score); ``▁`` begins a word and ``<0xNN>`` is a byte.
+
+    A unigram model's scores are log probabilities and weigh the edges as they are: a word ends
+    where the next begins, so it has no stop of its own. A byte that no piece covers weighs
+    ``UNKNOWN`` less than the least piece. With ``ranks``, scores are those of a merge model, which
+    count down by rank: the logarithm of a rank's share takes their place.
+    """
+    start: dict[bytes, float] = {}
+    inner: dict[bytes, float] = {}
     for piece, score in vocabulary:
         if piece.startswith("<") and piece.endswith(">") and len(piece) > 2:
             continue
-        weight = 1 / (2 - score) if score <= 0 else 1.0
         table, text = (start, piece[1:]) if piece.startswith("▁") else (inner, piece)
         if "▁" not in text:
+            weight = score if not ranks else -math.log(2 - score) if score <= 0 else 0.0
             raw = text.encode()
-            table[raw] = table.get(raw, 0.0) + weight
+            table[raw] = np.logaddexp(table.get(raw, -np.inf), weight)
+    floor = math.log(1e-6) if ranks else min([0.0, *start.values(), *inner.values()]) - UNKNOWN
+    for table, bare in ((start, [b""]), (inner, [bytes([b]) for b in range(256)])):
+        for raw in bare:
+            if ranks or raw not in table:
+                table[raw] = np.logaddexp(table.get(raw, -np.inf), floor)
     longest = max(map(len, [*start, *inner]))
 
-    def arrays(table, scale):
+    def arrays(table, share):
         keys = hashes(list(table))
         order = np.argsort(keys)
-        return keys[order], np.log(np.array(list(table.values()))[order] * scale)
+        logs = np.array(list(table.values()))[order]
+        if ranks:
+            logs += math.log(share) - np.logaddexp.reduce(logs)
+        return keys[order], logs
 
-    s, sl = arrays(start, 1 / sum(start.values()))
-    i, il = arrays(inner, 0.7 / sum(inner.values()))
-    return Pieces(s, sl, i, il, math.log(0.3), longest)
+    return Pieces(*arrays(start, 1.0), *arrays(inner, 0.7), math.log(0.3) if ranks else 0.0, longest)
 
 
 def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -251,21 +264,25 @@ def _with_head(docs: DataFrame, head) -> DataFrame:
             nth += len(texts)
             n, k, x, y = (np.concatenate(c) for c in cols[:4])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(row), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(x), pa.array(y), tail],
+                [batch.column(0), batch.column(1), pa.array(row), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(x.astype(np.float64)), pa.array(y.astype(np.float64)), tail],
                 ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "tail"],
             )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(rows, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, tail array<long>")
 
 
-def lattice_scores(docs: DataFrame, held_out, vocabulary: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def lattice_scores(docs: DataFrame, held_out, vocabulary: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text", ranks: bool = False, rounds: int = 2) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``held_out`` is false (null counts as false) and scores all.
     Tokens are the runs of bytes other than ASCII white space, ASCII letters lower-cased, and one
-    end. Scores are log10. ``score`` is a proper model: over all words its probabilities sum to
-    one. A null or empty text is the end alone. Without training rows nothing is known and the
-    vocabulary alone decides. Repeated rows count and are scored each.
+    end. Scores are log10. ``score`` adds the lattice's share to
+    the training words' own; what the vocabulary spells beyond possible words (the empty word, white
+    space, upper case) keeps a part of that share, so over all words it sums to at most one where the
+    vocabulary's scores do. With ``ranks`` the scores are a merge model's, refined by ``rounds`` of
+    expected counts; else they are used unchanged. A null or empty text is the end alone. Without
+    training rows nothing is known and the vocabulary alone decides. Repeated rows count and are
+    scored each.
     """
     held = F.coalesce(held_out, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -274,8 +291,8 @@ def lattice_scores(docs: DataFrame, held_out, vocabulary: list[tuple[str, float]
     found = seen.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = base.where("NOT held_out").count()
     tokens, types = int(found["n"]) + ends, int(found["v"]) + (ends > 0)
-    p = pieces(vocabulary)
-    for _ in range(rounds if types else 0):
+    p = pieces(vocabulary, ranks)
+    for _ in range(rounds if ranks and types else 0):
         p = refined(p, *_expected_uses(seen, p))
     scored = stored(_word_scores(words, p, tokens, types), "scores")
     head = scored.orderBy(F.desc("c"), "h").limit(HEAD_WORDS).toArrow()

@@ -191,7 +191,7 @@ def _public_pieces() -> list[tuple[str, float]]:
 
 @query()
 def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_scores(_table(spark, sf_dir, "documents"), _crc32("doc_id") % 5 == 1, _public_pieces())
+    return lattice_scores(_table(spark, sf_dir, "documents"), _crc32("doc_id") % 5 == 1, _public_pieces(), ranks=True)
 
 
 @query()
