@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
@@ -103,6 +105,41 @@ def test_batches_fail_or_keep(spark):
         X.map_batches(spark.range(1), bad, "id LONG", on_error="keep")
 
 
+@pytest.mark.parametrize("key", ["id", "same", None])
+def test_bounded_calls_read_bounded_parts(spark, monkeypatch, key):
+    def where(row):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        return [{"id": row["id"], "task": task.taskAttemptId(), "place": task.partitionId()}]
+
+    df = spark.range(4000).select("id", F.lit(None).cast("long").alias("same"), F.repeat(F.lit("x"), 100).alias("text"))
+    df = df.unionByName(df)
+    monkeypatch.setattr(X, "TASK_BYTES", 60_000)
+    got = X.map_batches(df, where, "id LONG, task LONG, place INT", key=key, concurrency=2).collect()
+    assert sorted(r["id"] for r in got) == sorted([*range(4000)] * 2)
+    sizes = Counter(r["task"] for r in got)
+    # About 1.1 MB: two tasks at a time, none of which reads much more than its bytes.
+    assert len(sizes) > 8 and max(sizes.values()) <= 2 * 60_000 / 120
+    assert {r["place"] for r in got} <= {0, 1}
+
+
+@pytest.mark.parametrize("key", ["id", None])
+def test_bounded_calls_of_few_large_rows_and_errors(spark, monkeypatch, key):
+    monkeypatch.setattr(X, "TASK_BYTES", 100)
+    df = spark.range(3).select("id", F.create_map(F.lit("a"), F.repeat(F.lit("y"), 900)).alias("m"), F.lit(1).alias("wave"))
+
+    def call(row):
+        if row["id"] == 1:
+            raise ValueError("one")
+        return [{"id": row["id"], "n": len(row["m"]["a"]) + row["wave"]}]
+
+    kept = X.map_batches(df, call, "id LONG, n LONG", key="id", concurrency=2, chunk=1, on_error="keep")
+    assert sorted(tuple(r) for r in kept.collect()) == [(0, 901, None), (1, None, "ValueError: one"), (2, 901, None)]
+    with pytest.raises(Exception, match="one"):
+        X.map_batches(df, call, "id LONG, n LONG", key=key, concurrency=2).collect()
+
+
 def test_rephrase_skips_rows_without_prompt(spark):
     df = L.render_prompts(
         spark.createDataFrame([("open it",)], "instruction STRING"), {"one": "say: {sentence}"}, identity=True

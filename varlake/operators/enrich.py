@@ -18,10 +18,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from varlake.fixed_values import CHUNK_SIZE
 from varlake.functions.jsontext import revision
 from varlake.operators.lookups import fill_template
-from varlake.session import broadcast_checked, cut_lineage, ship_package
+from varlake.session import broadcast_checked, content_bytes, cut_lineage, scratch_path, ship_package
 
 # Rows handed back to the JVM at a time.
 OUTPUT_ROWS = 10_000
+# Bytes of row content that one task of a bounded number is to read.
+TASK_BYTES = 64 * 1024 * 1024
 
 
 def remaining(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -72,7 +74,9 @@ def map_batches(
     """``fn`` on every row, each giving any number of output rows, in retried chunks.
 
     ``concurrency`` bounds the tasks, hence the calls in flight; rows are then spread by
-    ``key`` so that a retried task sees the same rows. With ``on_error='keep'`` a chunk
+    ``key`` so that a retried task sees the same rows. What is measured to be more than
+    ``TASK_BYTES`` for each of these tasks is called at once, job after job (:func:`_in_waves`),
+    so an error that fails the job is raised here. With ``on_error='keep'`` a chunk
     that fails for good gives one row per input with its key and the ``error``; with
     ``'fail'`` it fails the job. Tasks can run twice: make ``fn`` safe to repeat. A row is a
     dict of plain Python values: a LONG stays an int, a null is None, a map is a dict.
@@ -84,8 +88,6 @@ def map_batches(
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if on_error == "keep":
         out = T.StructType([*out.fields, T.StructField("error", T.StringType())])
-    if concurrency:
-        df = df.repartition(concurrency, *([key] if key else []))
     ship_package(df.sparkSession)
     arrow = to_arrow_schema(out)
 
@@ -106,7 +108,30 @@ def map_batches(
                     done = []
             yield pa.RecordBatch.from_pylist(done, arrow)
 
-    return df.mapInArrow(work, out)
+    if not concurrency:
+        return df.mapInArrow(work, out)
+    waves = -(-content_bytes(df) // (TASK_BYTES * concurrency))
+    if waves > 1:
+        return _in_waves(df, work, out, concurrency, waves)
+    return df.repartition(concurrency, *([key] if key else [])).mapInArrow(work, out)
+
+
+def _in_waves(df: DataFrame, work: Callable, out: T.StructType, concurrency: int, waves: int) -> DataFrame:
+    """``work`` on all rows by ``waves`` jobs, one after the other, of ``concurrency`` tasks each.
+
+    The rows are stored first, in parts of equal numbers of rows whatever their keys, so a task
+    reads the same share of any input and a retried one the same rows. Answers are stored too.
+    """
+    spark = df.sparkSession
+    asked, answers = scratch_path(spark, "asked"), scratch_path(spark, "answers")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    dealt = rows.repartition(waves * concurrency).withColumn("wave", F.floor(F.spark_partition_id() / concurrency).cast("int"))
+    dealt.write.partitionBy("wave").parquet(asked)
+    parts = spark.read.schema(dealt.schema).parquet(asked)
+    for wave in range(waves):
+        part = parts.where(F.col("wave") == wave).select("row.*").coalesce(concurrency)
+        part.mapInArrow(work, out).write.parquet(f"{answers}/{wave}")
+    return spark.read.schema(out).parquet(*[f"{answers}/{wave}" for wave in range(waves)])
 
 
 def rephrase(
