@@ -140,6 +140,25 @@ def test_bounded_calls_of_few_large_rows_and_errors(spark, monkeypatch, key):
         X.map_batches(df, call, "id LONG, n LONG", key=key, concurrency=2).collect()
 
 
+def test_rerequests_of_a_large_input_read_bounded_parts(spark, monkeypatch):
+    def client(prompt, rnd):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().taskAttemptId()
+        return f'{{"RAW": "{task}", "REVISED": ["{rnd}"]}}' if rnd > 1 or "!" not in prompt else "no"
+
+    text = F.concat(F.repeat(F.lit("x"), 100), F.when(F.col("id") % 2 == 0, "!").otherwise(""))
+    df = spark.range(4000).select(F.col("id").alias("request_id"), text.alias("prompt"))
+    monkeypatch.setattr(X, "TASK_BYTES", 30_000)
+    good, failed = X.rephrase_until_parsed(df, client, max_rounds=3, concurrency=2)
+    got = good.collect()
+    assert {(r["request_id"], r["revised"][0]) for r in got} == {(i, "2" if i % 2 == 0 else "1") for i in range(4000)}
+    assert len(got) == 4000 and failed.count() == 0
+    for rnd in (1, 2):  # about 520 and 260 kB
+        sizes = Counter(r["raw"] for r in got if r["round"] == rnd)
+        assert len(sizes) > 4 and max(sizes.values()) <= 2 * 30_000 / 120
+
+
 def test_rephrase_skips_rows_without_prompt(spark):
     df = L.render_prompts(
         spark.createDataFrame([("open it",)], "instruction STRING"), {"one": "say: {sentence}"}, identity=True
