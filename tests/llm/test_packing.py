@@ -92,3 +92,47 @@ def test_large_histograms_take_seconds():
         assert time.time() - start < 30
         histogram = _histogram(counts, 2048)
         assert sum(t for _, t in plan) <= sum(t for _, t in best_fit(histogram, 2048))
+
+
+def test_known_words_cost_no_sort(monkeypatch):
+    import public_tokenizers
+
+    from varlake.llm import packing
+
+    coder = packing.WordCodes(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeé1'!") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)).encode() for _ in range(40)]
+    first = coder.encode(texts)
+    monkeypatch.setattr(packing.np, "unique", None)
+    monkeypatch.setattr(packing.np, "argsort", None)
+    assert [x.tolist() for x in coder.encode(texts)] == [x.tolist() for x in first]
+
+
+@pytest.mark.parametrize("most", [50, 700, 100_000])
+def test_word_codes_are_the_tokenizers(monkeypatch, most):
+    """Also where the words remembered are dropped now and then, or the table grows."""
+    import public_tokenizers
+
+    from varlake.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", most)
+    coder = packing.WordCodes(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    for _ in range(4):
+        texts = [" ".join("".join(rng.choice("abcDEé12'!-") for _ in range(rng.randrange(1, 8))) for _ in range(rng.choice([0, 3, 5000]))) for _ in range(9)]
+        got = coder.encode([t.encode() for t in [*texts, "it's <|endoftext|> x"]] + [None])
+        want = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in [*texts, "it's <|endoftext|> x"]] + [[0]]
+        assert [x.tolist() for x in got] == want
+        # Probing from its own slot on finds every word.
+        assert coder._find(coder.keys).tolist() == list(range(len(coder.keys)))
+
+
+def test_long_words_are_hashed_whole():
+    from varlake.llm import words as W
+
+    for n in (W.STEP - 1, W.STEP, W.STEP + 1, 3 * W.STEP + 5):
+        buf = np.frombuffer(b"ab " + b"x" * n + b" cd " + b"x" * n + b"\n" + b"y" * n, np.uint8)
+        start, end, h = W.words(buf)
+        assert (end - start).tolist() == [2, n, 2, n, n] and start.tolist() == [0, 3, n + 4, n + 7, 2 * n + 8]
+        assert h[1] == h[3] and len(set(h.tolist())) == 4

@@ -10,8 +10,10 @@ their rank among pieces of the same length, numbered without gathering a length
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,16 @@ CACHE_WORDS = 2_000_000
 
 
 class WordCodes:
-    """Token ids by word, each distinct word encoded once by the tokenizer."""
+    """Token ids by word, each distinct word encoded once by the tokenizer.
+
+    Words are found by their hashes in an open-addressed table of places, so a text costs the same
+    whatever the number of words remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
@@ -42,23 +49,49 @@ class WordCodes:
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(1, np.uint32)  # place 0: the id that ends a text
+        self.bits = 16
+        self.table = np.full(1 << self.bits, -1, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is unknown."""
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int32)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        place = self.table[slot]
+        todo = np.flatnonzero((place >= 0) & (self.keys[place] != h))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
+            place[todo] = found = self.table[slot[todo]]
+            todo = todo[(found >= 0) & (self.keys[found] != h[todo])]
+        return place
+
+    def _insert(self, first: int) -> None:
+        """Give the words from place ``first`` on the next free slots."""
+        if 2 * len(self.keys) > len(self.table):
+            while 2 * len(self.keys) > 1 << self.bits:
+                self.bits += 1
+            self.table, first = np.full(1 << self.bits, -1, np.int32), 0
+        place = np.arange(first, len(self.keys), dtype=np.int32)
+        slot = (self.keys[first:] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(place):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = place[free]  # of several, one stays
+            left = self.table[slot] != place
+            place, slot = place[left], (slot[left] + 1) & (len(self.table) - 1)
 
     def _learn(self, words: list[str], keys: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self.clear()
         counts, flats = [], []
         for k in range(0, len(words), 10_000):  # the library's result for a word is a large object
             coded = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 10_000], add_special_tokens=False)]
-            counts.append(np.array([len(c) for c in coded], np.int64))
-            flats.append(np.fromiter((i for c in coded for i in c), np.uint32, int(counts[-1].sum())))
+            counts.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            flats.append(np.fromiter(chain.from_iterable(coded), np.uint32, int(counts[-1].sum())))
         count = np.concatenate(counts)
-        at = np.cumsum(count) - count + len(self.ids)
+        first = len(self.keys)
+        self.at = np.concatenate([self.at, np.cumsum(count) - count + len(self.ids)])
         self.ids = np.concatenate([self.ids, *flats])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        self.keys = np.concatenate([self.keys, keys])
+        self.count = np.concatenate([self.count, count])
+        self._insert(first)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text and the end id 0."""
@@ -66,16 +99,18 @@ class WordCodes:
         # A special token's text keeps its case and stays whole, as the tokenizer looks for it first.
         plain = b"<|" not in buf.tobytes()
         start, end, h = W.words(buf, lower=plain, cut_punct=plain)
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        new = keys[~np.isin(keys, self.keys, assume_unique=True)] if len(self.keys) else keys
-        if len(new) and len(self.keys) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = keys
+        place = self._find(h)
+        new = np.flatnonzero(place < 0)
         if len(new):
+            keys, first = np.unique(h[new], return_index=True)
+            if len(self.keys) and len(self.keys) + len(keys) > CACHE_WORDS:
+                self.clear()
+                new = np.arange(len(h))
+                keys, first = np.unique(h, return_index=True)
             raw = (W.LOWER[buf] if plain else buf).tobytes()
-            spots = first[np.searchsorted(keys, new)]
-            self._learn([raw[a:b].decode() for a, b in zip(start[spots].tolist(), end[spots].tolist(), strict=True)], new)
-        place = np.searchsorted(self.keys, keys)[back]
+            spots = new[first]
+            self._learn([raw[a:b].decode() for a, b in zip(start[spots].tolist(), end[spots].tolist(), strict=True)], keys)
+            place[new] = self._find(h[new])
         bounds = np.searchsorted(start, start_of)[1:]
         at = np.insert(self.at[place], bounds, 0)
         count = np.insert(self.count[place], bounds, 1)
@@ -105,7 +140,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
                 for ident, codes in zip(ids[a:b], coder.encode(W.texts_of(texts.slice(a, b - a))), strict=True):
                     for k in range(0, len(codes), capacity):
                         piece = codes[k : k + capacity]
-                        out.append((ident, k // capacity, k, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), part, seen[len(piece)]))
+                        out.append((ident, k // capacity, k, len(piece), zlib.crc32(piece.astype("<u4", copy=False)), part, seen[len(piece)]))
                         seen[len(piece)] += 1
                 cols = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+# Bytes hashed at a time: each takes some thirty in arrays, which a core's cache should hold.
+STEP = 1 << 17
 _MASK = (1 << 64) - 1
 
 _byte = np.arange(256)
@@ -41,7 +43,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE + 1), base, np.uint64)
+        steps = np.full(max(n, STEP + 1), base, np.uint64)
         steps[0] = 1
         have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]
@@ -77,16 +79,18 @@ def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def _slices(buf: np.ndarray) -> Iterator[tuple[int, int]]:
     start, n = 0, len(buf)
     while start < n:
-        end = min(n, start + SLICE)
+        end = min(n, start + STEP)
         if end < n:
             back = np.flatnonzero(SPACE[buf[start:end]])
             if len(back):
                 end = start + int(back[-1]) + 1
             else:  # a word longer than a slice: up to its end
-                ahead = end
-                while ahead < n and not SPACE[buf[ahead]]:
-                    ahead += 1
-                end = ahead
+                while end < n:
+                    ahead = np.flatnonzero(SPACE[buf[end : end + STEP]])
+                    if len(ahead):
+                        end += int(ahead[0])
+                        break
+                    end = min(n, end + STEP)
         yield start, end
         start = end
 
@@ -152,7 +156,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(total)
+    return out
 
 
 def signed(h: np.ndarray) -> np.ndarray:
