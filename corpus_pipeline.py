@@ -22,7 +22,7 @@ from varlake.session import scratch_path
 # Rows that a Python worker is handed at a time: a row is a whole text, so fewer than Spark's default.
 BATCH_ROWS = 1_000
 # And bytes, for texts are of any length; a longer text comes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 # A text is kept when one language holds at least this share of the evidence.
 LEAST_SCORE = 0.5
 

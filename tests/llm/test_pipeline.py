@@ -127,3 +127,21 @@ def test_stages_keep_the_columns(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+def test_quality_moves_no_texts(spark, folder, monkeypatch):
+    import corpus_pipeline
+    from tests.conftest import plan
+    from varlake.llm import quality
+
+    plans = {}
+
+    def stored(df, name, keep=quality.stored):
+        plans[name] = plan(df)
+        return keep(df, name)
+
+    monkeypatch.setattr(quality, "stored", stored)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, folder)
+    for text in (plans["measured"], plan(kept)):
+        assert "MapInArrow" in text and "Exchange" not in text and "Join" not in text

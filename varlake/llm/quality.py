@@ -78,7 +78,7 @@ def _stutters(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def measure(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     """Counts of each text; a null text has none of anything."""
     parts: dict[str, list[np.ndarray]] = {}
-    for a, b in W.groups([len(t or b"") for t in texts]):
+    for a, b in W.groups([len(t or b"") for t in texts], W.SLICE):
         buf, at = W.joined(texts[a:b])
         start, end, h = W.words(buf, lower=False)
         cuts = np.searchsorted(start, at)
@@ -285,8 +285,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that ``quality_rules`` keeps, all columns; texts are not shuffled."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    labelled = labels.select(F.col("doc_id").cast("long").alias("id")).distinct()
-    cutoffs = fit(stored(_measured(base.join(labelled, "id", "left_semi")), "measured"), labels, risk, delta)
+    cutoffs = fit(stored(_measured(base), "measured"), labels, risk, delta)
     ship_package(docs.sparkSession)
     names = docs.columns
     at_text, at_stratum = names.index(text_col), names.index(stratum_col)
