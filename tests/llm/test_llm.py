@@ -457,3 +457,30 @@ def test_top_k_in_query_groups(spark):
     assert set(cut[0]) == set(cut[1]) and len(cut[0]) == 60 * 5
     best = sorted((-math.floor(256 * -2.0) * math.floor(256 * v[0]), i) for i, v in rows if i != 0)[:5]
     assert [(r[2], r[3]) for r in sorted(cut[0]) if r[0] == 0] == [(i, -s) for s, i in best]
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_last_pairs_are_few_and_lose_no_link(spark, num):
+    """Nodes that share a passage which their pivot lacks, but don't link, are not all held against each other."""
+    import random
+
+    from varlake.llm import jaccard
+
+    rng = random.Random(num)
+    passage, rows = list(range(20)), []
+    for _ in range(60):
+        own = rng.sample(range(100, 100_000), 28)
+        for _ in range(4):
+            d = {*passage, *own} ^ set(rng.sample([*passage, *own, *range(100, 200)], rng.randrange(17)))
+            rows.append((len(rows), rng.randrange(110, 150), d))
+    for _ in range(60):  # near the pivot: these may link without a shared difference
+        rows.append((len(rows), rng.randrange(60, 150), set(rng.sample(range(200_000, 200_400), rng.randrange(30)))))
+    most = lambda n: (100 - num) * (n + n * 100 // num) // (100 + num)
+    made = [(1, node, n, node, most(n), sorted(d)) for node, n, d in rows]
+    apart = spark.createDataFrame(made, "scope long, node long, n long, root long, most int, d array<long>")
+    got = jaccard._cross(jaccard._crowded(jaccard._difference_keys(apart)), num, 100)
+    pairs = {(r["a"], r["b"]) for r in got.collect()}
+    near = lambda n, m: 100 * min(n, m) >= num * max(n, m)
+    links = {(a, b) for a, n, d in rows for b, m, e in rows if a < b and near(n, m) and len(d ^ e) <= (100 - num) * (n + m) // (100 + num)}
+    assert len(links) > 50 and links <= pairs
+    assert len(pairs) < 4 * len(links)

@@ -322,14 +322,19 @@ def _open(live: DataFrame) -> DataFrame:
 
 
 def _cross(live: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in a bucket."""
+    """Pairs of different components in a bucket that their differences from the pivot don't rule out.
+
+    Of linked nodes at least ``need`` differences are shared, so at most size - need come before
+    the first shared one in either node's order. A pair meets in that one's bucket at least.
+    """
 
     def side(at: str) -> DataFrame:
-        return live.select("key", *[F.col(c).alias(f"{c}_{at}") for c in ("node", "n", "root", "far", "room")])
+        return live.select("key", *[F.col(c).alias(f"{c}_{at}") for c in ("node", "n", "root", "size", "r")])
 
-    within = F.expr("far_a <= room_b AND far_b <= room_a")
+    need = f"size_a + size_b - floor({den - num} * (n_a + n_b) / {den + num})"  # twice
+    first = F.expr(f"2 * (greatest(r_a - size_a, r_b - size_b) - 1) + {need} <= 0")
     pairs = side("a").join(side("b"), "key").where("node_a < node_b AND root_a != root_b")
-    return pairs.where(_near("n_a", "n_b", num, den) & within).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return pairs.where(_near("n_a", "n_b", num, den) & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _differences(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -354,7 +359,8 @@ def _differences(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
 
 def _difference_keys(apart: DataFrame) -> DataFrame:
-    """(key, node, n, root, far, room): rows of two nodes that link share a key.
+    """(key, node, n, root, size, r): rows of two nodes that link share a key. ``size`` is that of D,
+    ``r`` the token's place in its order.
 
     Two nodes differ in exactly what their D differ in, so a link needs all but ``most`` of D to
     be shared, and the first most + 1 of D in a fixed order must meet. The order is by how many
@@ -362,18 +368,16 @@ def _difference_keys(apart: DataFrame) -> DataFrame:
     only the pivot has, then tells nothing apart and comes last.
 
     Nodes whose D share nothing link only if both D together are within ``most``. These meet in
-    a bucket of their scope, where ``far`` is the size of D and ``room`` what it leaves for the
-    other's.
+    a bucket of their scope, where ``r`` is the place after the last.
     """
-    each = apart.select("scope", "node", "n", "root", "most", F.explode("d").alias("token"))
+    size = F.size("d")
+    each = apart.select("scope", "node", "n", "root", "most", size.alias("size"), F.explode("d").alias("token"))
     common = each.groupBy("scope", "token").agg(F.count("*").alias("f")).where("f > 1")
     rarest = Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(1)), "token")
     first = each.join(common, ["scope", "token"], "left").withColumn("r", F.row_number().over(rarest)).where("r <= most + 1 AND f > 1")
-    none = F.lit(0)
-    tokens = first.select(F.xxhash64("scope", "token").alias("key"), "node", "n", "root", none.alias("far"), none.alias("room"))
-    far = F.size("d")
-    near = apart.where(far <= F.col("most"))
-    return tokens.unionAll(near.select(F.xxhash64("scope").alias("key"), "node", "n", "root", far, F.col("most") - far))
+    tokens = first.select(F.xxhash64("scope", "token").alias("key"), "node", "n", "root", "size", "r")
+    near = apart.where(size <= F.col("most"))
+    return tokens.unionAll(near.select(F.xxhash64("scope").alias("key"), "node", "n", "root", size, size + 1))
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
