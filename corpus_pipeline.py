@@ -63,13 +63,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     _bounded(spark)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     texts = keyed.select("key", F.col("row.text").alias("text"))
-    groups = stored(jaccard_join(texts, id_col="key", shingle=5, num=80, den=100).select("key", "component_id").distinct(), "groups")
+    rows = docs.count()
+    groups = stored(jaccard_join(texts, id_col="key", shingle=5, num=80, den=100).select("key", "component_id").distinct(), "groups", rows)
     shared = groups.where("key != component_id").select("component_id").distinct()
     members = groups.join(shared, "component_id", "left_semi").join(keyed.select("key", "row.doc_id").distinct(), "key")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = members.groupBy("component_id").agg(F.min(order).alias("first"))
     gone = members.join(first, "component_id").where(F.col("key") != F.col("first.key")).select("key").distinct()
-    repeated = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    repeated = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "repeated", rows)
     kept = keyed.join(gone, "key", "left_anti")
     once = kept.join(repeated, "key", "left_anti").select("row")
     several = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

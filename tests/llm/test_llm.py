@@ -484,3 +484,38 @@ def test_jaccard_last_pairs_are_few_and_lose_no_link(spark, num):
     links = {(a, b) for a, n, d in rows for b, m, e in rows if a < b and near(n, m) and len(d ^ e) <= (100 - num) * (n + m) // (100 + num)}
     assert len(links) > 50 and links <= pairs
     assert len(pairs) < 4 * len(links)
+
+
+def test_small_tables_are_stored_in_few_files(spark, monkeypatch):
+    from varlake.llm import components as C
+    from varlake.llm import jaccard as J
+
+    files = {}
+
+    def cut(df, *a, cut=C.cut_lineage):
+        out = cut(df, *a)
+        files.setdefault("edges", []).append(out.rdd.getNumPartitions())
+        return out
+
+    def store(df, name, *a, stored=J.stored):
+        out = stored(df, name, *a)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "cut_lineage", cut)
+    monkeypatch.setattr(J, "stored", store)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(old, ("40", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        words = [[f"w{i}-{j}" for j in range(60)] for i in range(40)]
+        texts = [" ".join([*w[:at], "x", *w[at:]]) for w in words for at in (0, 30, 60)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join(df).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 3 * 3 for i in range(120)}
+    rounds = files["edges"][1:]  # the first table of edges has no bound
+    assert rounds.count(1) >= 2 and rounds.count(40) <= 4
+    assert all(max(files[name]) <= 2 for name in ("agreeing", "live", "wanted", "pairs", "links"))

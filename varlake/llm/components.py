@@ -35,12 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     row.
     """
     edges = cut_lineage(edges.where("a != b").select("a", "b").distinct())
-    before = None
-    while True:
-        edges = cut_lineage(_star(_star(edges, True), False).where("a != b"))
+    before, rows = None, edges.count()
+    while True:  # a star has no more edges than what it is made of
+        edges = cut_lineage(_star(_star(edges, True), False).where("a != b"), rows)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             break
-        before = mark
+        before, rows = mark, mark[0]
     root = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return root.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

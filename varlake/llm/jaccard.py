@@ -39,6 +39,8 @@ from varlake.llm.store import map_batches_arrow, released, stored
 BROADCAST_ROWS = 1_000_000
 # Bytes of texts that are turned into keys at a time.
 SLICE = 4 << 20
+# Pairs of sets that a stored file should hold at least the links of.
+FILE_PAIRS = 500
 # Most that a tag can ask for; asking for less is safe.
 NEED = 4095
 _GOLD = 0x9E3779B97F4A7C15
@@ -249,22 +251,23 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(released(stream), "key long, node long, tag int")
 
 
-def _agreeing(rows: DataFrame, again) -> DataFrame:
+def _agreeing(rows: DataFrame, again, most: int) -> DataFrame:
     """Rows of nodes that can agree with another on as many keys as a link takes.
 
     Where a node shares fewer keys of a band with anybody than that, it links with nobody there:
     it meets strangers by a common shingle. ``again`` leaves out the buckets that no longer
     matter without such nodes, after which others may have too few; it ends when that is rare.
+    ``most`` is a bound of the rows.
     """
     before = None
     while True:
         agree = F.count("*").over(Window.partitionBy("node", "tag"))
         rows = rows.withColumn("agree", agree).where(F.col("agree") >= F.col("tag").bitwiseAND(F.lit(NEED))).drop("agree")
-        rows = stored(again(rows), "agreeing")
+        rows = stored(again(rows), "agreeing", most)
         n = rows.count()
         if not n or before is not None and 10 * n >= 9 * before:
             return rows
-        before = n
+        before = most = n
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -284,17 +287,19 @@ def _near(n1: str, n2: str, num: int, den: int):
     return den * F.least(n1, n2) >= num * F.greatest(n1, n2)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that really link."""
-    pairs = stored(pairs, "pairs")
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, rows: int | None = None) -> DataFrame:
+    """Pairs (a, b) that really link, stored; ``rows`` is a bound of the pairs."""
+    pairs = stored(pairs, "pairs", rows)
     firsts, seconds = pairs, pairs.select("b").distinct()
-    if pairs.count() <= BROADCAST_ROWS:  # then only the sets of these pairs are shuffled, once
+    n = pairs.count()
+    if n <= BROADCAST_ROWS:  # then only the sets of these pairs are shuffled, once
         firsts, seconds = F.broadcast(firsts), F.broadcast(seconds)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(firsts, "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(seconds, "b")
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return left.join(right, "b").where(den * both >= num * union).select("a", "b")
+    found = left.join(right, "b").where(den * both >= num * union).select("a", "b")
+    return stored(found, "links", n if n <= BROADCAST_ROWS else None, FILE_PAIRS)
 
 
 def _weights(live: DataFrame) -> DataFrame:
@@ -388,16 +393,17 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 def _all_links(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links enough to join every two linked nodes' components."""
-    links = stored(_links(_pivot_pairs(live, num, den), sets, num, den), "links")
-    live = _agreeing(_open(_rooted(live, links)), _open)
+    most = live.count()
+    links = _links(_pivot_pairs(live, num, den), sets, num, den, most)
+    live = _agreeing(_open(_rooted(live, links)), _open, most)
     if live.isEmpty():
         return links
     apart = stored(_differences(live, sets, num, den), "apart")
     links = links.unionAll(apart.where("linked AND node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
     second = stored(_crowded(_difference_keys(apart)), "second")
-    links = links.unionAll(stored(_links(_pivot_pairs(second, num, den), sets, num, den), "links"))
+    links = links.unionAll(_links(_pivot_pairs(second, num, den), sets, num, den, second.count()))
     rest = _open(_rooted(second, links))
-    return links.unionAll(stored(_links(_cross(rest, num, den), sets, num, den), "links"))
+    return links.unionAll(_links(_cross(rest, num, den), sets, num, den))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -421,11 +427,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     rows = _keyed(base, shingle, num, den).select("node", F.explode(F.arrays_zip("keys", "tags")).alias("x"))
     rows = stored(_shared(rows.select(F.col("x.keys").alias("key"), "node", F.col("x.tags").alias("tag"))), "shared")
-    pairs = _agreeing(rows, _shared)
-    live = stored(_crowded(pairs.join(classes.select("node", "n"), "node")), "live")
+    pairs = _agreeing(rows, _shared, rows.count())
+    both_rows = index.count() + pairs.count()
+    live = stored(_crowded(pairs.join(classes.select("node", "n"), "node")), "live", both_rows)
     wanted = live.select("node").distinct().join(classes.select("node", "first"), "node")
     at = F.coalesce("doc_id", F.lit(-(2**63)))
-    ids = stored(wanted.select("node", F.coalesce("first", F.lit(-(2**63))).alias("at")), "wanted")
+    ids = stored(wanted.select("node", F.coalesce("first", F.lit(-(2**63))).alias("at")), "wanted", both_rows)
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = base.withColumn("at", at).join(ids, "at")

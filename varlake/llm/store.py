@@ -9,13 +9,16 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varlake.session import scratch_path, ship_package
+from varlake.session import FILE_ROWS, in_files, scratch_path, ship_package
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once and read back: later jobs start from the files, also after a lost executor."""
+def stored(df: DataFrame, name: str, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+    """Write once and read back: later jobs start from the files, also after a lost executor.
+
+    Where ``rows`` bounds what the last step reads and gives, a file holds about ``each`` or more.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    in_files(df, rows, each).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Upper bound, in bytes of row content, for anything this package broadcasts.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows of a few numbers that a stored file should hold at least.
+FILE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,10 +56,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def in_files(df: DataFrame, rows: int | None, each: int = FILE_ROWS) -> DataFrame:
+    """``df``, to be stored in no more files than its last step's ``rows`` rows need.
+
+    Small tables left in one file per shuffle partition cost more to write than to make; on a
+    local file system Hadoop also starts a ``chmod`` for every file. ``rows`` is a bound of what
+    the last step reads and gives, None where there is none.
+    """
+    return df if rows is None else df.coalesce(max(1, -(-rows // each)))
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise once in the shared folder so later jobs do not recompute ``df``."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return in_files(df, rows).checkpoint(eager=True)
 
 
 def content_bytes(df: DataFrame) -> int:
